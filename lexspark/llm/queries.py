@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexspark.llm import encoding
+from lexspark.llm import encoding, scanned
 from lexspark.runtime import table
 
 
@@ -21,5 +22,20 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_found, p10_restored)}
+def _scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.create_map(F.lit("noi_dung_vu_an"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra"), F.lit("quyet_dinh"), F.col("quyet_dinh"))
+    return table(spark, sf_dir, "extracted_fields").select(F.col("record_id").alias("id"), F.explode(fields).alias("field", "t"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, field, kind): the kinds of scan noise in narratives and decisions."""
+    return scanned.find_noise(_scanned_texts(spark, sf_dir)).withColumnRenamed("id", "record_id")
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, field, repaired): narratives and decisions in whole paragraphs."""
+    return scanned.repair(_scanned_texts(spark, sf_dir)).withColumnRenamed("id", "record_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_repaired, p10_found, p10_restored)}
 ORACLE_SQL: dict[str, str] = {}
