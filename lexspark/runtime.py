@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,12 @@ def latest_delivery(df: DataFrame, key: str, at: str = "loaded_at") -> DataFrame
     best = F.max(F.struct(F.col(at).alias("_at"), *[F.col(c).alias(c) for c in others if "map<" not in dict(df.dtypes)[c]]))
     out = df.groupBy(key).agg(best.alias("_b"))
     return out.select(key, *[F.col(f"_b.{c}").alias(c) for c in others])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as compressed Parquet in the shared folder and read it back: for frames with long texts."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
