@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import encoding, scanned
-from lexspark.runtime import table
+from lexspark.llm import encoding, overlap, scanned
+from lexspark.runtime import cut, latest_delivery, stored, table
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +37,36 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.repair(_scanned_texts(spark, sf_dir)).withColumnRenamed("id", "record_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_repaired, p10_found, p10_restored)}
+#: Number of a judgment inside its identifier, however the rest is written.
+_CASE_NUMBER = r"(?i)(\d+\s*ta\s*\d+\s*t)"
+
+
+def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, split_name, source, number): one row per record with a split."""
+    rows = table(spark, sf_dir, "thong_tin_chung").select("record_id", "split_name", "source", "ma_ban_an", "filename", "loaded_at")
+    rows = latest_delivery(rows, "record_id").where("split_name is not null")
+    name = F.coalesce("ma_ban_an", "filename")
+    number = F.nullif(F.lower(F.regexp_replace(F.regexp_extract(name, _CASE_NUMBER, 1), r"\s", "")), F.lit(""))
+    return rows.select(F.col("record_id").alias("id"), "split_name", "source", number.alias("number"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id_a, record_id_b): judgments of validation and test that stand also in train."""
+    judgments = cut(_judgments(spark, sf_dir)).withColumn("side", F.col("split_name") == "train")
+    narratives = table(spark, sf_dir, "extracted_fields").select(F.col("record_id").alias("id"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra").alias("t"))
+    texts = stored(narratives.join(judgments.select("id", "side"), "id"))
+    pairs = overlap.cross_split_pairs(texts, judgments.select("id", "side", "number"))
+    return pairs.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
+
+
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(split_name, source, n_pairs, n_records): overlaps with train by the split and source of the other record."""
+    judgments = _judgments(spark, sf_dir)
+    pairs = p7_found(spark, sf_dir)
+    ends = pairs.select("record_id_a", "record_id_b", F.explode(F.array("record_id_a", "record_id_b")).alias("id"))
+    other = ends.join(judgments.where("split_name <> 'train'"), "id")
+    return other.groupBy("split_name", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("id").alias("n_records"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_repaired, p7_found, p7_counts, p10_found, p10_restored)}
 ORACLE_SQL: dict[str, str] = {}
