@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import encoding, overlap, scanned
+from lexspark.llm import chunking, encoding, mixing, overlap, packing, scanned, tokens
 from lexspark.runtime import cut, latest_delivery, stored, table
 
 
@@ -68,5 +68,59 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return other.groupBy("split_name", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("id").alias("n_records"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_repaired, p7_found, p7_counts, p10_found, p10_restored)}
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, field, part_key, piece, n_pieces, overlap, piece_text): oversized texts in pieces."""
+    rows = table(spark, sf_dir, "extracted_fields")
+    story = F.create_map(F.lit("qua_trinh_dieu_tra"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra"), F.lit("ket_luan_cac_ben"), F.col("noi_dung_vu_an.ket_luan_cac_ben"))
+    keys = ("record_id", "field", "part_key")
+    parts = rows.select("record_id", F.lit("noi_dung_vu_an").alias("field"), F.explode(story).alias("part_key", "t"))
+    points = rows.select("record_id", F.lit("nhan_dinh_cua_toa_an").alias("field"), F.explode("nhan_dinh_cua_toa_an").alias("part_key", "t"))
+    return chunking.split_texts(parts.unionByName(points), keys)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, field, part_key): the texts that came out in more than one piece."""
+    return p4_pieces(spark, sf_dir).where("piece = 2").select("record_id", "field", "part_key")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, part, n_tokens, container, capacity): the place of every document or part of one."""
+    sizes = tokens.token_table(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.col("n_tokens").alias("size"))
+    return packing.pack_items(sizes).select(F.col("id").alias("doc_id"), "part", F.col("size").alias("n_tokens"), "container", "capacity")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(capacity, n_containers, n_items, n_tokens, fill): how full the containers of each capacity are."""
+    bins = p8_packed(spark, sf_dir).groupBy("container", "capacity").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
+    return bins.groupBy("capacity").agg(F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("used").alias("n_tokens"), F.round(F.sum("used") / F.sum("capacity"), 6).alias("fill"))
+
+
+# Words that give a document its topic, the first group that occurs.
+_TOPICS = (
+    ("chat_cam", ("chất cấm", "hàng cấm")),
+    ("than_the", ("thương tích", "giết người", "đánh người")),
+    ("chuc_vu", ("tham ô", "công vụ", "lạm quyền")),
+    ("tai_san", ("chiếm đoạt", "trộm", "giật đồ", "tài sản")),
+    ("giao_thong", ("điều khiển phương tiện", "đua xe")),
+)
+
+
+def _topic(text: str) -> str:
+    return next((name for name, found in _TOPICS if any(w in text for w in found)), "khac")
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, copies): the documents of the mix and how often each is used."""
+    sizes = tokens.token_table(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source", "lang"), label=_topic)
+    records = sizes.select("id", "source", "lang", F.col("label").alias("topic"), F.col("n_tokens").alias("size"))
+    mixed = mixing.mix(records, table(spark, sf_dir, "mix_targets"))
+    return mixed.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target_share, actual_share, n_records, n_copies, tokens, max_copies): the shares reached."""
+    return mixing.shares(p9_mixed(spark, sf_dir).withColumnRenamed("n_tokens", "size"), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p4_pieces, p7_found, p7_counts, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_restored)}
 ORACLE_SQL: dict[str, str] = {}
