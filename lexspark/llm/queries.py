@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import chunking, encoding, mixing, overlap, packing, scanned, tokens
+from lexspark.llm import chunking, encoding, mixing, neighbours, overlap, packing, scanned, tokens
 from lexspark.runtime import cut, latest_delivery, stored, table
 
 
@@ -22,6 +22,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id")
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, other_id, cosine, rank): the five most similar other vectors of every vector."""
+    found = neighbours.nearest(table(spark, sf_dir, "chunk_vectors").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    return found.select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), "cosine", "rank")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id_a, vec_id_b): pairs of which one is among the five most similar to the other."""
+    found = p2_neighbours(spark, sf_dir)
+    return found.select(F.least("vec_id", "other_id").alias("vec_id_a"), F.greatest("vec_id", "other_id").alias("vec_id_b")).distinct()
+
+
 def _scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.create_map(F.lit("noi_dung_vu_an"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra"), F.lit("quyet_dinh"), F.col("quyet_dinh"))
     return table(spark, sf_dir, "extracted_fields").select(F.col("record_id").alias("id"), F.explode(fields).alias("field", "t"))
@@ -122,5 +134,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mixed(spark, sf_dir).withColumnRenamed("n_tokens", "size"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p4_pieces, p7_found, p7_counts, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_repaired, p4_found, p4_pieces, p7_found, p7_counts, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_restored)}
 ORACLE_SQL: dict[str, str] = {}
