@@ -31,7 +31,7 @@ from lexspark.runtime import cut
 K = 5
 SHARD = 2048  # vectors a centroid is meant for
 MOST = 6144  # vectors in one graph
-SAMPLE = 32_768  # vectors that the centroids are fitted on, at most
+SAMPLE = 32_768  # vectors that the centroids are fitted on, about
 CENTROIDS = 4096  # at most
 PROBES = 3  # shards asked, at most
 NEAR = 0.12  # a further shard is asked if its centroid's cosine is so close to the best
@@ -214,7 +214,8 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
     if not lengths:
         return spark.createDataFrame([], schema)
     dim, total = lengths[0]["d"], lengths[0]["count"]
-    rows = usable.where(F.size("v") == dim).select("id", "v").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()  # a bounded sample
+    share = min(1.0, SAMPLE / total)  # a sample of about SAMPLE vectors, whatever the total
+    rows = usable.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))).select("id", "v").toPandas().sort_values("id")
     raw, _ = _stack(rows["v"], dim)
     if not len(raw):
         return spark.createDataFrame([], schema)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import chunking, encoding, mixing, neighbours, overlap, packing, scanned, tokens
+from lexspark.llm import chunking, encoding, mixing, names, neighbours, overlap, packing, scanned, tokens
 from lexspark.runtime import cut, latest_delivery, stored, table
 
 
@@ -95,6 +95,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece = 2").select("record_id", "field", "part_key")
 
 
+#: Labels of an address that may be left out or shortened.
+_LABELS = r"(?<![a-z0-9])(?:thon|xa|x|huyen|h|tinh|t)(?![a-z0-9])"
+
+
+def _plain(column: Column) -> Column:
+    """Lower case without accents; letters and digits of an address between single blanks, without its labels."""
+    letters = F.translate(F.lower(column), _ACCENTED, _BARE)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(letters, "[^a-z0-9]+", " "), _LABELS, " "), " +", " "))
+
+
+_ACCENTED = "".join(c for c in encoding.VIET.lower()) + "\u031b\u0323\u0300\u0301\u0303\u0309\u0302\u0306"
+_BARE = "".join(names.fold(c) for c in encoding.VIET.lower())
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mention_id_a, mention_id_b): mentions of one person under different written names."""
+    people = latest_delivery(table(spark, sf_dir, "thong_tin_bi_cao").select("mention_id", "record_id", "ho_ten", "ngay_sinh", "noi_cu_tru", "loaded_at"), "mention_id")
+    people = cut(people)
+    block = F.concat(F.lit("r"), F.col("record_id").cast("string"))
+    listed = [people.select(F.col("mention_id").alias("id"), block.alias("block"), F.col("ho_ten").alias("name"), F.lit(True).alias("centre"), F.lit("bi_cao").alias("list"))]
+    for name in ("de_nghi_vien_kiem_sat", "phan_quyet_toa_so_tham"):
+        rows = latest_delivery(table(spark, sf_dir, name).select("mention_id", "record_id", "bi_cao", "loaded_at"), "mention_id")
+        listed.append(rows.select(F.col("mention_id").alias("id"), block.alias("block"), F.col("bi_cao").alias("name"), F.lit(False).alias("centre"), F.lit(name).alias("list")))
+    born = F.regexp_replace("ngay_sinh", "[^0-9]+", "/")
+    again = people.where("ngay_sinh is not null and noi_cu_tru is not null")
+    again = again.select(F.col("mention_id").alias("id"), F.concat_ws("|", F.lit("p"), born, _plain(F.col("noi_cu_tru"))).alias("block"), F.col("ho_ten").alias("name"), F.lit(False).alias("centre"), F.lit("bi_cao").alias("list"))
+    mentions = listed[0].unionByName(listed[1]).unionByName(listed[2]).unionByName(again)
+    pairs = names.same_person(mentions)
+    return pairs.select(F.col("id_a").alias("mention_id_a"), F.col("id_b").alias("mention_id_b"))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, part, n_tokens, container, capacity): the place of every document or part of one."""
     sizes = tokens.token_table(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.col("n_tokens").alias("size"))
@@ -134,5 +165,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mixed(spark, sf_dir).withColumnRenamed("n_tokens", "size"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_repaired, p4_found, p4_pieces, p7_found, p7_counts, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p7_found, p7_counts, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_restored)}
 ORACLE_SQL: dict[str, str] = {}
