@@ -38,8 +38,8 @@ AT = 0.45  # q-gram Jaccard similarity at which that recall is asked
 ROWS = 2
 ACCEPT = 0.74
 _MARK = re.compile("[̀-ͯ]+")
-_PREFIX = re.compile(r"^\s*(?:bị\s+cáo|bi\s+cao|bị\s+can|ông|bà)\s*(?:tên|ten)?\s*:?\s+", re.I)
-_BORN = re.compile(r"[(,]?\s*(?:\bSN|\bsinh(?:\s+(?:năm|nam))?)\s*:?\s*\d{4}\s*\)?", re.I)
+_PREFIX = re.compile(r"^\s*(?:bị\s+cáo|bi\s+cao|bị\s+can|bc|ông|bà)\s*(?:tên|ten)?\s*:?\s+", re.I)
+_BORN = re.compile(r"[(,]?\s*(?:\bSN|\bsinh(?:\s+(?:năm|nam))?)\s*:?\s*\d{4}\s*\)?|\s*[-–,]\s*\d{4}\s*$", re.I)
 _ALIAS = re.compile(r"(?:[,\-–(]\s*|\s)(?:tên\s+gọi\s+khác|ten\s+goi\s+khac|còn\s+gọi\s+là|tức|tuc|tự|tu)(?=[\s:“\"])\s*:?\s*[“\"]?([^”\")]+)[”\"]?\s*\)?", re.I)
 _BRACKET = re.compile(r"\(([^)]*)\)|[“\"]([^”\"]*)[”\"]")
 
@@ -70,7 +70,7 @@ class Name:
             s = f"{rest} {given}"
         if not s.isupper():
             s = "".join(f" {c}" if k and c.isupper() and s[k - 1].islower() else c for k, c in enumerate(s))  # a lost blank
-        self.accented = [t for t in re.split(r"[^\w]+", s.lower()) if t]
+        self.accented = [t for t in re.split(r"[^\ẁ-ͯ]+", s.lower()) if t]
         self.folded = [fold(t) for t in self.accented]
         self.aliases = [a for a in (" ".join(re.findall(r"\w+", fold(x))) for x in found) if a]
 
@@ -82,6 +82,7 @@ class Name:
         if f:
             short.add(f[-1])
             short.add(f[0])
+            short.add("".join(t[0] for t in f) + "*")
             if len(f) > 1:
                 short.add("".join(t[0] for t in f[:-1]) + " " + f[-1])
         return full, sorted(short)
@@ -139,8 +140,8 @@ def token_similarity(a: str, b: str) -> float:
     if x == y:
         return 0.97
     short, long = (x, y) if len(x) < len(y) else (y, x)
-    if len(short) <= 2 and long.startswith(short) and (len(short) == 1 or short in ("ng", "tr", "th", "ph", "nh", "kh", "gi", "qu", "ch")):
-        return 0.9
+    if len(short) <= 2 and long.startswith(short):
+        return 0.9 if len(short) == 1 or short in ("ng", "tr", "th", "ph", "nh", "kh", "gi", "qu", "ch") else 0.86
     d = _distance(x, y)
     return 1 - 0.8 * d / len(long) if d == 1 and len(long) > 2 or d == 2 and len(long) > 5 else 0.0
 
@@ -169,10 +170,11 @@ def similarity(x: Name, y: Name) -> float:
         whole = " ".join(m.folded)
         if whole in c.aliases:
             return 0.9
-        given = c.folded[-1]
         for alias in c.aliases:
-            if whole == f"{given} {alias}" or (len(m.folded) == 1 and m.folded[0] == given and alias in m.aliases):
-                return 0.92
+            for given in (c.folded[-1], c.folded[0]):
+                alike = token_similarity(m.folded[0], given)
+                if alike > 0.6 and (m.folded[1:] == alias.split(" ") or (len(m.folded) == 1 and alias in m.aliases)):
+                    return 0.92 * alike
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     ends = max(token_similarity(short[-1], long[-1]), token_similarity(short[0], long[-1]) - 0.02, token_similarity(short[-1], long[0]) - 0.02)
     if ends < 0.6:
@@ -246,7 +248,10 @@ def stars(names: DataFrame) -> DataFrame:
     longest = Window.partitionBy("block", "band").orderBy(F.desc(F.length("name")), "name")
     lead = rest.withColumn("other", F.first("name").over(longest)).where("name <> other").select("block", "name", "other").distinct()
     linked = _scored(lead).where(F.col("s") >= ACCEPT).groupBy("block", "name").agg(F.max_by("other", F.struct("s", F.length("other"), "other")).alias("star"))
-    alone = rest.select("block", "name").distinct().join(linked, ["block", "name"], "left").select("block", "name", F.coalesce("star", "name").alias("star"))
+    alone = cut(rest.select("block", "name").distinct().join(linked, ["block", "name"], "left").select("block", "name", F.coalesce("star", "name").alias("star")))
+    for _ in range(2):  # a name whose centre is a satellite itself moves on to that one's centre
+        onward = alone.select("block", F.col("name").alias("star"), F.col("star").alias("next"))
+        alone = alone.join(onward, ["block", "star"], "left").select("block", "name", F.coalesce("next", "star").alias("star"))
     return joined.unionByName(alone)
 
 
