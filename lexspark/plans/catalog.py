@@ -6,18 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import packed_and_nested
+from lexspark.plans import legal, packed_and_nested, reports, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_and_nested.p6_found(spark, sf_dir)
+    """Retrieval evaluation end to end: search, labels, set metrics, macro means."""
+    return retrieval.q_retrieval_macro(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (packed_and_nested.p1_found, packed_and_nested.p6_found)}
+    return packed_and_nested.QUERIES | retrieval.QUERIES | legal.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.SQL | legal.SQL | reports.SQL

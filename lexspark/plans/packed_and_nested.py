@@ -51,3 +51,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = latest_delivery(table(spark, sf_dir, "phan_quyet_toa_so_tham").select("mention_id", "pham_toi", "phat_tu", "loaded_at"), "mention_id")
     values = unpack(rows, "mention_id", ["pham_toi", "phat_tu"], KEYS)
     return values.where("n_values > 1").select(F.col("id").alias("mention_id"), "field", "pos", "item")
+
+
+def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw_id, leaf, n_entries, n_values, max_rep, max_def): the shredded columns of every payload in summary."""
+    shredded = shred_json(table(spark, sf_dir, "raw_extractions"), "raw_id", "payload", (BI_CAO, PHAN_QUYET))
+    n = F.size(F.filter("val", lambda x: x.isNotNull())).cast("long")
+    return shredded.select(F.col("id").alias("raw_id"), "leaf", F.size("rep").cast("long").alias("n_entries"), n.alias("n_values"), F.array_max("rep").alias("max_rep"), F.array_max("def").alias("max_def"))
+
+
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mention_id, field, pos, n_values, item): the values of every cell, also of cells that hold one."""
+    rows = latest_delivery(table(spark, sf_dir, "phan_quyet_toa_so_tham").select("mention_id", "pham_toi", "phat_tu", "loaded_at"), "mention_id")
+    return unpack(rows, "mention_id", ["pham_toi", "phat_tu"], KEYS).withColumnRenamed("id", "mention_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p6_found, p6_tables)}
