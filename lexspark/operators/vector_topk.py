@@ -55,12 +55,18 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, per_doc: bool = F
                 if not len(x) or not len(q):
                     continue
                 own, doc = batch["id"].to_numpy()[at], batch["doc"].to_numpy()[at]
+                order = np.lexsort((own, pd.factorize(doc, sort=False)[0]))
+                x, own, doc = x[order], own[order], doc[order]
+                starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if per_doc else np.arange(len(x))
                 d = 1.0 - q @ x.T
                 d[docs[:, None] == doc[None, :]] = np.inf
-                keep = min(len(x), k if not per_doc else len(x))
-                near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                kth = np.take_along_axis(d, near, 1).max(1) if keep < len(x) else np.full(len(q), np.inf)
-                r, c = np.nonzero((d <= kth[:, None]) & np.isfinite(d))  # ties of the k-th stay
+                least = np.minimum.reduceat(d, starts, axis=1) if per_doc else d
+                keep = min(least.shape[1], k)
+                kth = np.partition(least, keep - 1, axis=1)[:, keep - 1]
+                r, c = np.nonzero((least <= kth[:, None]) & np.isfinite(least))  # ties of the k-th stay
+                if per_doc:  # the nearest chunk of a document, of equal ones the smallest id
+                    ends = np.append(starts[1:], len(x))
+                    c = np.array([starts[j] + d[i, starts[j] : ends[j]].argmin() for i, j in zip(r, c, strict=True)], dtype=np.int64)
                 rows = pd.DataFrame({"query_id": ids[r], "other_id": own[c], "doc": doc[c], "distance": d[r, c]})
                 best = _reduce(rows if best is None else pd.concat([best, rows]), k, per_doc)
             if best is not None:
