@@ -46,11 +46,11 @@ def articles(signatures: Column) -> Column:
 def parse(query: Column) -> Column:
     """struct(dieu, khoan, diem, normalized, error) of a free-form citation.
 
-    Accents are folded, label words and every run of other signs separate; order counts, words do not. Leading
+    Accents and blanks go, label words and every run of other signs separate; order counts, words do not. Leading
     zeros are kept. Errors: null, nothing left, an article that is not a number, more than three parts.
     """
     shown = F.concat(F.lit("'"), query, F.lit("'"))
-    folded = strip_accents(F.lower(query))
+    folded = F.regexp_replace(strip_accents(F.lower(query)), r"(?U)\s+", "")
     unlabelled = F.regexp_replace(folded, r"(?:dieu|đieu|khoan|diem|điem)", "-")
     parts = F.filter(F.split(F.regexp_replace(unlabelled, r"[^0-9a-zđ]+", "-"), "-"), lambda x: x != "")
     n = F.size(parts)
@@ -58,7 +58,7 @@ def parse(query: Column) -> Column:
         F.when(query.isNull(), F.lit("signature is None"))
         .when(strip(query) == "", F.lit("signature is empty"))
         .when(n == 0, F.concat(F.lit("invalid signature: "), shown))
-        .when(~F.get(parts, F.lit(0)).rlike(r"^\d+[a-zđ]?$"), F.concat(F.lit("invalid dieu in signature: "), shown))
+        .when(~F.get(parts, F.lit(0)).rlike(r"^\d+$"), F.concat(F.lit("invalid dieu in signature: "), shown))
         .when(n > 3, F.concat(F.lit("too many parts in signature: "), shown))
     )
     good = error.isNull()

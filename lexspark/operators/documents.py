@@ -89,7 +89,7 @@ def defendants(texts: DataFrame) -> DataFrame:
                     continue
                 starts = [m for m in _NUMBERED.finditer(text) if _BIRTH.search(text, m.end(), m.end() + 500)]
                 ends = [m.start() for m in starts[1:]] + [len(text)]
-                blocks = [text[m.end() : e] for m, e in zip(starts, ends, strict=True)] or [text]
+                blocks = [text[m.end() : e] for m, e in zip(starts, ends, strict=True)] if starts else [text]
                 for k, block in enumerate(blocks, 1):
                     entry = _ATTENDANCE.sub("", block.strip()) or block.strip()
                     m = _DEFENDANT.match(entry)
