@@ -175,7 +175,7 @@ def similarity(x: Name, y: Name) -> float:
                 alike = token_similarity(m.folded[0], given)
                 if alike > 0.6 and (m.folded[1:] == alias.split(" ") or (len(m.folded) == 1 and alias in m.aliases)):
                     return 0.92 * alike
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    short, long = sorted((a, b), key=lambda t: (len(t), t))
     ends = max(token_similarity(short[-1], long[-1]), token_similarity(short[0], long[-1]) - 0.02, token_similarity(short[-1], long[0]) - 0.02)
     if ends < 0.6:
         return 0.0
@@ -204,6 +204,8 @@ def _keys(names: DataFrame) -> DataFrame:
                     own |= {hash_text(f"{i} {r.tobytes().hex()}") for i, r in enumerate(h)}
                 keys += own
                 at += [k] * len(own)
+            if not at:
+                continue
             out = b.iloc[at].copy()
             out["band"] = np.array(keys, np.uint64).view(np.int64)
             yield out

@@ -38,6 +38,7 @@ NEAR = 0.12  # a further shard is asked if its centroid's cosine is so close to
 LINKS = 12  # neighbours chosen for a vector on each level; with the reverse links twice as many
 BEAM = 14
 EXPAND = 2
+_BROADCAST_ROWS = 200_000  # codes of 8 bytes; beyond that they are joined by shuffle
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -255,9 +256,13 @@ def _search(routed: DataFrame, dim: int, k: int) -> DataFrame:
     salted = few.withColumn("n", F.row_number().over(Window.partitionBy("code", F.pmod("id", F.lit(64))).orderBy("id"))).where(F.col("n") <= k + 1)
     firsts = salted.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "code", "n")
     crowded = cut(firsts.where(F.col("n") == k + 1).select("code"))
-    leaders = firsts.join(crowded, "code").where(F.col("n") <= k).select("code", F.col("id").alias("other"), F.col("n").alias("rank"))
-    extra = few.join(crowded, "code", "left_semi").join(firsts.select("id"), "id", "left_anti").join(leaders, "code").select("id", "other", F.lit(1.0).alias("cosine"), "rank")
-    searched = routed.join(crowded, "code", "left_anti").unionByName(routed.join(crowded, "code", "left_semi").join(firsts.select("id"), "id", "left_semi"), allowMissingColumns=True)
+    n_crowded = crowded.count()
+    small = F.broadcast(crowded) if n_crowded <= _BROADCAST_ROWS else crowded
+    extra, searched = None, routed
+    if n_crowded:
+        leaders = firsts.join(small, "code").where(F.col("n") <= k).select("code", F.col("id").alias("other"), F.col("n").alias("rank"))
+        extra = few.join(small, "code", "left_semi").join(firsts.select("id"), "id", "left_anti").join(leaders, "code").select("id", "other", F.lit(1.0).alias("cosine"), "rank")
+        searched = routed.join(small, "code", "left_anti").unionByName(routed.join(small, "code", "left_semi").join(firsts.select("id"), "id", "left_semi"), allowMissingColumns=True)
 
     sizes = searched.groupBy(F.col("cells")[0].alias("cell")).count()
     parts = sizes.select("cell", F.ceil(F.col("count") / MOST).cast("int").alias("parts"))  # a row per centroid
@@ -288,4 +293,5 @@ def _search(routed: DataFrame, dim: int, k: int) -> DataFrame:
     found = asked.groupBy("shard").applyInPandas(run, "id long, other long, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("id", "other", "cosine", "rank").unionByName(extra)
+    ranked = ranked.select("id", "other", "cosine", "rank")
+    return ranked if extra is None else ranked.unionByName(extra)

@@ -206,8 +206,8 @@ def evidence(texts: DataFrame) -> DataFrame:
                     lines.update(seen.keys())
                     certain.update(x for x, level in seen.items() if level)
         kept = [(w, c) for w, c in words.items() if _is_word(w)]
-        yield pd.DataFrame({"kind": "word", "key": [w for w, _ in kept], "n": [c for _, c in kept], "sure": 0})
-        yield pd.DataFrame({"kind": "line", "key": list(lines), "n": list(lines.values()), "sure": [certain[k] for k in lines]})
+        rows = [("word", w, c, 0) for w, c in kept] + [("line", k, c, certain[k]) for k, c in lines.items()]
+        yield pd.DataFrame(rows, columns=["kind", "key", "n", "sure"])
 
     found = texts.select("t").mapInPandas(run, "kind string, key string, n long, sure long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
