@@ -144,3 +144,29 @@ def accept_correction(old: Column, new: Column, limit: float = 0.4) -> Column:
     signs = new.rlike(r"[^\p{L}\p{N}\s]") & ~old.rlike(r"[^\p{L}\p{N}\s]")
     near = (edits <= 2) & (edits / F.greatest(F.length(old), F.lit(1)) < limit)
     return ~tail & ~signs & ((bare_old == bare_new) | near)
+
+
+def map_text(c: Column) -> Column:
+    """The non-blank values of a map of texts, in key order, separated by blank lines; null gives an empty text."""
+    entries = F.array_sort(F.map_entries(c))
+    return F.coalesce(F.array_join(F.filter(F.transform(entries, lambda e: strip(e["value"])), lambda x: x != ""), "\n\n"), F.lit(""))
+
+
+def http_answer(status: Column, body: Column) -> Column:
+    """struct(usable, detail) of a status code: 2xx is usable, 401 and 403 are failed authorisations."""
+    code = F.concat(F.lit("HTTP "), status.cast("string"))
+    snippet = F.substring(collapse(F.coalesce(body, F.lit(""))), 1, 180)
+    ok = status.between(200, 299)
+    detail = F.when(ok, code).when(status.isin(401, 403), F.concat(code, F.lit(" (auth failed)"))).when(snippet != "", F.concat(code, F.lit(": "), snippet)).otherwise(code)
+    return F.struct(F.when(ok, "yes").otherwise("no").alias("usable"), detail.alias("detail"))
+
+
+def exact_round(c: Column, places: int) -> Column:
+    """Rounding of the exact binary value, half to even, as Python does; for byte-equal reports only."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None or x != x else round(x, places))
+
+    return run(c)

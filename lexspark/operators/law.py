@@ -144,3 +144,44 @@ def mentions(texts: DataFrame) -> DataFrame:
 def citations(text: Column) -> Column:
     """Array of the article numbers that a text cites, in order, with repeats."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?iu)điều\s+(\d+[a-zA-Z]*)"), F.lit(1))
+
+
+def leaf_chunks(nodes: DataFrame, law_id: str, limit: int = 1500) -> DataFrame:
+    """Chunk records of the lowest nodes of a statute, each with the texts of its ancestors.
+
+    ``nodes``: (pos, chuong, chuong_title, dieu, khoan, diem, level, own_text). An article without clauses and a
+    clause without points are lowest nodes too. The running number in the id follows reading order, so repeated
+    signatures keep ids of their own; it is a window over one statute, not over the collection.
+    """
+    from lexspark.functions.chunk import sentence_chunks
+
+    def flag(*keys: str) -> Column:
+        return F.max(F.col("level") == F.lit("khoan" if keys == ("dieu",) else "diem")).over(Window.partitionBy(*keys))
+
+    n = nodes.where("dieu is not null").withColumn("has_khoan", flag("dieu")).withColumn("has_diem", flag("dieu", "khoan"))
+    heads = n.where("level = 'dieu'").select("dieu", F.trim(F.split("own_text", "\n")[0]).alias("head"))
+    clause = n.where("level = 'khoan'").select("dieu", "khoan", F.trim("own_text").alias("clause"))
+    lowest = n.where("level = 'diem' or (level = 'khoan' and not has_diem) or (level = 'dieu' and not has_khoan)")
+    lowest = lowest.join(heads, "dieu", "left").join(clause, ["dieu", "khoan"], "left")
+    label = F.concat(F.lit(f"[LAW:{law_id}] [Chuong "), F.coalesce("chuong", F.lit("")), F.lit("] [Dieu "), "dieu", F.lit("]"), F.coalesce(F.concat(F.lit(" [Khoan "), "khoan", F.lit("]")), F.lit("")), F.coalesce(F.concat(F.lit(" [Diem "), "diem", F.lit("]")), F.lit("")))
+    text = F.concat_ws("\n", label, "chuong_title", F.when(F.col("level") == "dieu", F.trim("own_text")).otherwise(F.col("head")), F.when(F.col("level") == "diem", F.col("clause")), F.when(F.col("level") != "dieu", F.trim("own_text")))
+    sig = F.concat_ws("-", "dieu", "khoan", "diem")
+    parts = lowest.select("pos", "level", "chuong", "dieu", "khoan", "diem", sig.alias("law_signature_full"), F.posexplode(sentence_chunks(text, limit)).alias("chunk_index", "text"))
+    ordinal = F.row_number().over(Window.orderBy("pos", "chunk_index")) - 1
+    chunk_id = F.format_string(f"law::{law_id}::%s::%s::chuong-%s::%02d::%06d", "level", "law_signature_full", F.coalesce("chuong", F.lit("")), F.col("chunk_index"), ordinal)
+    return parts.select(chunk_id.alias("id"), "text", F.lit("law").alias("source_type"), F.lit(law_id).alias("law_id"), F.col("level").alias("law_level"), "dieu", "khoan", "diem", "law_signature_full", "chunk_index")
+
+
+def mention_signatures(found: DataFrame, fold_kinds: bool = False) -> DataFrame:
+    """(id, signatures) of mentions (id, kind, index, default_dieu, default_khoan): sorted, distinct, joined by |.
+
+    Kinds are compared with their unaccented names, as in the reference, so accented ones yield nothing unless
+    ``fold_kinds``; clauses and points take their missing ancestors from the defaults.
+    """
+    from lexspark.functions.text import plain_token, strip_diacritics
+
+    kind = plain_token(strip_diacritics(F.col("kind")) if fold_kinds else F.col("kind"))
+    index = plain_token(F.col("index"))
+    d, k = F.nullif(F.col("default_dieu"), F.lit("")), F.nullif(F.col("default_khoan"), F.lit(""))
+    sig = F.when(kind == "dieu", index).when((kind == "khoan") & d.isNotNull(), F.concat_ws("-", d, index)).when((kind == "diem") & d.isNotNull() & k.isNotNull(), F.concat_ws("-", d, k, index))
+    return found.where(index != "").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(sig)), "|").alias("signatures"))

@@ -224,15 +224,48 @@ def q_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return law.mentions(texts)
 
 
+def q_law_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the statute's lowest nodes with their ancestors' texts."""
+    out = law.leaf_chunks(_nodes(spark, sf_dir).where("level in ('dieu', 'khoan', 'diem')"), "doc_hinh_su")
+    return out.select("id", "law_level", "law_signature_full", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n"))
+
+
+def q_law_chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_law_chunks(spark, sf_dir).groupBy("law_level").agg(F.count("*").alias("n"))
+
+
+def q_mention_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of the cross-references of every node, missing ancestors from the node itself."""
+    nodes = table(spark, sf_dir, "law_nodes").select(F.col("law_signature_full").alias("id"), F.col("own_text").alias("t"), F.col("dieu").alias("default_dieu"), F.col("khoan").alias("default_khoan"))
+    found = law.mentions(nodes.select("id", "t")).join(nodes.select("id", "default_dieu", "default_khoan"), "id")
+    return law.mention_signatures(found, fold_kinds=True)
+
+
+def q_split_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of cases by the split of their judgment, which all chunks of a case share."""
+    split = latest_delivery(table(spark, sf_dir, "thong_tin_chung").select("record_id", "split_name", "loaded_at"), "record_id")
+    chunks = table(spark, sf_dir, "chunk_vectors").where("coalesce(source_type, '') <> 'law'").select("vec_id", F.col("doc_id").alias("doc"))
+    return chunks.join(split.select(F.col("record_id").cast("string").alias("doc"), "split_name"), "doc").groupBy("split_name").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc").alias("n_docs"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (q_signature_expand, q_clause_signatures, q_overlap_join, q_greedy_cover, q_greedy_summary, q_lp_cover_value, q_label_errors, q_hierarchy_carry_forward, q_ancestor_text, q_hier_lookup, q_explicit_lookup, q_referential_check, q_chapter_counts, q_article_counts, q_zero_filled_hist, q_semi_chapter_filter, q_cooccurrence_corr, q_citation_counts, q_mentions)
+    for f in (q_signature_expand, q_clause_signatures, q_overlap_join, q_greedy_cover, q_greedy_summary, q_lp_cover_value, q_label_errors, q_hierarchy_carry_forward, q_ancestor_text, q_hier_lookup, q_explicit_lookup, q_referential_check, q_chapter_counts, q_article_counts, q_zero_filled_hist, q_semi_chapter_filter, q_cooccurrence_corr, q_citation_counts, q_mentions, q_law_chunks, q_law_chunk_types, q_mention_signatures, q_split_propagation)
 }
 _ARTS_SQL = f"SELECT DISTINCT record_id, trim(dieu) AS dieu FROM ({_ITEMS_SQL}) WHERE coalesce(trim(dieu), '') <> ''"
 _MAP_SQL = "SELECT dieu, arg_max(chuong, chapter_pos) AS chuong FROM law_nodes WHERE dieu IS NOT NULL GROUP BY 1"
 _FULL_SQL = f"""WITH n AS ({_LAST_SQL}), s AS (SELECT *, '[' || law_level || ' ' || CASE law_level WHEN 'dieu' THEN dieu WHEN 'khoan' THEN khoan ELSE diem END || '] ' || trim(own_text) AS shown FROM n WHERE trim(coalesce(own_text, '')) <> ''),
   h AS (SELECT dieu, shown AS head FROM s WHERE law_level = 'dieu'), k AS (SELECT dieu, khoan, shown AS clause FROM s WHERE law_level = 'khoan')"""
+_LEAF_SQL = f"""WITH n AS (SELECT * FROM ({_NODES_SQL}) WHERE law_level IN ('dieu', 'khoan', 'diem')),
+  m AS (SELECT *, bool_or(law_level = 'khoan') OVER (PARTITION BY dieu) AS hk, bool_or(law_level = 'diem') OVER (PARTITION BY dieu, khoan) AS hd FROM n),
+  l AS (SELECT * FROM m WHERE law_level = 'diem' OR (law_level = 'khoan' AND NOT hd) OR (law_level = 'dieu' AND NOT hk)),
+  t AS (SELECT l.*, concat_ws(chr(10), '[LAW:doc_hinh_su] [Chuong ' || coalesce(l.chuong, '') || '] [Dieu ' || l.dieu || ']' || coalesce(' [Khoan ' || l.khoan || ']', '') || coalesce(' [Diem ' || l.diem || ']', ''), l.chuong_title,
+      CASE WHEN l.law_level = 'dieu' THEN trim(l.own_text) ELSE trim(split_part(h.own_text, chr(10), 1)) END, CASE WHEN l.law_level = 'diem' THEN trim(k.own_text) END, CASE WHEN l.law_level <> 'dieu' THEN trim(l.own_text) END) AS text
+    FROM l LEFT JOIN n h ON h.law_level = 'dieu' AND h.dieu = l.dieu LEFT JOIN n k ON k.law_level = 'khoan' AND k.dieu = l.dieu AND k.khoan = l.khoan)"""
 SQL = {
+    "q_law_chunks": _LEAF_SQL + """ SELECT 'law::doc_hinh_su::' || law_level || '::' || concat_ws('-', dieu, khoan, diem) || '::chuong-' || coalesce(chuong, '') || '::00::' || lpad((row_number() OVER (ORDER BY pos) - 1)::VARCHAR, 6, '0') AS id, law_level, concat_ws('-', dieu, khoan, diem) AS law_signature_full, 0::BIGINT AS chunk_index, length(trim(text)) AS n FROM t""",
+    "q_law_chunk_types": _LEAF_SQL + " SELECT law_level, count(*) AS n FROM t GROUP BY 1",
+    "q_split_propagation": "SELECT split_name, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM chunk_vectors c JOIN (SELECT DISTINCT ON (record_id) record_id, split_name FROM thong_tin_chung ORDER BY record_id, loaded_at DESC) s ON s.record_id::VARCHAR = c.doc_id WHERE coalesce(source_type, '') <> 'law' GROUP BY 1",
     "q_signature_expand": LABELS_SQL,
     "q_clause_signatures": _CLAUSES_SQL,
     "q_overlap_join": _SIDES_SQL + " SELECT query, case_id, count(*) AS common FROM q JOIN t USING (sig) GROUP BY 1, 2",
