@@ -394,4 +394,19 @@ SQL = {
     "q_query_text": """WITH e AS (SELECT record_id, trim(noi_dung_vu_an.ket_luan_cac_ben) AS a, trim(nguoi_tham_gia) AS b FROM extracted_fields)
         SELECT record_id, md5(concat_ws(chr(10) || chr(10), nullif(a, ''), nullif(b, ''))) AS plain, md5(concat_ws(chr(10) || chr(10), CASE WHEN a <> '' THEN '[ket_luan]' || chr(10) || a END, CASE WHEN b <> '' THEN '[nguoi_tham_gia]' || chr(10) || b END)) AS named,
           concat_ws('|', CASE WHEN coalesce(a, '') = '' THEN 'ket_luan' END, CASE WHEN coalesce(b, '') = '' THEN 'nguoi_tham_gia' END) AS missing FROM e""",
+    "q_llm_stub_roundtrip": f"SELECT mention_id AS id, 'offline' AS provider, 'ok' AS status, 1::BIGINT AS n_failed, coalesce(bi_cao, '') AS bi_cao FROM ({VERDICTS_SQL})",
+    "q_narrative_split": """WITH d AS (SELECT doc_id, text AS t, regexp_extract(text, '(?i)(tại\\s+)?(bản\\s+)?cáo\\s+trạng\\s+số') AS m FROM documents WHERE source = 'cao_trang'),
+        p AS (SELECT doc_id, t, CASE WHEN m <> '' THEN strpos(t, m) END AS a FROM d)
+        SELECT doc_id, length(regexp_replace(CASE WHEN a IS NULL THEN t ELSE substr(t, 1, a - 1) END, '^[\\s\\x{85}\\x{a0}]+|[\\s\\x{85}\\x{a0}]+$', '', 'g')) AS before, CASE WHEN a IS NOT NULL THEN length(regexp_replace(substr(t, a), '^[\\s\\x{85}\\x{a0}]+|[\\s\\x{85}\\x{a0}]+$', '', 'g')) END AS after FROM p""",
+    "q_detected_case_type": """WITH d AS (SELECT source, upper(replace(replace(strip_accents(regexp_replace(substr(text, 1, 3000), '#{1,6}|\\*|\\\\', '', 'g')), 'đ', 'd'), 'Đ', 'D')) AS h FROM documents WHERE text IS NOT NULL)
+        SELECT source, CASE WHEN regexp_matches(h, 'PHUC THAM|HS-PT') THEN 'phuc_tham' WHEN regexp_matches(h, 'SO THAM|HS-ST') THEN 'so_tham' ELSE 'unknown' END AS kind, count(*) AS n FROM d GROUP BY 1, 2""",
+    "q_section_bounds": """WITH e AS (SELECT record_id AS doc_id, string_split('Ngày 05 tháng 6 năm 2020' || chr(10) || 'NỘI DUNG VỤ ÁN' || chr(10) || coalesce(noi_dung_vu_an.qua_trinh_dieu_tra, '') || chr(10) || 'NHẬN ĐỊNH CỦA TÒA ÁN' || chr(10) || 'Xét' || chr(10) || coalesce(quyet_dinh, ''), chr(10)) AS ls FROM extracted_fields),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM e),
+        k AS (SELECT *, trim(upper(replace(replace(strip_accents(regexp_replace(line, '#{1,6}|\\*|\\\\', '', 'g')), 'đ', 'd'), 'Đ', 'D'))) AS f FROM l),
+        h AS (SELECT *, length(f) <= 40 OR regexp_matches(line, '^#{1,6} ') AS hd FROM k),
+        a AS (SELECT *, min(CASE WHEN regexp_matches(f, 'NGAY\\s+\\d{1,2}\\s+THANG\\s+\\d{1,2}\\s+NAM\\s+\\d{4}|\\d{1,2}[/-]\\d{1,2}[/-]\\d{4}') THEN n END) OVER (PARTITION BY doc_id) AS trial_date FROM h),
+        b AS (SELECT *, min(CASE WHEN hd AND regexp_matches(f, '^(?:NOI DUNG VU AN|NHAN THAY)') AND n >= coalesce(trial_date, 0) THEN n END) OVER (PARTITION BY doc_id) AS noi_dung FROM a),
+        c AS (SELECT *, min(CASE WHEN hd AND regexp_matches(f, '^(?:NHAN DINH CUA (?:TOA AN|HOI DONG XET XU)|XET THAY)') AND n >= coalesce(noi_dung, 0) THEN n END) OVER (PARTITION BY doc_id) AS nhan_dinh FROM b),
+        d AS (SELECT *, min(CASE WHEN hd AND regexp_matches(f, '^(?:QUYET DINH\\s*:?|TUYEN XU\\s*:?)') AND n >= coalesce(nhan_dinh, 0) THEN n END) OVER (PARTITION BY doc_id) AS quyet_dinh FROM c)
+        SELECT DISTINCT doc_id, trial_date, noi_dung, nhan_dinh, quyet_dinh, concat_ws('|', CASE WHEN noi_dung IS NULL THEN 'noi_dung' END, CASE WHEN nhan_dinh IS NULL THEN 'nhan_dinh' END, CASE WHEN quyet_dinh IS NULL THEN 'quyet_dinh' END) AS missing FROM d""",
 }
