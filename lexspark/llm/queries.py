@@ -166,4 +166,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p7_found, p7_counts, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_restored)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p4_found": """SELECT record_id, 'noi_dung_vu_an' AS field, 'qua_trinh_dieu_tra' AS part_key FROM extracted_fields WHERE length(noi_dung_vu_an.qua_trinh_dieu_tra) > 1500
+        UNION ALL SELECT record_id, 'noi_dung_vu_an', 'ket_luan_cac_ben' FROM extracted_fields WHERE length(noi_dung_vu_an.ket_luan_cac_ben) > 1500
+        UNION ALL SELECT record_id, 'nhan_dinh_cua_toa_an', e.key FROM (SELECT record_id, unnest(map_entries(nhan_dinh_cua_toa_an)) AS e FROM extracted_fields) WHERE length(e.value) > 1500""",
+}
