@@ -70,12 +70,19 @@ def q_incremental_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_split_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the judgments, at least one, by a hash of the file name; the number is rounded half to even."""
     files = table(spark, sf_dir, "extracted_fields").select("record_id", F.regexp_replace("filename", r"\.[^.]*$", "").alias("stem"))
-    total = files.agg(F.greatest(F.lit(1), F.bround(F.count("*") * 0.1, 0).cast("int")).alias("n_test"))
-    keyed = files.withColumn("h", F.md5(F.concat(F.lit("42"), "stem")))
-    # The threshold is the n-th smallest hash, found by a top-n sort instead of ranking all rows in one task.
-    n = total.first()["n_test"]
-    last = keyed.orderBy("h", "record_id").limit(n).agg(F.max(F.struct("h", "record_id")).alias("m"))
-    return keyed.join(F.broadcast(last)).select("record_id", "stem", (F.struct("h", "record_id") <= F.col("m")).alias("is_test"))
+    total = files.count()
+    n_test = max(1, round(total * 0.1))
+    keyed = files.withColumn("h", F.md5(F.concat(F.lit("42"), "stem"))).withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))
+    # The n-th smallest hash lies in one of 65,536 buckets; only the rows of that bucket are ranked.
+    left, edge = n_test, -1
+    for r in keyed.groupBy("bucket").count().orderBy("bucket").collect():
+        edge = r["bucket"]
+        if left <= r["count"]:
+            break
+        left -= r["count"]
+    inside = keyed.where(F.col("bucket") == edge).withColumn("r", F.row_number().over(Window.orderBy("h", "record_id")))
+    ranked = inside.select("record_id", "stem", (F.col("r") <= left).alias("is_test"))
+    return keyed.where(F.col("bucket") != edge).select("record_id", "stem", (F.col("bucket") < edge).alias("is_test")).unionByName(ranked)
 
 
 def q_field_success_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
