@@ -7,8 +7,9 @@ flat arrays, and searched for all vectors routed there at once: greedy descent t
 at the lowest.  A vector's results from all its shards are merged by exact cosine.
 
 Scale: each vector is shuffled once as a member of its shard and once per further shard it asks; results are ids and
-cosines.  Shards hold about ``SHARD`` vectors whatever the size of the table; one that a dense region makes larger
-than ``MOST`` is divided at random and asked in all its parts.  Of vectors with one direction (copies) only the
+cosines.  Centroids start from rows of the sample, so a dense region gets many, and shards hold about ``SHARD``
+vectors up to ``SHARD * CENTROIDS`` vectors (raise CENTROIDS and SAMPLE beyond that); one that is larger than
+``MOST`` is divided at random and asked in all its parts, and one that very many ask is searched in several tasks.  Of vectors with one direction (copies) only the
 ``K + 1`` smallest ids are indexed: they are the nearest of all further copies, which need no search.
 
 Defined results of odd input: null, empty and all-zero vectors, vectors with a value that is not a number and vectors
@@ -38,6 +39,7 @@ NEAR = 0.12  # a further shard is asked if its centroid's cosine is so close to
 LINKS = 12  # neighbours chosen for a vector on each level; with the reverse links twice as many
 BEAM = 14
 EXPAND = 2
+ASKERS = 16_384  # vectors of other shards that one task searches for
 _BROADCAST_ROWS = 200_000  # codes of 8 bytes; beyond that they are joined by shuffle
 
 
@@ -271,6 +273,14 @@ def _search(routed: DataFrame, dim: int, k: int) -> DataFrame:
     asked = asked.withColumn("home", home).select("id", "raw", "cell", "home", "nth", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     member = (F.col("nth") == 0) & (F.col("part") == F.col("home"))
     asked = asked.select((F.col("cell").cast("long") * 65536 + F.col("part")).alias("shard"), "id", "raw", member.alias("member"))
+    # A shard that many strangers ask is searched in several tasks: its members go to each, the strangers are dealt.
+    busy = cut(asked.groupBy("shard").agg(F.count_if(~F.col("member")).alias("n")).where(F.col("n") > ASKERS).select("shard", F.ceil(F.col("n") / ASKERS).cast("int").alias("turns")))
+    n_busy = busy.count()
+    turn = F.array(F.lit(0))
+    if n_busy:
+        asked = asked.join(F.broadcast(busy) if n_busy <= _BROADCAST_ROWS else busy, "shard", "left").withColumn("turns", F.coalesce("turns", F.lit(1)))
+        turn = F.when(F.col("member"), F.sequence(F.lit(0), F.col("turns") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit("turn")), F.col("turns")).cast("int")))
+    asked = asked.select("shard", "id", "raw", "member", F.explode(turn).alias("turn"))
 
     def run(frame):
         ids = frame["id"].to_numpy()
@@ -281,16 +291,18 @@ def _search(routed: DataFrame, dim: int, k: int) -> DataFrame:
         graph = Graph(np.ascontiguousarray(x[where]), ids[where])
         own = np.full(len(ids), -1)
         own[where] = np.arange(len(where))
+        asking = np.arange(len(ids)) if frame["turn"].iloc[0] == 0 else np.flatnonzero(~inside)
         out = []
-        for a in range(0, len(ids), 4096):
-            nodes, _ = graph.search(x[a : a + 4096], own[a : a + 4096], k + 3)
+        for a in range(0, len(asking), 4096):
+            q = asking[a : a + 4096]
+            nodes, _ = graph.search(x[q], own[q], k + 3)
             r, c = np.nonzero(nodes >= 0)
             other = where[nodes[r, c]]
-            cosine = np.einsum("ij,ij->i", exact[a + r], exact[other])
-            out.append(pd.DataFrame({"id": ids[a + r], "other": ids[other], "cosine": cosine}))
-        return pd.concat(out)
+            cosine = np.einsum("ij,ij->i", exact[q[r]], exact[other])
+            out.append(pd.DataFrame({"id": ids[q[r]], "other": ids[other], "cosine": cosine}))
+        return pd.concat(out) if out else pd.DataFrame({"id": ids[:0], "other": ids[:0], "cosine": np.zeros(0)})
 
-    found = asked.groupBy("shard").applyInPandas(run, "id long, other long, cosine double")
+    found = asked.groupBy("shard", "turn").applyInPandas(run, "id long, other long, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     ranked = ranked.select("id", "other", "cosine", "rank")

@@ -22,6 +22,7 @@ def truth(x, k=5):
 
 def test_recall_over_several_shards(spark, monkeypatch):
     monkeypatch.setattr(nb, "SHARD", 256)
+    monkeypatch.setattr(nb, "ASKERS", 50)
     x = clusters(3000, 12)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
     got = {}
