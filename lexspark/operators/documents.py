@@ -203,3 +203,14 @@ def _few_edits(x: str, y: str, limit: float = 0.4) -> bool:
             now.append(min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (p != q)))
         last = now
     return last[-1] <= 2 and last[-1] / max(len(x), 1) < limit
+
+
+def clean_summary(text: Column) -> Column:
+    """A generated summary without fence, what stands before its last salutation, and lines of noise; one line."""
+    from lexspark.functions.text import collapse, unfence
+
+    body = unfence(F.coalesce(text, F.lit("")))
+    parts = F.split(body, "(?=Thưa luật sư)")
+    last = F.when(F.contains(body, F.lit("Thưa luật sư")), F.element_at(parts, -1)).otherwise(body)
+    lines = F.filter(F.split(last, "\n"), lambda x: ~x.rlike(r"^\s*(?:[-*#>`{}\[\]|]|https?:)"))
+    return collapse(F.array_join(lines, " "))

@@ -9,13 +9,13 @@ from lexspark.functions.metrics import prf, prf_zero
 from lexspark.functions.signatures import article_of, expand
 from lexspark.operators.cover import ranked_trials
 from lexspark.operators.vector_topk import exact_topk
-from lexspark.runtime import cut, latest_delivery, table
+from lexspark.runtime import cut, latest_delivery, table, wide_table
 
 K = 5
 
 
 def _vectors(spark: SparkSession, sf_dir: str, law: bool = False) -> DataFrame:
-    rows = table(spark, sf_dir, "chunk_vectors").select("vec_id", "doc_id", "source_type", "law_signature_full", "embedding")
+    rows = wide_table(spark, sf_dir, "chunk_vectors", "vec_id", "doc_id", "source_type", "law_signature_full", "embedding")
     is_law = F.coalesce("source_type", F.lit("")) == "law"
     return rows.where(is_law if law else ~is_law).select(F.col("vec_id").alias("id"), F.col("doc_id").alias("doc"), F.col("embedding").alias("v"), "law_signature_full")
 

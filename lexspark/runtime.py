@@ -78,3 +78,13 @@ def ship(spark: SparkSession) -> None:
             z.write(source, Path(package.name) / source.relative_to(package))
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for Python work, dealt to all cores where the files give less than half as many splits.
+
+    Large tables have splits enough and are not shuffled; a small file would be worked on by one core.
+    """
+    rows = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows

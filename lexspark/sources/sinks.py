@@ -52,3 +52,11 @@ def quarantine(files: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
     stem, end = F.regexp_replace("file", r"\.[^.]*$", ""), F.regexp_extract("file", r"(\.[^.]*)$", 1)
     moved = moved.withColumn("target", F.when(F.col("n") == 0, F.col("file")).otherwise(F.concat(stem, F.lit("__dup_"), F.col("n").cast("string"), end))).drop("n")
     return files.join(names, "file", "left_anti"), moved
+
+
+def text_report(summary: DataFrame, title: str, width: int = 28, most: int = 200) -> str:
+    """A small table as fixed-width text; at most ``most`` rows reach the driver."""
+    rows = summary.limit(most).collect()
+    lines = [title, "=" * len(title), "".join(c.ljust(width) for c in summary.columns)]
+    lines += ["".join(("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)).ljust(width) for v in r) for r in rows]
+    return "\n".join(line.rstrip() for line in lines) + "\n"

@@ -174,3 +174,26 @@ def test_stream_is_incremental(spark, tmp_path):
     spark.createDataFrame([(2, "x"), (3, "c")], "id long, v string").write.mode("append").parquet(source)
     ingest(spark, source, "id long, v string", target, check, files_per_batch=1).awaitTermination()
     assert {(r["id"], r["v"]) for r in spark.read.parquet(target).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_summary_cleanup_and_validity(spark):
+    raw = "```\nlời dẫn\nThưa luật sư, câu một.\n- ghi chú\nThưa luật sư, tôi   bị\nkiện vì vay tiền.\n```"
+    rows = spark.createDataFrame([(1, raw), (2, None), (3, "x" * 90), (4, "* " + "x" * 90)], "id long, t string")
+    got = {r["id"]: (r["c"], r["v"]) for r in rows.select("id", documents.clean_summary(F.col("t")).alias("c"), documents.summary_is_valid(F.col("t")).alias("v")).collect()}
+    assert got[1][0] == "Thưa luật sư, tôi bị kiện vì vay tiền." and got[2] == ("", False)
+    assert got[3][1] and not got[4][1]
+
+
+def test_text_report(spark):
+    out = sinks.text_report(spark.createDataFrame([("a", 0.5), (None, 1.0)], "k string, v double"), "Title", 6)
+    assert out == "Title\n=====\nk     v\na     0.5000\n      1.0000\n"
+
+
+def test_small_functions(spark):
+    from lexspark.functions import text
+
+    rows = spark.createDataFrame([(200, "x"), (401, ""), (500, " a \n b "), (500, None)], "s int, b string")
+    got = [tuple(r["h"]) for r in rows.select(text.http_answer(F.col("s"), F.col("b")).alias("h")).collect()]
+    assert got == [("yes", "HTTP 200"), ("no", "HTTP 401 (auth failed)"), ("no", "HTTP 500: a b"), ("no", "HTTP 500")]
+    one = spark.range(1).select(text.map_text(F.create_map(F.lit("b"), F.lit(" y "), F.lit("a"), F.lit("x"), F.lit("c"), F.lit(" "))).alias("m"), text.exact_round(F.lit(0.03125), 4).alias("r")).first()
+    assert (one["m"], one["r"]) == ("x\n\ny", 0.0312)
