@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.runtime import cut
+from lexspark.runtime import cut, parallelism
 
 K = 5
 SHARD = 2048  # vectors a centroid is meant for
@@ -39,6 +39,7 @@ NEAR = 0.12  # a further shard is asked if its centroid's cosine is so close to
 LINKS = 12  # neighbours chosen for a vector on each level; with the reverse links twice as many
 BEAM = 14
 EXPAND = 2
+TASK = 16_384  # vectors that a task searches for, about
 ASKERS = 16_384  # vectors of other shards that one task searches for
 _BROADCAST_ROWS = 200_000  # codes of 8 bytes; beyond that they are joined by shuffle
 
@@ -248,10 +249,10 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
             )
 
     routed = usable.select("id", "v").mapInPandas(route, "id long, code long, cells array<int>, raw binary")
-    return _search(routed, dim, k)
+    return _search(routed, dim, k, total)
 
 
-def _search(routed: DataFrame, dim: int, k: int) -> DataFrame:
+def _search(routed: DataFrame, dim: int, k: int, total: int) -> DataFrame:
     routed = cut(routed)
     # Copies: only the k + 1 smallest ids of one direction are searched; salted, as one direction may be very frequent.
     few = routed.select("id", "code")
@@ -302,7 +303,9 @@ def _search(routed: DataFrame, dim: int, k: int) -> DataFrame:
             out.append(pd.DataFrame({"id": ids[q[r]], "other": ids[other], "cosine": cosine}))
         return pd.concat(out) if out else pd.DataFrame({"id": ids[:0], "other": ids[:0], "cosine": np.zeros(0)})
 
-    found = asked.groupBy("shard", "turn").applyInPandas(run, "id long, other long, cosine double")
+    # Tasks by number of vectors, not by bytes: searching is what costs.
+    tasks = max(parallelism(routed.sparkSession), -(-total // TASK))
+    found = asked.repartition(tasks, "shard", "turn").groupBy("shard", "turn").applyInPandas(run, "id long, other long, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     ranked = ranked.select("id", "other", "cosine", "rank")

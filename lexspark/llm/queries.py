@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import chunking, encoding, mixing, names, neighbours, overlap, packing, scanned, tokens
-from lexspark.runtime import cut, latest_delivery, stored, table
+from lexspark.runtime import cut, latest_delivery, stored, table, wide_table
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, states, n_tokens, restored): garbled documents with the encoding pairs and the restored text."""
-    found = encoding.find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = encoding.find_garbled(wide_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     return found.withColumnRenamed("id", "doc_id").selectExpr("doc_id", "array_join(states, '|') AS states", "n_tokens", "restored")
 
 
@@ -24,7 +24,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, other_id, cosine, rank): the five most similar other vectors of every vector."""
-    found = neighbours.nearest(table(spark, sf_dir, "chunk_vectors").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    found = neighbours.nearest(wide_table(spark, sf_dir, "chunk_vectors", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
     return found.select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), "cosine", "rank")
 
 
@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.create_map(F.lit("noi_dung_vu_an"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra"), F.lit("quyet_dinh"), F.col("quyet_dinh"))
-    return table(spark, sf_dir, "extracted_fields").select(F.col("record_id").alias("id"), F.explode(fields).alias("field", "t"))
+    return wide_table(spark, sf_dir, "extracted_fields", "record_id", "noi_dung_vu_an", "quyet_dinh").select(F.col("record_id").alias("id"), F.explode(fields).alias("field", "t"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id_a, record_id_b): judgments of validation and test that stand also in train."""
     judgments = cut(_judgments(spark, sf_dir)).withColumn("side", F.col("split_name") == "train")
-    narratives = table(spark, sf_dir, "extracted_fields").select(F.col("record_id").alias("id"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra").alias("t"))
+    narratives = wide_table(spark, sf_dir, "extracted_fields", "record_id", "noi_dung_vu_an").select(F.col("record_id").alias("id"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra").alias("t"))
     texts = stored(narratives.join(judgments.select("id", "side"), "id"))
     pairs = overlap.cross_split_pairs(texts, judgments.select("id", "side", "number"))
     return pairs.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
@@ -82,7 +82,7 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, field, part_key, piece, n_pieces, overlap, piece_text): oversized texts in pieces."""
-    rows = table(spark, sf_dir, "extracted_fields")
+    rows = wide_table(spark, sf_dir, "extracted_fields", "record_id", "noi_dung_vu_an", "nhan_dinh_cua_toa_an")
     story = F.create_map(F.lit("qua_trinh_dieu_tra"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra"), F.lit("ket_luan_cac_ben"), F.col("noi_dung_vu_an.ket_luan_cac_ben"))
     keys = ("record_id", "field", "part_key")
     parts = rows.select("record_id", F.lit("noi_dung_vu_an").alias("field"), F.explode(story).alias("part_key", "t"))
@@ -128,7 +128,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, part, n_tokens, container, capacity): the place of every document or part of one."""
-    sizes = tokens.token_table(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.col("n_tokens").alias("size"))
+    sizes = tokens.token_table(wide_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select("id", F.col("n_tokens").alias("size"))
     return packing.pack_items(sizes).select(F.col("id").alias("doc_id"), "part", F.col("size").alias("n_tokens"), "container", "capacity")
 
 
@@ -154,7 +154,7 @@ def _topic(text: str) -> str:
 
 def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, copies): the documents of the mix and how often each is used."""
-    sizes = tokens.token_table(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source", "lang"), label=_topic)
+    sizes = tokens.token_table(wide_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), "doc_id", "text", keep=("source", "lang"), label=_topic)
     records = sizes.select("id", "source", "lang", F.col("label").alias("topic"), F.col("n_tokens").alias("size"))
     mixed = mixing.mix(records, table(spark, sf_dir, "mix_targets"))
     return mixed.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
