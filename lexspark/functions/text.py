@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,8 +164,6 @@ def http_answer(status: Column, body: Column) -> Column:
 
 def exact_round(c: Column, places: int) -> Column:
     """Rounding of the exact binary value, half to even, as Python does; for byte-equal reports only."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None or x != x else round(x, places))
