@@ -34,6 +34,12 @@ def _years_months(text: Column, end: str) -> Column:
     return F.coalesce(_number(text, both, 1) * 12 + _number(text, both, 2), _number(text, years, 1) * 12, _number(text, months, 1))
 
 
+def _any_years_months(text: Column) -> Column:
+    """Years and months wherever they stand in a fragment; null without either."""
+    y, m = _number(text, rf"{_N}\s*nam\b", 1), _number(text, rf"{_N}\s*thang\b", 1)
+    return F.when(y.isNotNull() | m.isNotNull(), F.coalesce(y, F.lit(0)) * 12 + F.coalesce(m, F.lit(0)))
+
+
 def months(text: Column, fold_d: bool = False) -> Column:
     """Months, 0 for null, blank and non-custodial texts.
 
@@ -47,7 +53,7 @@ def months(text: Column, fold_d: bool = False) -> Column:
     s = collapse(F.regexp_replace(low, r"\([^)]*\)", " "))
     free = reduce(lambda a, b: a | b, [F.contains(s, F.lit(m)) for m in NON_CUSTODIAL])
     joint = F.regexp_extract_all(s, F.lit(r"(tong hop[^.;,:\n]*)"), F.lit(1))
-    joint_months = F.transform(joint, lambda x: F.coalesce(_years_months(x, ""), F.when(F.contains(x, F.lit("chung than")), F.lit(LIFE_MONTHS))))
+    joint_months = F.transform(joint, lambda x: F.coalesce(_any_years_months(x), F.when(F.contains(x, F.lit("chung than")), F.lit(LIFE_MONTHS))))
     years = rf"tu\s*{_N}\s*nam\s*den\s*{_N}\s*nam"
     spans = rf"tu\s*{_N}\s*thang\s*den\s*{_N}\s*thang"
     middle = F.coalesce((_number(s, years, 1) + _number(s, years, 2)) * 12 / 2, (_number(s, spans, 1) + _number(s, spans, 2)) / 2)

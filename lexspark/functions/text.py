@@ -49,8 +49,9 @@ def collapse(c: Column) -> Column:
 
 
 def heading_norm(c: Column) -> Column:
-    """Markdown signs removed, folded with đ as d, upper case."""
-    return F.upper(strip_diacritics(F.regexp_replace(c, r"#{1,6}|\*|\\", "")))
+    """A line without its leading Markdown marks, stars and backslashes, folded with đ as d, upper case."""
+    bare = F.regexp_replace(F.regexp_replace(strip(c), r"^#{1,6}\s*", ""), r"[*\\]", "")
+    return F.upper(strip_diacritics(strip(bare)))
 
 
 def lookup_token(c: Column) -> Column:
@@ -63,6 +64,7 @@ def plain_token(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"(?U)\s+", "")
 
 
+# The label words and separators of the next two functions.
 def label_token(c: Column, lower: bool = False) -> Column:
     """A legal index without its label word, outer blanks and dots, and inner white space."""
     bare = F.regexp_replace(strip(c), r"(?iu)^(điều|dieu|khoản|khoan|điểm|diem)\s+", "")

@@ -10,38 +10,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.signatures import article_of, expand
-from lexspark.functions.text import heading_norm, is_penal_code, name_norm, strip
-
-# Folded upper-case beginnings of the sections of a judgment.
-SECTIONS = (
-    ("trial_date", r"NGAY\s+\d{1,2}\s+THANG\s+\d{1,2}\s+NAM\s+\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{4}"),
-    ("noi_dung", r"NOI DUNG VU AN|NHAN THAY"),
-    ("nhan_dinh", r"NHAN DINH CUA (?:TOA AN|HOI DONG XET XU)|XET THAY"),
-    ("quyet_dinh", r"QUYET DINH\s*:?|TUYEN XU\s*:?"),
-)
+from lexspark.functions.text import heading_norm, is_penal_code, name_norm, strip, strip_diacritics
+
 HEADING_LENGTH = 40
+# Folded upper-case words and patterns that mark the boundaries of a judgment.
+TRIAL_WORDS = ("XET XU", "TAI TRU SO", "THU LY")
+TRIAL_DATE = r"NGAY\s+\d{1,2}\s+THANG\s+\d{1,2}\s+NAM\s+\d{4}|NGAY\s+\d{1,2}/\d{1,2}/\d{4}|(?:TRONG\s+(?:CAC\s+)?|TU\s+)NGAY"
+PARTIES = r"^(?:-\s*)?(?:(?:BI|NGUOI\s+BI)\s+HAI|NGUYEN\s+DON\s+DAN\s+SU|BI\s+DON\s+DAN\s+SU|NGUOI\s+LAM\s+CHUNG)\b"
+MISSING = (("trial_date", "Bi_cao (trial date line not found)"), ("noi_dung", "NOI_DUNG_VU_AN"), ("nhan_dinh", "NHAN_DINH"), ("quyet_dinh", "QUYET_DINH"))
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """(doc_id, trial_date, noi_dung, nhan_dinh, quyet_dinh, missing): first lines of the sections of (doc_id, line_no, line).
+    """(doc_id, trial_date, lien_quan, noi_dung, nhan_dinh, quyet_dinh, missing) of (doc_id, line_no, line).
 
-    A boundary is the first matching heading at or after the boundary before it; a heading is a Markdown heading or
-    a short line. One pass of conditional minima per boundary, chained by windows; absent sections are null and
-    named in ``missing``.
+    Every boundary is the first matching line at or after the boundary before it (from the start where that is
+    absent); the reasoning has three weaker forms to fall back on, the decision must be a heading of its own. Third
+    parties count only between the trial date and the narrative. Absent boundaries are null and, but for the
+    parties, named in ``missing``. One conditional minimum per boundary and form, chained over one partitioning.
     """
-    norm = heading_norm(F.col("line"))
-    heading = F.col("line").rlike(r"^#{1,6} ") | (F.length(F.trim(norm)) <= HEADING_LENGTH)
-    rows = lines.withColumn("norm", F.trim(norm)).withColumn("heading", heading)
-    previous = F.lit(0)
+    n = heading_norm(F.col("line"))
+    rows = lines.withColumn("n", n).withColumn("heading", F.trim("line").rlike(r"^#{1,6}\s") | (F.length(F.trim(F.regexp_replace("n", r":+$", ""))) <= HEADING_LENGTH))
     whole = Window.partitionBy("doc_id")
-    for name, pattern in SECTIONS:
-        hit = F.col("norm").rlike(pattern) if name == "trial_date" else (F.col("heading") & F.col("norm").rlike(rf"^(?:{pattern})"))
-        rows = rows.withColumn(name, F.min(F.when(hit & (F.col("line_no") >= F.coalesce(previous, F.lit(0))), F.col("line_no"))).over(whole))
-        previous = F.col(name)
-    names = [n for n, _ in SECTIONS]
-    out = rows.groupBy("doc_id").agg(*[F.first(n).alias(n) for n in names])
-    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names[1:]]))
-    return out.withColumn("missing", missing)
+
+    def has(*words: str) -> Column:
+        out = F.lit(True)
+        for w in words:
+            out = out & F.contains("n", F.lit(w))
+        return out
+
+    def first(condition: Column, after: Column | None = None) -> Column:
+        at = condition if after is None else condition & (F.col("line_no") >= F.coalesce(after, F.lit(0)))
+        return F.min(F.when(at, F.col("line_no"))).over(whole)
+
+    trial = (has(TRIAL_WORDS[0]) | has(TRIAL_WORDS[1]) | has(TRIAL_WORDS[2])) & F.col("n").rlike(TRIAL_DATE)
+    title = F.regexp_replace(F.regexp_replace("n", r"^\s*[\[(]?\s*\d+\s*[\])]?\s*\.?\s*", ""), r"^VE\s+", "")
+    decision = F.col("heading") & F.startswith(F.regexp_replace(title, r"^[: .]+", ""), F.lit("QUYET DINH"))
+    rows = rows.withColumn("trial_date", first(trial))
+    rows = rows.withColumn("noi_dung", first(has("NOI DUNG", "VU AN"), F.col("trial_date")))
+    parties = (has("QUYEN LOI", "LIEN QUAN") | F.col("n").rlike(PARTIES)) & F.col("trial_date").isNotNull()
+    rows = rows.withColumn("lien_quan", first(parties, F.col("trial_date")))
+    forms = [first(c, F.col("noi_dung")) for c in (has("NHAN DINH", "TOA AN"), has("NHAN DINH", "HOI DONG"), has("NHAN DINH") & F.col("heading"), has("NHAN DINH NHU SAU"))]
+    rows = rows.withColumn("nhan_dinh", F.coalesce(*forms))
+    rows = rows.withColumn("quyet_dinh", first(decision, F.col("nhan_dinh")))
+    names = ("trial_date", "lien_quan", "noi_dung", "nhan_dinh", "quyet_dinh")
+    out = rows.groupBy("doc_id").agg(*[F.first(x).alias(x) for x in names])
+    between = F.col("noi_dung").isNull() | ((F.col("trial_date") < F.col("lien_quan")) & (F.col("lien_quan") < F.col("noi_dung")))
+    missing = F.array_compact(F.array(*[F.when(F.col(x).isNull(), F.lit(shown)) for x, shown in MISSING]))
+    return out.withColumn("lien_quan", F.when(between, F.col("lien_quan"))).withColumn("missing", missing)
+
+
+def section_texts(lines: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(doc_id, section, text): what stands between the boundaries of the documents that miss none."""
+    ends = bounds.where(F.size("missing") == 0)
+    rows = lines.join(ends, "doc_id")
+    at = F.col("line_no")
+    section = (
+        F.when(at >= F.col("quyet_dinh"), "QUYET_DINH")
+        .when(at >= F.col("nhan_dinh"), "NHAN_DINH")
+        .when(at >= F.col("noi_dung"), "NOI_DUNG_VU_AN")
+        .when(at >= F.col("lien_quan"), "Lien_quan")
+        .when(at >= F.col("trial_date"), "Bi_cao")
+    )
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    out = rows.withColumn("section", section).where("section is not null").groupBy("doc_id", "section").agg(strip(text).alias("text"))
+    return out.where("text <> ''")
+
+
+# Fixed value: how a reasoning point begins.
+POINT = r"^\s*(?:#{1,6}\s*)?(?:[-*+]\s*)?(?:\*\*)?\[\s*(\d+)\s*\](?:\*\*)?\s*(?:[.)\-:]\s*)?"
+
+
+def reasoning_points(lines: DataFrame) -> DataFrame:
+    """(doc_id, no, text) of reasoning lines (doc_id, line_no, line); a text without markers is point [1].
+
+    Points without text are dropped, repeated numbers appended.
+    """
+    marked = slices(lines, POINT).select("doc_id", F.col("start_line").alias("pos"), F.concat(F.lit("["), "item", F.lit("]")).alias("no"), strip(F.regexp_replace("body", POINT, "")).alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    plain = lines.groupBy("doc_id").agg(F.bool_or(F.col("line").rlike(POINT)).alias("any"), strip(whole).alias("text")).where("not any and text <> ''")
+    return point_map(marked.where("text <> ''")).unionByName(plain.select("doc_id", F.lit("[1]").alias("no"), "text"))
 
 
 def slices(lines: DataFrame, marker: str) -> DataFrame:
@@ -63,22 +110,29 @@ def point_map(points: DataFrame) -> DataFrame:
     return points.groupBy("doc_id", "no").agg(F.array_join(parts, "\n\n").alias("text"))
 
 
-def case_type(text: Column) -> Column:
-    """phuc_tham, so_tham or unknown, from the first 3000 characters."""
-    head = heading_norm(F.substring(text, 1, 3000))
-    return F.when(head.rlike(r"PHUC THAM|HS-PT"), "phuc_tham").when(head.rlike(r"SO THAM|HS-ST"), "so_tham").otherwise("unknown")
+def case_type(header: Column, narrative: Column) -> Column:
+    """phuc_tham, so_tham or unknown, by the header; without one, by the first 3000 characters of the narrative."""
+    h, n = heading_norm(header), heading_norm(F.substring(narrative, 1, 3000))
+
+    def has(c: Column, word: str) -> Column:
+        return F.contains(c, F.lit(word))
 
+    by_header = F.when(has(h, "PHUC THAM"), "phuc_tham").when(has(h, "SO THAM"), "so_tham").when(has(h, "KHANG CAO") | has(h, "KHANG NGHI"), "phuc_tham").otherwise("unknown")
+    by_narrative = F.when(has(n, "BAN AN") & has(n, "SO THAM"), "phuc_tham").otherwise("unknown")
+    return F.when(F.coalesce(header, F.lit("")) != "", by_header).otherwise(by_narrative)
 
-_DEFENDANT = re.compile(r"^\s*(?:\d{1,2}[.)]|-)?\s*(?:Họ\s+và\s+tên|Bị\s+cáo)?\s*:?\s*(?P<name>[^\n,;(]+)", re.I)
-_BIRTH = re.compile(r"(?:sinh\s+(?:ngày|năm)|SN)\s*:?\s*\d", re.I)
-_NUMBERED = re.compile(r"(?m)^\s*(\d{1,2})\s*[.)]\s+")
-_ATTENDANCE = re.compile(r"\n?[^\n]*(?:có mặt|vắng mặt)[^\n]*$", re.I)
+
+# How an entry of a defendant list begins, what shows a birth date, and the closing remark on all.
+_NUMBERED = re.compile(r"^[-\s]*(?:\*\*)?\d+\s*[.)]\s*", re.M)
+_BIRTH = re.compile(r"sinh\s+(?:ngày|năm)", re.I)
+_ALL_OF_THEM = re.compile(r"\n\s*\(\s*[Cc]ác\s+bị\s+cáo\s+.*?\)\s*$")
+_NAME = re.compile(r"^[-\s]*(?:\*\*)?(?:\d+\s*[.)]\s*)?(?:Họ\s+và\s+tên|Bị\s+cáo)?\s*:?\s*(?P<name>[^\n,;(*]+)", re.I)
 
 
 def defendants(texts: DataFrame) -> DataFrame:
     """(doc_id, pos, entry, name): the defendants of a list (doc_id, t), numbered blocks with a birth date near by.
 
-    Without numbers the whole text is one entry; a last line on attendance is dropped. Null and empty give none.
+    Without numbers the whole text is one entry; a closing remark on all of them is dropped. Null and blank give none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,23 +141,45 @@ def defendants(texts: DataFrame) -> DataFrame:
             for rid, text in zip(b["doc_id"], b["t"], strict=True):
                 if not text or not text.strip():
                     continue
-                starts = [m for m in _NUMBERED.finditer(text) if _BIRTH.search(text, m.end(), m.end() + 500)]
-                ends = [m.start() for m in starts[1:]] + [len(text)]
-                blocks = [text[m.end() : e] for m, e in zip(starts, ends, strict=True)] if starts else [text]
-                for k, block in enumerate(blocks, 1):
-                    entry = _ATTENDANCE.sub("", block.strip()) or block.strip()
-                    m = _DEFENDANT.match(entry)
-                    out.append((rid, k, entry, m["name"].strip() if m else None))
+                text = text.strip()
+                starts = [m.start() for m in _NUMBERED.finditer(text) if _BIRTH.search(text, m.start(), m.start() + 500)]
+                blocks = [text[a:e] for a, e in zip(starts, [*starts[1:], len(text)], strict=True)] if starts else [text]
+                entries = [e for x in blocks if (e := _ALL_OF_THEM.sub("", x.strip()).strip())]
+                out += [(rid, k, e, m["name"].strip() if (m := _NAME.match(e)) else None) for k, e in enumerate(entries, 1)]
             yield pd.DataFrame(out, columns=["doc_id", "pos", "entry", "name"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "t").mapInPandas(run, f"doc_id {kind}, pos int, entry string, name string")
 
 
+# Where the indictment begins, in order of preference; the second list is for folded text.
+INDICTMENT = (
+    r"(?:tại\s+)?(?:bản\s+)?cáo\s+trạng(?:\s+số)?\s*[:\.]?\s*\d",
+    r"(?:tại\s+)?(?:bản\s+)?cáo\s+trạng(?:\s+của)?\s+viện\s+kiểm\s+sát",
+    r"đại\s+di[ệễ]n\s+viện\s+kiểm\s+sát.*?(?:phát\s+biểu|thực\s+hành|có\s+ý\s+kiến|giữ\s+nguyên|rút|tham\s+gia)",
+    r"tại\s+phiên\s+tò?a(?:.*?đại\s+di[ệễ]n)?\s+viện\s+kiểm\s+sát",
+)
+INDICTMENT_FOLDED = (
+    r"(?:tai\s+)?(?:ban\s+)?cao\s+trang(?:\s+so)?\s*[:\. ]*\d",
+    r"(?:tai\s+)?(?:ban\s+)?cao\s+trang(?:\s+cua)?\s+vien\s+kiem\s+sat",
+    r"dai\s+dien\s+vien\s+kiem\s+sat.*?(?:phat\s+bieu|thuc\s+hanh|co\s+y\s+kien|giu\s+nguyen|rut|tham\s+gia)",
+    r"tai\s+phien\s+toa(?:.*?dai\s+dien)?\s+vien\s+kiem\s+sat",
+)
+
+
 def narrative_parts(text: Column) -> Column:
-    """struct(before, after) the indictment, by its first mention; without one all is before."""
-    at = F.regexp_instr(text, F.lit(r"(?iu)(?:tại\s+)?(?:bản\s+)?cáo\s+trạng\s+số"))
-    return F.struct(F.when(at > 0, strip(F.substring(text, F.lit(1), at - 1))).otherwise(strip(text)).alias("before"), F.when(at > 0, strip(F.substring(text, at, F.length(text)))).alias("after"))
+    """struct(before, after) the indictment, each null where empty; without one all is before.
+
+    The first pattern that occurs decides, accented ones before folded ones. Text must be composed (NFC).
+    """
+    title = F.regexp_replace(text, r"(?iu)^(?:#{1,6}\s*)?(?:\*{1,2})?N[ỘÔO]I\s+DUNG\s+V[ỤU]\s+[AÁ]N\s*:?\s*(?:\*{1,2})?\s*\n?", "")
+    low = F.lower(strip_diacritics(title))
+    places = [F.nullif(F.regexp_instr(title, F.lit(f"(?ius){p}")), F.lit(0)) for p in INDICTMENT]
+    places += [F.nullif(F.regexp_instr(low, F.lit(f"(?s){p}")), F.lit(0)) for p in INDICTMENT_FOLDED]
+    at = F.coalesce(*places)
+    before = F.when(at.isNotNull(), F.substring(title, F.lit(1), at - 1)).otherwise(title)
+    after = F.when(at.isNotNull(), F.substring(title, at, F.length(title)))
+    return F.struct(F.nullif(strip(before), F.lit("")).alias("before"), F.nullif(strip(after), F.lit("")).alias("after"))
 
 
 def label_sets(items: DataFrame) -> DataFrame:
@@ -136,31 +212,79 @@ def repeated_names(names: DataFrame) -> DataFrame:
     return clean.groupBy("doc_id", "name").agg(F.count("*").alias("n")).where("n > 1")
 
 
-# Signs that a generated summary is not prose.
-NOISE = ("```", "*", "json", "undefined", "null", "lorem", "http", "<", ">", "{", "}", "|")
+# Phrases of planning notes that a clean summary does not hold.
+NOISE = (
+    "role:",
+    "audience:",
+    "short/complete",
+    "paragraph format",
+    "no bullet points",
+    "no bold text",
+    "summarize the events",
+    "defendant (",
+    "drafting (",
+    "refining for",
+    "applying constraints",
+    "vietnamese translation/polishing",
+)
+# Beginnings of lines that are planning notes.
+NOISY_LINES = (
+    r"[*-]\s+",
+    r"Role\s*:",
+    r"Audience\s*:",
+    r"Short/Complete\s*\?",
+    r"Paragraph format\s*\?",
+    r"No bullet points\s*\?",
+    r"No bold text\s*\?",
+    r"Defendant\s*\(",
+    r"Lawyer\.?$",
+    r"Summarize the events",
+    r"Tone\s*:",
+    r"Drafting\s*\(",
+    r"Refining for",
+    r"Applying constraints",
+    r"Vietnamese Translation/Polishing",
+)
 
 
 def summary_is_valid(text: Column) -> Column:
-    """At least 80 characters after white space is collapsed, and no sign of noise; false for null."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    noisy = F.lit(False)
+    """At least 80 characters after white space is collapsed, no planning phrase, star or fence; false for null."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    noisy = F.contains(flat, F.lit("*")) | F.contains(flat, F.lit("```"))
     for n in NOISE:
         noisy = noisy | F.contains(F.lower(flat), F.lit(n))
     return (F.length(flat) >= 80) & ~noisy
 
 
 def line_classes(line: Column) -> list[Column]:
-    """Six boolean classes of a line, which do not exclude each other."""
+    """Six boolean classes of a statute line, which do not exclude each other."""
+    s = strip(line)
     return [
-        (F.length(F.trim(line)) == 0).alias("blank"),
-        line.rlike(r"^\s*\d+\s*$").alias("digits_only"),
-        (F.length(line) > 300).alias("very_long"),
-        line.rlike(r"^\s*(?:\d{1,2}\.|[a-zđ]\))\s").alias("list_item"),
-        line.rlike(r"[.;:]\s*$").alias("closed"),
-        line.rlike(r"\s{2,}").alias("wide_gap"),
+        s.rlike(r"(?iu)(?:Điều này|Khoản này|Điểm này|Theo quy định)").alias("possible_footnotes"),
+        (F.length(s) <= 3).alias("too_short"),
+        s.rlike(r"^\d+[.)]?$").alias("numeric_only"),
+        s.rlike(r"^[^a-zA-ZĐđ]+$").alias("weird_symbols"),
+        (~s.rlike(r"^(?:Chương|Điều|Khoản|Điểm|[A-ZĐ])")).alias("missing_structure"),
+        s.rlike(r"^[a-zđ]").alias("suspicious_lowercase_start"),
     ]
 
 
+# Sentences in which a court sums up its findings, and the words of the three kinds of reasoning.
+FINDINGS = (
+    r"(?:đã\s+)?(?:có\s+)?đủ\s+(?:c[ơo]\s*s[ởo]|c[ăa]n\s*c[ứu]|chứng\s*cứ)\s+(?:để\s+)?(?:kết\s*lu[ậaâ]n|xác\s*định|khẳng\s*định)",
+    r"(?:hội\s*đồng\s*xét\s*xử|hđxx)\s*(?:nhận|xét)?\s*thấy",
+    r"xét\s*thấy\s*(?:có\s+)?đủ\s+(?:c[ơo]\s*s[ởo]|c[ăa]n\s*c[ứu])",
+    r"(?:đã\s+|có\s+)?đủ\s*yếu\s*tố\s*cấu\s*thành",
+    r"xét\s*(?:hành\s*vi\s*phạm\s*tội|lời\s*khai)",
+)
+MITIGATING, AGGRAVATING, EXHIBITS = "tình tiết giảm nhẹ", "tình tiết tăng nặng", "xử lý vật chứng"
+
+
+def is_finding(text: Column) -> Column:
+    """Whether any of the patterns of findings occurs; false for null."""
+    return F.coalesce(text.rlike("(?iu)" + "|".join(FINDINGS)), F.lit(False))
+
+
 def merge_words(pairs: DataFrame) -> DataFrame:
     """(id, merged): words of ``old`` replaced by those of ``new`` (id, old, new) where the change is trusted.
 
@@ -206,11 +330,11 @@ def _few_edits(x: str, y: str, limit: float = 0.4) -> bool:
 
 
 def clean_summary(text: Column) -> Column:
-    """A generated summary without fence, what stands before its last salutation, and lines of noise; one line."""
+    """A generated summary without fence, what stands before its last salutation, and planning notes; one line."""
     from lexspark.functions.text import collapse, unfence
 
     body = unfence(F.coalesce(text, F.lit("")))
     parts = F.split(body, "(?=Thưa luật sư)")
     last = F.when(F.contains(body, F.lit("Thưa luật sư")), F.element_at(parts, -1)).otherwise(body)
-    lines = F.filter(F.split(last, "\n"), lambda x: ~x.rlike(r"^\s*(?:[-*#>`{}\[\]|]|https?:)"))
-    return collapse(F.array_join(lines, " "))
+    noisy = r"(?iu)^\s*(?:" + "|".join(NOISY_LINES) + ")"
+    return collapse(F.array_join(F.filter(F.split(last, "\n"), lambda x: ~x.rlike(noisy)), " "))

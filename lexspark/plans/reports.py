@@ -145,29 +145,33 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_keyword_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records by whether their reasoning speaks of mitigation, aggravation and exhibits: any, all, none."""
-    p = _points(spark, sf_dir).groupBy("record_id").agg(*[F.bool_or(F.contains(F.lower("t"), F.lit(w))).alias(k) for k, w in (("m", "giảm nhẹ"), ("a", "tăng nặng"), ("x", "vật chứng"))])
-    n = F.col("m").cast("int") + F.col("a").cast("int") + F.col("x").cast("int")
+    """Records whose reasoning speaks of mitigation, aggravation and exhibits: any, all, none."""
+    words = (documents.MITIGATING, documents.AGGRAVATING, documents.EXHIBITS)
+    p = _points(spark, sf_dir).groupBy("record_id").agg(*[F.bool_or(F.contains(F.lower("t"), F.lit(w))).alias(f"w{i}") for i, w in enumerate(words)])
+    n = F.col("w0").cast("int") + F.col("w1").cast("int") + F.col("w2").cast("int")
     return p.agg(F.count_if(n > 0).alias("any_of"), F.count_if(n == 3).alias("all_of"), F.count_if(n == 0).alias("none_of"))
 
 
 def q_reasoning_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mitigating and aggravating points of each record in order, without the first point, joined by blank lines."""
+    """Findings, mitigating and aggravating points of each record in order, without the first point."""
     p = _points(spark, sf_dir).where("no <> '[1]'").withColumn("i", F.regexp_extract("no", r"(\d+)", 1).cast("int"))
 
-    def joined(word: str) -> F.Column:
-        kept = F.array_sort(F.collect_list(F.when(F.contains(F.lower("t"), F.lit(word)), F.struct("i", "t"))))
+    def joined(condition: F.Column) -> F.Column:
+        kept = F.array_sort(F.collect_list(F.when(condition, F.struct("i", "t"))))
         return F.md5(F.array_join(F.transform(kept, lambda x: x["t"]), "\n\n"))
 
-    return p.groupBy("record_id").agg(joined("giảm nhẹ").alias("giam_nhe"), joined("tăng nặng").alias("tang_nang"))
+    low = F.lower("t")
+    return p.groupBy("record_id").agg(
+        joined(documents.is_finding(F.col("t"))).alias("summary"),
+        joined(F.contains(low, F.lit(documents.MITIGATING))).alias("giam_nhe"),
+        joined(F.contains(low, F.lit(documents.AGGRAVATING))).alias("tang_nang"),
+    )
 
 
 def q_any_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Narratives that match any of five patterns, with the number that match."""
-    patterns = (r"bi[eê]n b[aả]n s[oố] [0-9]+", r"[0-9]{2}[A-Z][0-9]-[0-9]{3}", r"[0-9.]+ VN", r"k[eế]t lu[aậ]n gi[aá]m", r"[0-9]+ gi[oờ] [0-9]+")
-    hits = sum((F.col("t").rlike(f"(?iu){p}").cast("int") for p in patterns), F.lit(0))
-    rows = _fields(spark, sf_dir).where("field = 'qua_trinh_dieu_tra'").select("record_id", hits.cast("long").alias("n"))
-    return rows.where("n > 0")
+    """Records by whether any reasoning point states findings."""
+    p = _points(spark, sf_dir).groupBy("record_id").agg(F.bool_or(documents.is_finding(F.col("t"))).alias("found"))
+    return p.groupBy("found").agg(F.count("*").alias("n"))
 
 
 def q_summary_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,11 +180,10 @@ def q_summary_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all documents by six classes that do not exclude each other."""
-    lines = table(spark, sf_dir, "documents").where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
-    flags = documents.line_classes(F.col("line"))
-    names = ("blank", "digits_only", "very_long", "list_item", "closed", "wide_gap")
-    return lines.select(*flags).agg(F.count("*").alias("n_lines"), *[F.count_if(n).alias(n) for n in names])
+    """Lines of the statute by six classes that do not exclude each other."""
+    lines = table(spark, sf_dir, "law_nodes").where("own_text is not null").select(F.explode(F.split("own_text", "\n")).alias("line"))
+    names = ("possible_footnotes", "too_short", "numeric_only", "weird_symbols", "missing_structure", "suspicious_lowercase_start")
+    return lines.select(*documents.line_classes(F.col("line"))).agg(F.count("*").alias("n_lines"), *[F.count_if(n).alias(n) for n in names])
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,10 +200,10 @@ def q_section_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_section_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of the sections of records written out as one text."""
     e = table(spark, sf_dir, "extracted_fields")
-    whole = F.concat(F.lit("Ngày 05 tháng 6 năm 2020\nNỘI DUNG VỤ ÁN\n"), F.coalesce("noi_dung_vu_an.qua_trinh_dieu_tra", F.lit("")), F.lit("\nNHẬN ĐỊNH CỦA TÒA ÁN\n"), F.lit("Xét\n"), F.coalesce("quyet_dinh", F.lit("")))
+    whole = F.concat(F.lit("Ngày 05 tháng 6 năm 2020 tại trụ sở Tòa án xét xử\nBị hại: một người\nNỘI DUNG VỤ ÁN\n"), F.coalesce("noi_dung_vu_an.qua_trinh_dieu_tra", F.lit("")), F.lit("\nNHẬN ĐỊNH CỦA TÒA ÁN\n"), F.lit("Xét\n"), F.coalesce("quyet_dinh", F.lit("")))
     lines = e.select(F.col("record_id").alias("doc_id"), F.posexplode(F.split(whole, "\n")).alias("line_no", "line"))
     out = documents.sections(lines)
-    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("trial_date", "noi_dung", "nhan_dinh", "quyet_dinh")], F.array_join("missing", "|").alias("missing"))
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("trial_date", "lien_quan", "noi_dung", "nhan_dinh", "quyet_dinh")], F.array_join("missing", "|").alias("missing"))
 
 
 def q_point_map_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +331,7 @@ def q_narrative_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_detected_case_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null").select(documents.case_type(F.col("text")).alias("kind"), "source")
+    d = table(spark, sf_dir, "documents").where("text is not null").select(documents.case_type(F.substring_index("text", "\n", 1), F.col("text")).alias("kind"), "source")
     return d.groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
@@ -353,6 +356,7 @@ _MONTHS_SQL = """(SELECT x AS phat_tu, CASE WHEN s = '' OR regexp_matches(s, 'ca
 _ALIGN_SQL = f"""SELECT coalesce(a.record_id, b.record_id) AS record_id, coalesce(a.name_key, b.name_key) AS name_key, a.a, b.b, CASE WHEN a.a IS NULL THEN 'pred_only' WHEN b.b IS NULL THEN 'gt_only' ELSE 'matched' END AS state
   FROM (SELECT record_id, {_FOLD_SQL.format(c='bi_cao')} AS name_key, max(mention_id) AS a FROM ({PROPOSALS_SQL}) GROUP BY 1, 2 HAVING {_FOLD_SQL.format(c='any_value(bi_cao)')} <> '') a
   FULL OUTER JOIN (SELECT record_id, {_FOLD_SQL.format(c='bi_cao')} AS name_key, max(mention_id) AS b FROM ({VERDICTS_SQL}) GROUP BY 1, 2 HAVING {_FOLD_SQL.format(c='any_value(bi_cao)')} <> '') b ON a.record_id = b.record_id AND a.name_key = b.name_key"""
+_FINDING_SQL = "regexp_matches(t, '(?i)" + "|".join(documents.FINDINGS) + "')"
 _NORM_SQL = "lower(trim(regexp_replace(regexp_replace({c}, '[\\s\\x{{a0}}]+', ' ', 'g'), '^ | $', '', 'g')))"
 
 SQL = {
@@ -374,19 +378,19 @@ SQL = {
     "q_quarantine_union": """WITH e AS (SELECT record_id, regexp_replace(filename, '__dup_[0-9]+', '') AS file, filename AS path, coalesce(len(danh_sach_bi_cao), 0) = 0 OR nguoi_tham_gia IS NULL OR case_type IS NULL AS bad FROM extracted_fields), b AS (SELECT DISTINCT file FROM e WHERE bad),
         m AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY path) - 1 AS n FROM e WHERE file IN (SELECT file FROM b))
         SELECT record_id, 'kept' AS state, file AS target FROM e WHERE file NOT IN (SELECT file FROM b) UNION ALL SELECT record_id, 'moved', CASE WHEN n = 0 THEN file ELSE regexp_replace(file, '\\.[^.]*$', '') || '__dup_' || n || regexp_extract(file, '\\.[^.]*$') END FROM m""",
-    "q_keyword_triple": f"""WITH p AS (SELECT record_id, max(contains(lower(t), 'giảm nhẹ')::INT) + max(contains(lower(t), 'tăng nặng')::INT) + max(contains(lower(t), 'vật chứng')::INT) AS n FROM ({_POINTS_SQL}) GROUP BY 1)
+    "q_keyword_triple": f"""WITH p AS (SELECT record_id, max(contains(lower(t), 'tình tiết giảm nhẹ')::INT) + max(contains(lower(t), 'tình tiết tăng nặng')::INT) + max(contains(lower(t), 'xử lý vật chứng')::INT) AS n FROM ({_POINTS_SQL}) GROUP BY 1)
         SELECT count(*) FILTER (n > 0) AS any_of, count(*) FILTER (n = 3) AS all_of, count(*) FILTER (n = 0) AS none_of FROM p""",
     "q_reasoning_extract": f"""WITH p AS (SELECT record_id, regexp_extract(no, '[0-9]+')::INT AS i, t FROM ({_POINTS_SQL}) WHERE no <> '[1]')
-        SELECT record_id, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (contains(lower(t), 'giảm nhẹ')), '')) AS giam_nhe, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (contains(lower(t), 'tăng nặng')), '')) AS tang_nang FROM p GROUP BY 1""",
-    "q_any_regex": "SELECT * FROM (SELECT record_id, (" + " + ".join(f"regexp_matches(t, '(?i){p}')::BIGINT" for p in ("bi[eê]n b[aả]n s[oố] [0-9]+", "[0-9]{2}[A-Z][0-9]-[0-9]{3}", "[0-9.]+ VN", "k[eế]t lu[aậ]n gi[aá]m", "[0-9]+ gi[oờ] [0-9]+")) + f") AS n FROM ({_FIELDS_SQL}) WHERE field = 'qua_trinh_dieu_tra' AND trim(t) <> '') WHERE n > 0",
-    "q_summary_validity": "WITH d AS (SELECT source, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS f FROM documents), o AS (SELECT source, length(f) >= 80 AND NOT (" + " OR ".join(f"contains(lower(f), '{n}')" for n in documents.NOISE) + ") AS ok FROM d) SELECT source, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid FROM o GROUP BY 1",
-    "q_line_quality": """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) SELECT count(*) AS n_lines, count(*) FILTER (length(trim(line)) = 0) AS blank, count(*) FILTER (regexp_matches(line, '^\\s*\\d+\\s*$')) AS digits_only, count(*) FILTER (length(line) > 300) AS very_long,
-        count(*) FILTER (regexp_matches(line, '^\\s*(?:\\d{1,2}\\.|[a-zđ]\\))\\s')) AS list_item, count(*) FILTER (regexp_matches(line, '[.;:]\\s*$')) AS closed, count(*) FILTER (regexp_matches(line, '\\s{2,}')) AS wide_gap FROM l""",
+        SELECT record_id, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER ({_FINDING_SQL}), '')) AS summary, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (contains(lower(t), 'tình tiết giảm nhẹ')), '')) AS giam_nhe, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (contains(lower(t), 'tình tiết tăng nặng')), '')) AS tang_nang FROM p GROUP BY 1""",
+    "q_any_regex": f"SELECT found, count(*) AS n FROM (SELECT record_id, bool_or({_FINDING_SQL}) AS found FROM ({_POINTS_SQL}) GROUP BY 1) GROUP BY 1",
+    "q_summary_validity": "WITH d AS (SELECT source, trim(regexp_replace(coalesce(text, ''), '[\\s\\x{85}\\x{a0}]+', ' ', 'g')) AS f FROM documents), o AS (SELECT source, length(f) >= 80 AND NOT (contains(f, '*') OR contains(f, '```') OR " + " OR ".join(f"contains(lower(f), '{n}')" for n in documents.NOISE) + ") AS ok FROM d) SELECT source, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid FROM o GROUP BY 1",
+    "q_line_quality": """WITH l AS (SELECT trim(unnest(string_split(own_text, chr(10)))) AS s FROM law_nodes WHERE own_text IS NOT NULL) SELECT count(*) AS n_lines, count(*) FILTER (regexp_matches(s, '(?i)(?:Điều này|Khoản này|Điểm này|Theo quy định)')) AS possible_footnotes, count(*) FILTER (length(s) <= 3) AS too_short,
+        count(*) FILTER (regexp_matches(s, '^\\d+[.)]?$')) AS numeric_only, count(*) FILTER (regexp_matches(s, '^[^a-zA-ZĐđ]+$')) AS weird_symbols, count(*) FILTER (NOT regexp_matches(s, '^(?:Chương|Điều|Khoản|Điểm|[A-ZĐ])')) AS missing_structure, count(*) FILTER (regexp_matches(s, '^[a-zđ]')) AS suspicious_lowercase_start FROM l""",
     "q_section_items": """WITH l AS (SELECT record_id AS doc_id, unnest(string_split(quyet_dinh, chr(10))) AS line, generate_subscripts(string_split(quyet_dinh, chr(10)), 1) - 1 AS n FROM extracted_fields),
         s AS (SELECT *, sum(regexp_matches(line, '^\\d{1,2}\\. ')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS seg FROM l)
         SELECT doc_id, regexp_extract(arg_min(line, n), '^(\\d{1,2})\\. ', 1) AS item, min(n) AS start_line, max(n) AS end_line, md5(string_agg(line, chr(10) ORDER BY n)) AS digest FROM s WHERE seg > 0 GROUP BY doc_id, seg""",
     "q_point_map_append": f"""WITH p AS (SELECT record_id AS doc_id, regexp_extract(no, '[0-9]+')::INT AS pos, t FROM ({_POINTS_SQL})) SELECT doc_id, (pos % 3)::BIGINT AS no, md5(string_agg(t, chr(10) || chr(10) ORDER BY pos)) AS digest FROM p GROUP BY 1, 2""",
-    "q_defendant_entries": "SELECT record_id AS doc_id, generate_subscripts(danh_sach_bi_cao, 1) AS pos, unnest(danh_sach_bi_cao) AS entry FROM extracted_fields WHERE len(danh_sach_bi_cao) > 0",
+    "q_defendant_entries": "SELECT record_id AS doc_id, generate_subscripts(danh_sach_bi_cao, 1) AS pos, generate_subscripts(danh_sach_bi_cao, 1) || '. ' || unnest(danh_sach_bi_cao) AS entry FROM extracted_fields WHERE len(danh_sach_bi_cao) > 0",
     "q_full_outer_align": _ALIGN_SQL,
     "q_sentence_months": "SELECT phat_tu, months FROM " + _MONTHS_SQL.replace("{src}", f"SELECT phat_tu AS x FROM ({VERDICTS_SQL}) WHERE phat_tu IS NOT NULL"),
     "q_rmse_macro": f"""WITH j AS ({_ALIGN_SQL}), m AS (SELECT * FROM {_MONTHS_SQL.replace('{src}', f"SELECT phat_tu AS x FROM ({VERDICTS_SQL}) WHERE phat_tu IS NOT NULL UNION SELECT phat_tu FROM ({PROPOSALS_SQL}) WHERE phat_tu IS NOT NULL")}),
@@ -402,18 +406,4 @@ SQL = {
         SELECT record_id, md5(concat_ws(chr(10) || chr(10), nullif(a, ''), nullif(b, ''))) AS plain, md5(concat_ws(chr(10) || chr(10), CASE WHEN a <> '' THEN '[ket_luan]' || chr(10) || a END, CASE WHEN b <> '' THEN '[nguoi_tham_gia]' || chr(10) || b END)) AS named,
           concat_ws('|', CASE WHEN coalesce(a, '') = '' THEN 'ket_luan' END, CASE WHEN coalesce(b, '') = '' THEN 'nguoi_tham_gia' END) AS missing FROM e""",
     "q_llm_stub_roundtrip": f"SELECT mention_id AS id, 'offline' AS provider, 'ok' AS status, 1::BIGINT AS n_failed, coalesce(bi_cao, '') AS bi_cao FROM ({VERDICTS_SQL})",
-    "q_narrative_split": """WITH d AS (SELECT doc_id, text AS t, regexp_extract(text, '(?i)(tại\\s+)?(bản\\s+)?cáo\\s+trạng\\s+số') AS m FROM documents WHERE source = 'cao_trang'),
-        p AS (SELECT doc_id, t, CASE WHEN m <> '' THEN strpos(t, m) END AS a FROM d)
-        SELECT doc_id, length(regexp_replace(CASE WHEN a IS NULL THEN t ELSE substr(t, 1, a - 1) END, '^[\\s\\x{85}\\x{a0}]+|[\\s\\x{85}\\x{a0}]+$', '', 'g')) AS before, CASE WHEN a IS NOT NULL THEN length(regexp_replace(substr(t, a), '^[\\s\\x{85}\\x{a0}]+|[\\s\\x{85}\\x{a0}]+$', '', 'g')) END AS after FROM p""",
-    "q_detected_case_type": """WITH d AS (SELECT source, upper(replace(replace(strip_accents(regexp_replace(substr(text, 1, 3000), '#{1,6}|\\*|\\\\', '', 'g')), 'đ', 'd'), 'Đ', 'D')) AS h FROM documents WHERE text IS NOT NULL)
-        SELECT source, CASE WHEN regexp_matches(h, 'PHUC THAM|HS-PT') THEN 'phuc_tham' WHEN regexp_matches(h, 'SO THAM|HS-ST') THEN 'so_tham' ELSE 'unknown' END AS kind, count(*) AS n FROM d GROUP BY 1, 2""",
-    "q_section_bounds": """WITH e AS (SELECT record_id AS doc_id, string_split('Ngày 05 tháng 6 năm 2020' || chr(10) || 'NỘI DUNG VỤ ÁN' || chr(10) || coalesce(noi_dung_vu_an.qua_trinh_dieu_tra, '') || chr(10) || 'NHẬN ĐỊNH CỦA TÒA ÁN' || chr(10) || 'Xét' || chr(10) || coalesce(quyet_dinh, ''), chr(10)) AS ls FROM extracted_fields),
-        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM e),
-        k AS (SELECT *, trim(upper(replace(replace(strip_accents(regexp_replace(line, '#{1,6}|\\*|\\\\', '', 'g')), 'đ', 'd'), 'Đ', 'D'))) AS f FROM l),
-        h AS (SELECT *, length(f) <= 40 OR regexp_matches(line, '^#{1,6} ') AS hd FROM k),
-        a AS (SELECT *, min(CASE WHEN regexp_matches(f, 'NGAY\\s+\\d{1,2}\\s+THANG\\s+\\d{1,2}\\s+NAM\\s+\\d{4}|\\d{1,2}[/-]\\d{1,2}[/-]\\d{4}') THEN n END) OVER (PARTITION BY doc_id) AS trial_date FROM h),
-        b AS (SELECT *, min(CASE WHEN hd AND regexp_matches(f, '^(?:NOI DUNG VU AN|NHAN THAY)') AND n >= coalesce(trial_date, 0) THEN n END) OVER (PARTITION BY doc_id) AS noi_dung FROM a),
-        c AS (SELECT *, min(CASE WHEN hd AND regexp_matches(f, '^(?:NHAN DINH CUA (?:TOA AN|HOI DONG XET XU)|XET THAY)') AND n >= coalesce(noi_dung, 0) THEN n END) OVER (PARTITION BY doc_id) AS nhan_dinh FROM b),
-        d AS (SELECT *, min(CASE WHEN hd AND regexp_matches(f, '^(?:QUYET DINH\\s*:?|TUYEN XU\\s*:?)') AND n >= coalesce(nhan_dinh, 0) THEN n END) OVER (PARTITION BY doc_id) AS quyet_dinh FROM c)
-        SELECT DISTINCT doc_id, trial_date, noi_dung, nhan_dinh, quyet_dinh, concat_ws('|', CASE WHEN noi_dung IS NULL THEN 'noi_dung' END, CASE WHEN nhan_dinh IS NULL THEN 'nhan_dinh' END, CASE WHEN quyet_dinh IS NULL THEN 'quyet_dinh' END) AS missing FROM d""",
 }

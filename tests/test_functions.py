@@ -45,7 +45,7 @@ def test_split_values_and_expansion(spark):
     [
         ("", 0), (None, 0), ("07 (bảy) năm tù", 84), ("02 năm 06 tháng tù", 30), ("09 tháng tù", 9), ("tù chung thân", 360),
         ("02 năm tù nhưng cho hưởng án treo", 0), ("5 năm tù và phạt tiền 10.000.000 đồng", 0), ("3 năm tù; tổng hợp hình phạt 7 năm 6 tháng tù", 90),
-        ("tu 3 nam den 5 nam tu", 48), ("từ 3 năm đến 5 năm tù", 60), ("tu 12 thang den 15 thang tu", 14),
+        ("tổng hợp là 7 năm và 6 tháng tù", 90), ("tu 3 nam den 5 nam tu", 48), ("từ 3 năm đến 5 năm tù", 60), ("tu 12 thang den 15 thang tu", 14),
     ],
 )
 def test_sentence_months(spark, value, months):

@@ -81,14 +81,62 @@ def test_latest_delivery(spark):
     assert {(r["k"], r["v"], r["loaded"]) for r in latest_delivery(rows, "k", "at").collect()} == {(1, "b", 2), (2, None, 3)}
 
 
-def test_sections_and_slices(spark):
-    text = "Ngày 01 tháng 2 năm 2020\nNỘI DUNG VỤ ÁN\nx\ncó nói đến quyết định hình phạt trong câu này rất dài, không phải đề mục của phần\nNHẬN ĐỊNH CỦA TÒA ÁN\n1. một\n2. hai\nQUYẾT ĐINH:\n1. ba"
-    lines = spark.createDataFrame([(1, i, s) for i, s in enumerate(text.split("\n"))] + [(2, 0, "nothing")], "doc_id long, line_no int, line string")
-    got = {r["doc_id"]: r for r in documents.sections(lines).collect()}
-    assert (got[1]["noi_dung"], got[1]["nhan_dinh"], got[1]["quyet_dinh"], got[1]["missing"]) == (1, 4, 7, [])
-    assert got[2]["missing"] == ["noi_dung", "nhan_dinh", "quyet_dinh"]
-    items = [(r["item"], r["body"]) for r in documents.slices(lines.where("doc_id = 1"), r"^(\d+)\. ").orderBy("start_line").collect()]
-    assert items == [("1", "1. một"), ("2", "2. hai\nQUYẾT ĐINH:"), ("1", "1. ba")]
+JUDGMENT = """BẢN ÁN
+Ngày 01 tháng 2 năm 2020, tại trụ sở Tòa án xét xử sơ thẩm
+1. Nguyễn Văn A, sinh ngày 01/02/1990
+- Bị hại: Trần B
+**NỘI DUNG VỤ ÁN**
+x
+có nói đến quyết định hình phạt trong câu này rất dài, không phải đề mục của phần nào cả
+NHẬN ĐỊNH CỦA TÒA ÁN
+[1] một
+[2] hai
+tiếp
+* [2] ba
+[3]
+III. VỀ QUYẾT ĐINH
+# QUYẾT ĐỊNH:
+1. ba"""
+
+
+def lines_of(spark, *texts):
+    return spark.createDataFrame([(d, i, s) for d, t in enumerate(texts, 1) for i, s in enumerate(t.split("\n"))], "doc_id long, line_no int, line string")
+
+
+def test_sections(spark):
+    lines = lines_of(spark, JUDGMENT, "nothing", "Nhận định như sau: dài " + "x" * 60)
+    bounds = documents.sections(lines).cache()
+    got = {r["doc_id"]: r for r in bounds.collect()}
+    r = got[1]
+    assert (r["trial_date"], r["lien_quan"], r["noi_dung"], r["nhan_dinh"], r["quyet_dinh"], r["missing"]) == (1, 3, 4, 7, 14, [])
+    assert got[2]["missing"] == ["Bi_cao (trial date line not found)", "NOI_DUNG_VU_AN", "NHAN_DINH", "QUYET_DINH"]
+    assert got[3]["nhan_dinh"] == 0 and "NHAN_DINH" not in got[3]["missing"]
+    texts = {r["section"]: r["text"] for r in documents.section_texts(lines, bounds).collect()}
+    assert set(texts) == {"Bi_cao", "Lien_quan", "NOI_DUNG_VU_AN", "NHAN_DINH", "QUYET_DINH"} and texts["Lien_quan"] == "- Bị hại: Trần B"
+
+
+def test_slices_and_points(spark):
+    lines = lines_of(spark, "mở\n1. một\n2. hai\ntiếp\n1. ba")
+    items = [(r["item"], r["body"]) for r in documents.slices(lines, r"^(\d+)\. ").orderBy("start_line").collect()]
+    assert items == [("1", "1. một"), ("2", "2. hai\ntiếp"), ("1", "1. ba")]
+    points = lines_of(spark, "[1] một\n[2] hai\ntiếp\n* **[2]** ba\n[3]", "không có số\nhai dòng", " ")
+    got = {(r["doc_id"], r["no"], r["text"]) for r in documents.reasoning_points(points).collect()}
+    assert got == {(1, "[1]", "một"), (1, "[2]", "hai\ntiếp\n\nba"), (2, "[1]", "không có số\nhai dòng")}
+
+
+@pytest.mark.parametrize(
+    ("header", "narrative", "kind"),
+    [("xét xử phúc thẩm", None, "phuc_tham"), ("Xét xử SƠ THẨM", None, "so_tham"), ("có kháng cáo", None, "phuc_tham"), ("khác", "bản án sơ thẩm", "unknown"), (None, "Bản án hình sự sơ thẩm", "phuc_tham"), (None, None, "unknown")],
+)
+def test_case_type(spark, header, narrative, kind):
+    row = spark.createDataFrame([(header, narrative)], "h string, n string").select(documents.case_type(F.col("h"), F.col("n")).alias("k")).first()
+    assert row["k"] == kind
+
+
+def test_narrative_parts(spark):
+    rows = spark.createDataFrame([(1, "NỘI DUNG VỤ ÁN:\nTrước. Tại bản cáo trạng số 5 truy tố."), (2, "chi co. Cao trang so 7 noi"), (3, "không có"), (4, None)], "id long, t string")
+    got = {r["id"]: tuple(r["p"]) for r in rows.select("id", documents.narrative_parts(F.col("t")).alias("p")).collect()}
+    assert got == {1: ("Trước.", "Tại bản cáo trạng số 5 truy tố."), 2: ("chi co.", "Cao trang so 7 noi"), 3: ("không có", None), 4: (None, None)}
 
 
 def test_labels_are_strict(spark):
@@ -101,11 +149,11 @@ def test_labels_are_strict(spark):
     assert got == {1: (["51-1-a"], []), 2: (None, ["missing_dieu"]), 3: (None, ["basis_empty"]), 4: (None, ["no_labels_extracted"]), 5: (None, ["verdict_empty"]), 6: (["51", "51-1", "51-2"], [])}
 
 
-def test_defendants_and_points(spark):
-    t = "1. Nguyễn Văn A, sinh ngày 01/02/1990 tại X;\n2) Trần B, sinh năm 1991\nBị cáo có mặt"
+def test_defendants_and_point_map(spark):
+    t = "1. Nguyễn Văn A, sinh ngày 01/02/1990 tại X;\n2) Trần B, sinh năm 1991\n(Các bị cáo có mặt)"
     rows = spark.createDataFrame([(1, t), (2, None), (3, "Lê C, làm ruộng")], "doc_id long, t string")
-    got = [(r["doc_id"], r["pos"], r["name"]) for r in documents.defendants(rows).orderBy("doc_id", "pos").collect()]
-    assert got == [(1, 1, "Nguyễn Văn A"), (1, 2, "Trần B"), (3, 1, "Lê C")]
+    got = [(r["doc_id"], r["pos"], r["entry"], r["name"]) for r in documents.defendants(rows).orderBy("doc_id", "pos").collect()]
+    assert got == [(1, 1, "1. Nguyễn Văn A, sinh ngày 01/02/1990 tại X;", "Nguyễn Văn A"), (1, 2, "2) Trần B, sinh năm 1991", "Trần B"), (3, 1, "Lê C, làm ruộng", "Lê C")]
     points = spark.createDataFrame([(1, 0, "2", "x"), (1, 1, "1", "y"), (1, 2, "2", "z")], "doc_id long, pos int, no string, text string")
     assert {(r["no"], r["text"]) for r in documents.point_map(points).collect()} == {("2", "x\n\nz"), ("1", "y")}
 
