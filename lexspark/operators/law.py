@@ -12,10 +12,33 @@ from pyspark.sql import functions as F
 from lexspark.functions.signatures import lookup_key, parse
 
 # How a line begins a chapter, an article, a clause and a point.
-CHAPTER = r"(?iu)^\s*chương\s+([IVXLCDM]+)?\b(.*)$"
-ARTICLE = r"(?iu)^\s*điều\s+(\d+[a-zđ]*)\.?\s*(.*)$"
-CLAUSE = r"^\s*(\d{1,2})\.(?!\d)\s*(.*)$"
-POINT = r"^\s*([a-zđ])\)\s*(.*)$"
+CHAPTER = r"(?iu)^Chương\s*(?:([IVXLCDM]+)(?:\s+|-|:|\.|$))?(.*)$"
+ARTICLE = r"(?iu)^Điều\s+(\d+[a-zđ]*)\.?\s*(.*)$"
+CLAUSE = r"^(\d{1,2})\.(?!\d)\s*(.*)$"
+POINT = r"^([a-zđ])\)(?:\d+)?\s*(.*)$"
+# Where a paragraph of a statute breaks into lines, and lines that are footnotes.
+BREAKS = (
+    (r"(?iu)\s*\t\s*(?=Điều\s+\d+|Chương\s+[IVXLCDM]+)", "\n"),
+    (r"\s*\t\s*(?=\d{1,2}\.(?!\d)\s|[a-zđ]\)(?:\d+)?\s)", "\n"),
+    (r"(?<=[.;:])\s+(?=\d{1,2}\.(?!\d)\s|[a-zđ]\)(?:\d+)?\s)", "\n"),
+    (r"(?iu)(?<!\bđiều)(?<!\bkhoản)(?<!\bchương)(?<!\bđiểm)(?<=\p{L})\s+(?=\d{1,2}\.(?!\d)\s)", "\n"),
+    (r"(?iu)(^|\n)(Chương|Điều|Khoản|Điểm)\s*\n\s*", "$1$2 "),
+)
+FOOTNOTE = r"(?iu)^(?:\d+\s*(?:Điều này|Khoản này|Điểm này|Cụm từ|Từ|Chữ|Bãi bỏ|Sửa đổi|Bổ sung|Thay thế|Theo quy định).*|\d+)$"
+
+
+def clean_lines(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) of statute paragraphs (doc_id, para_no, t): merged lines cut, footnotes dropped.
+
+    Reference marks in brackets go; blank and null paragraphs give no lines. ``line_no`` follows the order of the
+    paragraphs and need not be dense.
+    """
+    text = F.regexp_replace("t", r"\[\d+\]", "")
+    for pattern, into in BREAKS:
+        text = F.regexp_replace(text, pattern, into)
+    lines = paragraphs.select("doc_id", "para_no", F.posexplode(F.split(text, "\n")).alias("part", "line"))
+    kept = lines.select("doc_id", (F.col("para_no").cast("long") * (1 << 20) + F.col("part")).alias("line_no"), F.trim("line").alias("line"))
+    return kept.where((F.col("line") != "") & ~F.col("line").rlike(FOOTNOTE))
 
 
 def hierarchy(lines: DataFrame) -> DataFrame:
@@ -26,7 +49,7 @@ def hierarchy(lines: DataFrame) -> DataFrame:
     article are dropped; an article before any chapter belongs to chapter Unknown. Nested running sums replace the
     line-by-line state; a document is one window partition.
     """
-    line = F.col("line")
+    line = F.trim("line")
     kind = F.when(line.rlike(CHAPTER), 1).when(line.rlike(ARTICLE), 2).when(line.rlike(CLAUSE), 3).when(line.rlike(POINT), 4).otherwise(0)
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.where(F.trim("line") != "").withColumn("kind", kind)
@@ -37,9 +60,9 @@ def hierarchy(lines: DataFrame) -> DataFrame:
     last = Window.partitionBy("doc_id", "cd", "ks").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("ds", F.sum(((F.col("kind") == 4) & (F.col("ks") > 0)).cast("int")).over(last))
     rows = rows.where((F.col("c") > 0) | (F.col("in_d") == 1))
-    text = F.when(F.col("kind") == 2, F.regexp_extract(line, ARTICLE, 2)).when((F.col("kind") == 3) & (F.col("in_d") == 1), F.regexp_extract(line, CLAUSE, 2)).when((F.col("kind") == 4) & (F.col("ks") > 0), F.regexp_extract(line, POINT, 2)).when(F.col("kind") == 1, F.regexp_extract(line, CHAPTER, 2)).otherwise(line)
+    text = F.when(F.col("kind") == 2, F.regexp_extract(line, ARTICLE, 2)).when((F.col("kind") == 3) & (F.col("in_d") == 1), F.regexp_extract(line, CLAUSE, 2)).when((F.col("kind") == 4) & (F.col("ks") > 0), F.regexp_extract(line, POINT, 2)).when(F.col("kind") == 1, F.regexp_replace(F.regexp_extract(line, CHAPTER, 2), r"^[ \-.:\t]+|[ \-.:\t]+$", "")).otherwise(line)
     rows = rows.withColumn("body", F.trim(text))
-    index = F.when(F.col("kind") == 1, F.coalesce(F.nullif(F.regexp_extract(line, CHAPTER, 1), F.lit("")), F.lit("Unknown"))).when(F.col("kind") == 2, F.regexp_extract(line, ARTICLE, 1)).when(F.col("kind") == 3, F.regexp_extract(line, CLAUSE, 1)).when(F.col("kind") == 4, F.regexp_extract(line, POINT, 1))
+    index = F.when(F.col("kind") == 1, F.coalesce(F.nullif(F.upper(F.regexp_extract(line, CHAPTER, 1)), F.lit("")), F.lit("Unknown"))).when(F.col("kind") == 2, F.regexp_extract(line, ARTICLE, 1)).when(F.col("kind") == 3, F.regexp_extract(line, CLAUSE, 1)).when(F.col("kind") == 4, F.regexp_extract(line, POINT, 1))
     nodes = rows.withColumn("index", index).groupBy("doc_id", "c", "cd", "in_d", "ks", "ds").agg(
         F.min("line_no").alias("start_line"),
         F.min_by("index", "line_no").alias("index"),

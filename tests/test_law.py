@@ -48,7 +48,7 @@ def nodes(spark):
 
 def test_hierarchy(nodes):
     rows = [tuple(r)[1:] for r in nodes.orderBy("start_line").collect()]
-    assert rows[0] == ("I", None, None, None, "chuong", 1, ". Tổng quát")
+    assert rows[0] == ("I", None, None, None, "chuong", 1, "Tổng quát")
     assert ("I", "1", "1", None, "khoan", 3, "Khoản một\ntiếp theo") in rows
     assert ("I", "1", "1", "đ", "diem", 6, "điểm đê\n1.5 không phải khoản") in rows
     assert ("II", None, None, None, "chuong", 13, "a) điểm mồ côi") in rows
@@ -84,3 +84,12 @@ def test_mentions_chain(spark):
 def test_citations(spark):
     got = spark.range(1).select(law.citations(F.lit("Điều 51, điều 174a ĐIỀU 3")).alias("c")).first()["c"]
     assert got == ["51", "174a", "3"]
+
+
+def test_clean_lines(spark):
+    rows = [(1, 0, "Điều 1. Tên[3]\t1. khoản một; a) điểm a; b)2 điểm b"), (1, 1, "2 Khoản này được sửa đổi theo Luật"), (1, 2, "12"), (1, 3, None), (1, 4, "người phạm tội 2. khoản hai theo điều 3. x")]
+    paragraphs = spark.createDataFrame(rows, "doc_id long, para_no int, t string")
+    got = [r["line"] for r in law.clean_lines(paragraphs).orderBy("line_no").collect()]
+    assert got == ["Điều 1. Tên", "1. khoản một;", "a) điểm a;", "b)2 điểm b", "người phạm tội", "2. khoản hai theo điều 3. x"]
+    levels = [(r["level"], r["own_text"]) for r in law.hierarchy(law.clean_lines(paragraphs)).orderBy("start_line").collect()]
+    assert levels == [("dieu", "Tên"), ("khoan", "khoản một;"), ("diem", "điểm a;"), ("diem", "điểm b\nngười phạm tội"), ("khoan", "khoản hai theo điều 3. x")]
