@@ -19,7 +19,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id): documents that hold a garbled sequence."""
-    return p10_restored(spark, sf_dir).select("doc_id")
+    return p10_restored(spark, sf_dir).select("doc_id").distinct()
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, field, part_key): the texts that came out in more than one piece."""
-    return p4_pieces(spark, sf_dir).where("piece = 2").select("record_id", "field", "part_key")
+    return p4_pieces(spark, sf_dir).where("piece = 2").select("record_id", "field", "part_key").distinct()
 
 
 #: Labels of an address that may be left out or shortened.
