@@ -20,15 +20,24 @@ def overlaps(queries: DataFrame, sets: DataFrame) -> DataFrame:
     return queries.join(sets, "sig").groupBy("query", "case_id").agg(F.count("*").alias("common"))
 
 
+def _candidates(queries: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(case_id, query, sigs, size): the training sets of each query with the clauses they cover, sorted."""
+    covered = queries.join(sets, "sig").groupBy("query", "case_id").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))
+    return covered.join(sizes, "case_id").select("case_id", "query", "sigs", "size")
+
+
 def greedy(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """(query, iteration, case_id, subset_size, gain, covered, n_clauses, coverage) of k picks per query.
 
     A pick has the greatest gain, then the smallest size, then the smallest id; without gain the smallest set is
-    taken. One shuffle brings a query's candidates together, as lists of clause numbers.
+    taken. Of candidates that cover the same clauses of a query only the k smallest can ever be picked, so a clause
+    that very many sets hold does not make a query's group large.
     """
     sizes = sets.groupBy("case_id").agg(F.count("*").alias("size"))
     small = sizes.orderBy("size", "case_id").limit(k)  # padding once everything is covered
-    shared = queries.join(sets, "sig").groupBy("query", "case_id").agg(F.collect_list("sig").alias("sigs")).join(sizes, "case_id")
+    shared = _candidates(queries, sets, sizes)
+    best = Window.partitionBy("query", "sigs").orderBy("size", "case_id")
+    shared = shared.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
     padding = queries.select("query").distinct().join(F.broadcast(small))
     padding = padding.join(shared.select("query", "case_id"), ["query", "case_id"], "left_anti").select("case_id", "query", F.array().cast("array<string>").alias("sigs"), "size")
     total = queries.groupBy("query").agg(F.count("*").alias("n"))
@@ -82,27 +91,34 @@ def linear_cover(queries: DataFrame, sets: DataFrame, k: int, rounds: int = 200)
     weight one. Rounding draws with a seed of its own per query, keeps the best draw and fills up by weight.
     """
     sizes = sets.groupBy("case_id").agg(F.count("*").alias("size"))
-    frame = queries.join(sets, "sig", "left").join(sizes, "case_id", "left")
+    every = _candidates(queries, sets, sizes)
+    totals = every.groupBy("query").agg(F.count("*").alias("n_candidates"), F.sum("size").alias("total"))
+    # Of sets that cover the same clauses only the cheapest can have weight; the fallback takes the smallest ids.
+    same = Window.partitionBy("query", "sigs")
+    few = every.withColumn("c", F.row_number().over(same.orderBy("size", "case_id"))).withColumn("i", F.row_number().over(same.orderBy("case_id"))).where((F.col("c") <= k) | (F.col("i") <= k)).drop("c", "i")
+    wanted = queries.groupBy("query").agg(F.array_sort(F.collect_list("sig")).alias("wanted"))
+    frame = wanted.join(totals, "query", "left").join(few, "query", "left")
     key = queries.schema["query"].dataType.simpleString()
 
     def run(pdf):
-        sigs = sorted(set(pdf["sig"]))
-        inside = pdf[pdf["case_id"].notna()]
-        cases = sorted(set(inside["case_id"]))
-        at, col = {s: i for i, s in enumerate(sigs)}, {c: j for j, c in enumerate(cases)}
+        name, sigs = pdf["query"].iloc[0], list(pdf["wanted"].iloc[0])
+        inside = pdf[pdf["case_id"].notna()].sort_values("case_id")
+        cases, cost = inside["case_id"].tolist(), inside["size"].to_numpy(float)
+        at = {s: i for i, s in enumerate(sigs)}
         a = np.zeros((len(sigs), len(cases)))
-        for s, c in zip(inside["sig"], inside["case_id"], strict=True):
-            a[at[s], col[c]] = 1
-        cost = inside.groupby("case_id")["size"].first().reindex(cases).to_numpy(float)
+        for j, covered in enumerate(inside["sigs"]):
+            a[[at[s] for s in covered], j] = 1
         feasible = len(cases) > 0 and bool(a.any(1).all())
+        weight = np.ones(len(cases))
+        value = float(pdf["total"].iloc[0]) if len(cases) else 0.0
         if feasible:
-            _, first = np.unique(np.vstack([a, cost]), axis=1, return_index=True)  # equal columns once
+            order = np.lexsort((np.arange(len(cases)), cost))
+            _, first = np.unique(a[:, order], axis=1, return_index=True)  # equal columns once, by their cheapest set
+            first = order[first]
             value, x = solve_cover(a[:, first], cost[first])
             weight = np.zeros(len(cases))
             weight[first] = np.clip(x, 0, 1)
-        else:
-            value, weight = float(cost.sum()), np.ones(len(cases))
-        rng = np.random.default_rng(int.from_bytes(str(pdf["query"].iloc[0]).encode()[-8:], "big"))
+        rng = np.random.default_rng(int.from_bytes(str(name).encode()[-8:], "big"))
         order = sorted(range(len(cases)), key=lambda j: (-weight[j], cases[j]))
         best, best_cover = np.zeros(len(cases), bool), -1
         for _ in range(rounds if len(cases) else 0):
@@ -119,7 +135,8 @@ def linear_cover(queries: DataFrame, sets: DataFrame, k: int, rounds: int = 200)
                 break
             best[j] = True
         got = int(a[:, best].any(1).sum()) if len(cases) else 0
-        return pd.DataFrame([(pdf["query"].iloc[0], "optimal" if feasible else "fallback", round(value, 6), len(sigs), len(cases), int(best.sum()), got)], columns=["query", "status", "lp_value", "n_clauses", "n_candidates", "picked", "covered"])
+        n = int(pdf["n_candidates"].iloc[0]) if len(cases) else 0
+        return pd.DataFrame([(name, "optimal" if feasible else "fallback", round(value, 6), len(sigs), n, int(best.sum()), got)], columns=["query", "status", "lp_value", "n_clauses", "n_candidates", "picked", "covered"])
 
     return frame.groupBy("query").applyInPandas(run, f"query {key}, status string, lp_value double, n_clauses long, n_candidates long, picked long, covered long")
 
