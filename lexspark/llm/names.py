@@ -189,28 +189,72 @@ def similarity(x: Name, y: Name) -> float:
     return max(0.0, min(1.0, score)) - 0.01 * (1 - in_order)
 
 
-def _keys(names: DataFrame) -> DataFrame:
-    """(block, name, centre, band): every band and short form of every vertex."""
+def _keys(vertices: DataFrame) -> DataFrame:
+    """(key, vid, centre, length): every band and short form of every vertex, mixed with its block into one number."""
     n = bands()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, keys = [], []
-            for k, written in enumerate(b["name"]):
+            for k, (block, written) in enumerate(zip(b["block"], b["name"], strict=True)):
                 full, short = Name(written).forms()
                 own = {hash_text(f"s {s}") for s in short}
                 if full:
                     h = _hashes(full, n * ROWS).reshape(n, ROWS)
                     own |= {hash_text(f"{i} {r.tobytes().hex()}") for i, r in enumerate(h)}
-                keys += own
+                salt = hash_text(block)
+                keys += [x ^ salt for x in own]
                 at += [k] * len(own)
-            if not at:
-                continue
-            out = b.iloc[at].copy()
-            out["band"] = np.array(keys, np.uint64).view(np.int64)
-            yield out
+            if at:
+                with np.errstate(over="ignore"):
+                    mixed = np.array(keys, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                vid, centre, length = (b[c].to_numpy()[at] for c in ("vid", "centre", "length"))
+                yield pd.DataFrame({"key": mixed.view(np.int64), "vid": vid, "centre": centre, "length": length})
 
-    return names.mapInPandas(run, "block string, name string, centre boolean, band long")
+    return vertices.select("vid", "block", "name", "centre", "length").mapInPandas(run, "key long, vid long, centre boolean, length int")
+
+
+_PAIRS = 2_000_000  # pairs made at once
+
+
+def _meet(keys: DataFrame, leads: bool) -> DataFrame:
+    """(vid, other): vertices that share a key, the second a centre, or with ``leads`` the longest name of the key.
+
+    One exchange brings a key's entries together; pairs are made by sorting and run lengths, a bounded number at a
+    time, so one key never becomes one big group in memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        rows = pd.concat(frames, ignore_index=True)
+        second = -rows["length"].to_numpy() if leads else 1 - rows["centre"].to_numpy(bool)
+        order = np.lexsort((rows["vid"].to_numpy(), second, rows["key"].to_numpy()))
+        key, vid = rows["key"].to_numpy()[order], rows["vid"].to_numpy()[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        target = np.zeros(len(key), bool)
+        target[starts] = True
+        if not leads:
+            target = rows["centre"].to_numpy(bool)[order]
+        n_targets = np.add.reduceat(target.astype(np.int64), starts)
+        asking = np.flatnonzero(~target & (n_targets[run_of] > 0))
+        many = n_targets[run_of[asking]]
+        for part in np.split(asking, np.searchsorted(np.cumsum(many), np.arange(_PAIRS, many.sum(), _PAIRS))):
+            if len(part):
+                m = n_targets[run_of[part]]
+                right = np.repeat(starts[run_of[part]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                yield pd.DataFrame({"vid": np.repeat(vid[part], m), "other": vid[right]}).drop_duplicates()
+
+    return keys.repartition("key").mapInPandas(run, "vid long, other long").distinct()
+
+
+def _named(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(block, name, other) of pairs of vertices."""
+    mine = vertices.select("vid", "block", "name")
+    theirs = vertices.select(F.col("vid").alias("other"), F.col("name").alias("other_name"))
+    return pairs.join(mine, "vid").join(theirs, "other").select("block", "name", F.col("other_name").alias("other"))
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -231,11 +275,11 @@ def stars(names: DataFrame) -> DataFrame:
     ``names``: (block string, name string, centre boolean, list string); ``list`` tells sources apart in which a
     person is named once.  Names that join no centre form stars of their own around the longest of them.
     """
-    vertices = cut(names.where(F.trim("name") != "").groupBy("block", "name").agg(F.max("centre").alias("centre")))
-    keys = cut(_keys(vertices).repartition("block", "band"))
-    centres = keys.where("centre").select("block", "band", F.col("name").alias("other"))
-    pairs = keys.where("not centre").join(centres, ["block", "band"]).select("block", "name", "other").distinct()
-    edges = cut(_scored(pairs).where(F.col("s") >= ACCEPT))
+    vertices = names.where(F.trim("name") != "").groupBy("block", "name").agg(F.max("centre").alias("centre"))
+    vertices = cut(vertices.select(F.xxhash64("block", "name").alias("vid"), "block", "name", "centre", F.length("name").alias("length")))
+    centred = vertices.where("centre").select("block").distinct()
+    pairs = _meet(_keys(vertices.join(centred, "block", "left_semi")), leads=False)
+    edges = cut(_scored(_named(pairs, vertices)).where(F.col("s") >= ACCEPT))
     by_name = Window.partitionBy("block", "name")
     best = edges.withColumn("top", F.max("s").over(by_name)).where(F.col("s") >= F.col("top") - 0.005).withColumn("n", F.count("*").over(by_name))
     sure = best.where("n = 1").select("block", "name", F.col("other").alias("star"))
@@ -246,11 +290,10 @@ def stars(names: DataFrame) -> DataFrame:
     open_ = best.where("n > 1").join(lists, ["block", "name"]).join(taken, ["block", "other", "list"], "left_anti").select("block", "name", "other").distinct()
     last = open_.withColumn("n", F.count("*").over(by_name)).where("n = 1").select("block", "name", F.col("other").alias("star"))
     joined = cut(sure.unionByName(last).unionByName(vertices.where("centre").select("block", "name", F.col("name").alias("star"))))
-    rest = keys.join(joined, ["block", "name"], "left_anti").join(best.select("block", "name"), ["block", "name"], "left_anti")
-    longest = Window.partitionBy("block", "band").orderBy(F.desc(F.length("name")), "name")
-    lead = rest.withColumn("other", F.first("name").over(longest)).where("name <> other").select("block", "name", "other").distinct()
-    linked = _scored(lead).where(F.col("s") >= ACCEPT).groupBy("block", "name").agg(F.max_by("other", F.struct("s", F.length("other"), "other")).alias("star"))
-    alone = cut(rest.select("block", "name").distinct().join(linked, ["block", "name"], "left").select("block", "name", F.coalesce("star", "name").alias("star")))
+    rest = cut(vertices.join(joined, ["block", "name"], "left_anti").join(best.select("block", "name"), ["block", "name"], "left_anti"))
+    linked = _scored(_named(_meet(_keys(rest), leads=True), rest)).where(F.col("s") >= ACCEPT)
+    linked = linked.groupBy("block", "name").agg(F.max_by("other", F.struct("s", F.length("other"), "other")).alias("star"))
+    alone = cut(rest.select("block", "name").join(linked, ["block", "name"], "left").select("block", "name", F.coalesce("star", "name").alias("star")))
     for _ in range(2):  # a name whose centre is a satellite itself moves on to that one's centre
         onward = alone.select("block", F.col("name").alias("star"), F.col("star").alias("next"))
         alone = alone.join(onward, ["block", "star"], "left").select("block", "name", F.coalesce("next", "star").alias("star"))
