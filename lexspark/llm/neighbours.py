@@ -32,10 +32,10 @@ from lexspark.runtime import cut, parallelism
 K = 5
 SHARD = 2048  # vectors a centroid is meant for
 MOST = 6144  # vectors in one graph
-SAMPLE = 32_768  # vectors that the centroids are fitted on, about
+SAMPLE = 65_536  # vectors that the centroids are fitted on, about
 CENTROIDS = 4096  # at most
-PROBES = 3  # shards asked, at most
-NEAR = 0.12  # a further shard is asked if its centroid's cosine is so close to the best
+PROBES = 4  # shards asked, at most
+NEAR = 0.18  # a further shard is asked if its centroid's cosine is so close to the best
 LINKS = 12  # neighbours chosen for a vector on each level; with the reverse links twice as many
 BEAM = 14
 EXPAND = 2
