@@ -223,8 +223,11 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
     raw, _ = _stack(rows["v"], dim)
     if not len(raw):
         return spark.createDataFrame([], schema)
+    del rows
+    raw /= np.linalg.norm(raw, axis=1, keepdims=True)
     cells = int(min(max(1, total // SHARD), CENTROIDS, max(1, len(raw) // 8)))
-    centroids = spark.sparkContext.broadcast(fit_centroids(_units(raw).astype(np.float32), cells))
+    centroids = spark.sparkContext.broadcast(fit_centroids(raw, cells))
+    del raw
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
