@@ -6,8 +6,9 @@ hierarchical navigable small-world graph is built in bulk, level by level, with
 flat arrays, and searched for all vectors routed there at once: greedy descent through the upper levels, then a beam
 at the lowest.  A vector's results from all its shards are merged by exact cosine.
 
-Scale: each vector is shuffled once as a member of its shard and once per further shard it asks; results are ids and
-cosines.  Centroids start from rows of the sample, so a dense region gets many, and shards hold about ``SHARD``
+Scale: each vector is shuffled once as a member of its shard and once per further shard it asks, which are all those
+that are about as near: in a dense region that is split over many shards, each of its vectors asks all of them, and
+the work grows with the region's size times its shards; results are ids and cosines.  Centroids start from rows of the sample, so a dense region gets many, and shards hold about ``SHARD``
 vectors up to ``SHARD * CENTROIDS`` vectors (raise CENTROIDS and SAMPLE beyond that); one that is larger than
 ``MOST`` is divided at random and asked in all its parts, and one that very many ask is searched in several tasks.  Of vectors with one direction (copies) only the
 ``K + 1`` smallest ids are indexed: they are the nearest of all further copies, which need no search.
@@ -34,8 +35,7 @@ SHARD = 2048  # vectors a centroid is meant for
 MOST = 6144  # vectors in one graph
 SAMPLE = 65_536  # vectors that the centroids are fitted on, about
 CENTROIDS = 4096  # at most
-PROBES = 4  # shards asked, at most
-NEAR = 0.18  # a further shard is asked if its centroid's cosine is so close to the best
+NEAR = 0.18  # a further shard is asked if its centroid's cosine is so close to the best, however many are
 LINKS = 12  # neighbours chosen for a vector on each level; with the reverse links twice as many
 BEAM = 14
 EXPAND = 2
@@ -236,17 +236,15 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
                 continue
             x = _units(raw)
             s = x.astype(np.float32) @ centroids.value.T
-            p = min(PROBES, s.shape[1])
-            cell = np.argpartition(-s, p - 1, axis=1)[:, :p]
-            cell = np.take_along_axis(cell, np.argsort(-np.take_along_axis(s, cell, 1), axis=1), 1)
-            near = np.take_along_axis(s, cell, 1)
-            ask = near >= near[:, :1] - NEAR
+            r, c = np.nonzero(s >= s.max(1, keepdims=True) - NEAR)
+            c = c[np.lexsort((c, -s[r, c], r))]  # the own cell is the first
+            cells_of = np.split(c, np.cumsum(np.bincount(r, minlength=len(x)))[:-1])
             codes = np.round(x, 6).astype(np.float32) + np.float32(0)
             yield pd.DataFrame(
                 {
                     "id": b["id"].to_numpy()[at],
                     "code": np.array([xxhash.xxh64_intdigest(c.tobytes()) for c in codes], np.uint64).view(np.int64),
-                    "cells": [list(map(int, c[a])) for c, a in zip(cell, ask, strict=True)],
+                    "cells": [own.tolist() for own in cells_of],
                     "raw": [r.tobytes() for r in raw],
                 }
             )

@@ -71,3 +71,18 @@ def test_dense_region_is_divided(spark, monkeypatch):
     want = truth(x)
     assert sum(len(want[i] & got[i]) for i in range(len(x))) / (5 * len(x)) >= 0.9
     assert df.select(F.max("id")).first()[0] == 599
+
+
+def test_recall_in_a_dense_third(spark, monkeypatch):
+    monkeypatch.setattr(nb, "SHARD", 64)
+    rng = np.random.default_rng(6)
+    dense = rng.normal(size=64)
+    x = np.concatenate([clusters(4000, 10, dim=64, seed=7), dense / np.linalg.norm(dense) + 0.1 * rng.normal(size=(2000, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    got = {}
+    for r in nb.nearest(df).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    want = truth(x)
+    recall = sum(len(want[i] & got[i]) for i in range(4000, 6000)) / (5 * 2000)
+    print("recall in the dense third", recall)
+    assert recall >= 0.9
