@@ -11,8 +11,9 @@ Accents of the given name decide between centres: a name equal to a centre with
 name that fits two centres equally well to neither, unless the other centre already has its own name in that list.
 
 Scale: vertices are the distinct written names of a block, so a name that is repeated a million times is one vertex;
-links are made between other names and centres only, never between all names of a block.  All steps are equi-joins
-and windows over one name's few candidates.
+where a block has centres, other names are linked to these only.  Names that no centre takes are compared with all
+names they share a key with, so the pairs of a block of very many distinct names grow with the square of the names
+under one key.  All steps are equi-joins and windows over a name's candidates.
 
 Defined results of odd input: null and blank names are nobody; equal strings are never linked to each other; equal
 names of one block count once; rows that were delivered again count once.
@@ -218,7 +219,7 @@ _PAIRS = 2_000_000  # pairs made at once
 
 
 def _meet(keys: DataFrame, leads: bool) -> DataFrame:
-    """(vid, other): vertices that share a key, the second a centre, or with ``leads`` the longest name of the key.
+    """(vid, other): vertices that share a key, the second a centre, or with ``leads`` any longer name of the key.
 
     One exchange brings a key's entries together; pairs are made by sorting and run lengths, a bounded number at a
     time, so one key never becomes one big group in memory.
@@ -234,16 +235,17 @@ def _meet(keys: DataFrame, leads: bool) -> DataFrame:
         key, vid = rows["key"].to_numpy()[order], rows["vid"].to_numpy()[order]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-        target = np.zeros(len(key), bool)
-        target[starts] = True
-        if not leads:
+        if leads:  # all that come before it in the key
+            before = np.arange(len(key)) - starts[run_of]
+            asking = np.flatnonzero(before)
+        else:  # the centres of the key, which stand first
             target = rows["centre"].to_numpy(bool)[order]
-        n_targets = np.add.reduceat(target.astype(np.int64), starts)
-        asking = np.flatnonzero(~target & (n_targets[run_of] > 0))
-        many = n_targets[run_of[asking]]
+            before = np.add.reduceat(target.astype(np.int64), starts)[run_of]
+            asking = np.flatnonzero(~target & (before > 0))
+        many = before[asking]
         for part in np.split(asking, np.searchsorted(np.cumsum(many), np.arange(_PAIRS, many.sum(), _PAIRS))):
             if len(part):
-                m = n_targets[run_of[part]]
+                m = before[part]
                 right = np.repeat(starts[run_of[part]] - np.cumsum(m) + m, m) + np.arange(m.sum())
                 yield pd.DataFrame({"vid": np.repeat(vid[part], m), "other": vid[right]}).drop_duplicates()
 
@@ -273,7 +275,8 @@ def stars(names: DataFrame) -> DataFrame:
     """(block, name, star): the centre that each written name of a block belongs to; centres belong to themselves.
 
     ``names``: (block string, name string, centre boolean, list string); ``list`` tells sources apart in which a
-    person is named once.  Names that join no centre form stars of their own around the longest of them.
+    person is named once.  Names that join no centre are compared with all longer names they share a key
+    with and follow the most similar ones to a star of their own.
     """
     vertices = names.where(F.trim("name") != "").groupBy("block", "name").agg(F.max("centre").alias("centre"))
     vertices = cut(vertices.select(F.xxhash64("block", "name").alias("vid"), "block", "name", "centre", F.length("name").alias("length")))
@@ -294,9 +297,13 @@ def stars(names: DataFrame) -> DataFrame:
     linked = _scored(_named(_meet(_keys(rest), leads=True), rest)).where(F.col("s") >= ACCEPT)
     linked = linked.groupBy("block", "name").agg(F.max_by("other", F.struct("s", F.length("other"), "other")).alias("star"))
     alone = cut(rest.select("block", "name").join(linked, ["block", "name"], "left").select("block", "name", F.coalesce("star", "name").alias("star")))
-    for _ in range(2):  # a name whose centre is a satellite itself moves on to that one's centre
+    while True:  # a name whose centre joined a longer one itself moves on to that one's centre; each round halves the way
         onward = alone.select("block", F.col("name").alias("star"), F.col("star").alias("next"))
-        alone = alone.join(onward, ["block", "star"], "left").select("block", "name", F.coalesce("next", "star").alias("star"))
+        alone = cut(alone.join(onward, ["block", "star"], "left").select("block", "name", F.coalesce("next", "star").alias("star"), (F.col("next") != F.col("star")).alias("moved")))
+        if alone.where("moved").isEmpty():
+            break
+        alone = alone.drop("moved")
+    alone = alone.drop("moved")
     return joined.unionByName(alone)
 
 

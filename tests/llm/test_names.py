@@ -62,3 +62,11 @@ def test_without_centres_and_empty(spark):
     rows = [("Lê Tấn Thao", False, "a"), ("LÊ TẤN THAO", False, "a"), ("L. T. Thao", False, "a"), ("Phạm Hoa", False, "a")]
     assert pairs(spark, rows) == {(0, 1), (0, 2), (1, 2)}
     assert n.same_person(mentions(spark, rows).limit(0)).count() == 0
+
+
+def test_all_names_of_a_key_meet(spark):
+    rows = [(7, 1, False, 20), (7, 2, False, 10), (7, 3, False, 10), (7, 4, False, 9), (8, 4, False, 9), (8, 5, False, 9), (9, 6, False, 5)]
+    keys = spark.createDataFrame(rows, "key long, vid long, centre boolean, length int")
+    met = {(r["vid"], r["other"]) for r in n._meet(keys, leads=True).collect()}
+    assert met == {(2, 1), (3, 1), (4, 1), (3, 2), (4, 2), (4, 3), (5, 4)}
+    assert n._meet(keys, leads=False).count() == 0
