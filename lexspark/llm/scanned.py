@@ -9,8 +9,8 @@ Corpus evidence is counted over all texts, then judged in SQL:
   the first or last words of that are those of lines that repeat or stand next to page numbers in several texts;
 * a word cut at a line end is joined unless the hyphenated form is the usual one in the collection.
 
-Scale: the texts are scanned twice and never shuffled for detection; what moves are word counts (combined per task),
-line keys and the few candidate tokens of each text.  Corrections are joined, not broadcast by hand.
+Scale: the texts are scanned twice and shuffled once, where copies become one text; what moves besides are word counts
+(combined per task), line keys and the few candidate tokens of each text.  Corrections are joined, not broadcast by hand.
 
 Defined results of odd input: null and empty texts give no rows; a text without line breaks can only hold misread
 characters; repeated rows of one id are reported once.
@@ -189,27 +189,32 @@ def _is_word(t: str) -> bool:
 
 
 def evidence(texts: DataFrame) -> DataFrame:
-    """(kind, key, n, sure): counts of words, and of header candidates by key, over all texts."""
+    """(kind, key, n, sure): counts of words over all distinct texts, and of header candidates by key over all texts.
+
+    A copied text is no further evidence of a word: its misreadings would be as frequent as words.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         lines: Counter = Counter()
         certain: Counter = Counter()
         for b in batches:
-            for text in b["t"]:
+            for text, copies in zip(b["t"], b["copies"], strict=True):
                 words.update(_words(text))
                 if "\n" in text:
                     seen: dict[str, int] = {}
                     for _, key, level in Page(text).candidates():
                         for x in affixes(key):
                             seen[x] = max(seen.get(x, 0), min(level, 1))
-                    lines.update(seen.keys())
-                    certain.update(x for x, level in seen.items() if level)
+                    for x, level in seen.items():
+                        lines[x] += copies
+                        certain[x] += copies * level
         kept = [(w, c) for w, c in words.items() if _is_word(w)]
         rows = [("word", w, c, 0) for w, c in kept] + [("line", k, c, certain[k]) for k, c in lines.items()]
         yield pd.DataFrame(rows, columns=["kind", "key", "n", "sure"])
 
-    found = texts.select("t").mapInPandas(run, "kind string, key string, n long, sure long")
+    once = texts.groupBy(F.xxhash64("t").alias("h")).agg(F.any_value("t").alias("t"), F.count("*").alias("copies")).select("t", "copies")
+    found = once.mapInPandas(run, "kind string, key string, n long, sure long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
 
 
@@ -351,7 +356,7 @@ def mend(text: str, heads: set[str], fixes: dict[str, str], hyphened: dict[str,
 
 
 def repair(texts: DataFrame) -> DataFrame:
-    """(id, field, repaired): every text in continuous paragraphs. The texts are shuffled once, to meet their fixes."""
+    """(id, field, repaired): every text in continuous paragraphs. The texts are shuffled once more, to meet their fixes."""
     texts = texts.where(F.length("t") > 0)
     _, heads, chars, broken = _judged(texts)
     keys = heads.groupBy("id", "field").agg(F.collect_set("key").alias("heads"))

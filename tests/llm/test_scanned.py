@@ -66,3 +66,10 @@ def test_repair(spark):
     assert got[9] == "Người làm chứng khai thấy Hiếu trèo qua cửa vào chứng cứ.\nĐoạn hai có giá 371.700.000 đồng."
     assert got[0] == rows[0][2]
     assert s.find_noise(spark.createDataFrame([], "id long, field string, t string")).count() == 0
+
+
+def test_copies_of_a_text_do_not_make_its_misreadings_words(spark):
+    noisy = "\n".join(body((6, "rnáy")))
+    rows = [(i, "f", noisy) for i in range(90)] + [(100 + i, "f", f"Hồ sơ {i} ghi chiếc máy đã mất") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, field string, t string").repartition(3)
+    assert {r["id"] for r in s.find_noise(df).where("kind = 'char'").collect()} == set(range(90))
