@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import chunking, encoding, mixing, names, neighbours, overlap, packing, scanned, tokens
-from lexspark.runtime import cut, latest_delivery, stored, table, wide_table
+from lexspark.runtime import cut, latest_delivery, table, wide_table
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id_a, record_id_b): judgments of validation and test that stand also in train."""
     judgments = cut(_judgments(spark, sf_dir)).withColumn("side", F.col("split_name") == "train")
     narratives = wide_table(spark, sf_dir, "extracted_fields", "record_id", "noi_dung_vu_an").select(F.col("record_id").alias("id"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra").alias("t"))
-    texts = stored(narratives.join(judgments.select("id", "side"), "id"))
-    pairs = overlap.cross_split_pairs(texts, judgments.select("id", "side", "number"))
+    pairs = overlap.cross_split_pairs(narratives, judgments.select("id", "side", "number"))
     return pairs.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
 
 
