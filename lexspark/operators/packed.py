@@ -1,7 +1,8 @@
 """Several values packed in one field: one value per row, with its place.
 
 A cell is cut into atoms at every candidate delimiter; quoted spans are atomic.  The runs of atoms between two
-delimiters are the edges of a lattice, and each edge is one possible value.  Expectation-maximisation over the
+delimiters are the edges of a lattice, and each edge is one possible value; runs of very many atoms are edges where the column holds their value
+free, whatever its length.  Expectation-maximisation over the
 lattices of the whole column learns how often each value and how often each kind of delimiter really separates;
 a Viterbi pass then chooses the likeliest path of every cell.  So a comma or a connecting word inside a frequent
 value ("processing, storing and sale") is kept, and the same comma between two frequent values cuts.
@@ -17,6 +18,7 @@ cell stay separate rows; other columns are not touched, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 import re
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.runtime import cut
+from lexspark.runtime import cut, spread
 
 #: Delimiter kinds with the prior probability that one separates values. A kind's pattern must not match inside numbers.
 DELIMITERS: tuple[tuple[str, str, float], ...] = (
@@ -46,7 +48,7 @@ _MARK = re.compile(r"\s*(?:\(?(\d{1,2})[.)/](?!\d)|[-•*–]\s)\s*")
 _INLINE_MARK = re.compile(r"(?:(?<=\s)|^)\(?(\d{1,2})[.)/](?!\d)\s*")
 _TRIM = " \t\n\r ;|,"
 
-MAX_ATOMS = 8  # longest value, in atoms, that the model knows besides the whole cell
+NEAR_ATOMS = 8  # every run of so many atoms is an edge; a longer one is where its value stands free in the column
 _FLOOR = -5.0  # log-probability of a value never seen, plus _PER_WORD for each of its words
 _PER_WORD = -2.0
 _DISCOUNT = 0.5  # absolute discount of an expected count: what is seen by accident does not become a value
@@ -162,7 +164,7 @@ def lattice(cell: str, rules: tuple[tuple[re.Pattern, str], ...]) -> tuple[list[
         for j in range(i + 1, n + 1):
             if j - i > 1 and (kinds[j - 2] == "hard" or spans[j - 1][2] or spans[i][2]):
                 break
-            if j - i > MAX_ATOMS and not (i == 0 and j == n):
+            if j - i > NEAR_ATOMS and not (i == 0 and j == n):
                 continue
             edges.append((i, j, _normal(cell[spans[i][0] : spans[j - 1][1]], rules)))
     return spans, kinds, edges
@@ -228,9 +230,33 @@ def unpack(df: DataFrame, id_col: str, columns: list[str], rules: dict[str, Rule
             yield pd.DataFrame(rows, columns=["field", "cell", "w", "sig", "kinds", "i", "j", "key", "a", "b", "free"])
 
     schema = "field string, cell string, w long, sig string, kinds array<string>, i array<int>, j array<int>, key array<string>, a array<int>, b array<int>, free string"
-    by_cell = cut(distinct.mapInPandas(to_lattice, schema).withColumn("sig", F.md5("sig")))
-    lattices = cut(by_cell.groupBy("field", "sig").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("kinds", "i", "j", "key", "free")]))
+    by_cell = cut(spread(distinct, "field", "cell").mapInPandas(to_lattice, schema).withColumn("sig", F.md5("sig")))
+    lattices = cut(by_cell.groupBy("field", "sig").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("kinds", "i", "j", "key", "free")], F.min_by(F.struct("cell", "a", "b"), "cell").alias("one")).select("*", "one.*").drop("one"))
     edges = lattices.select("field", "sig", F.explode(F.arrays_zip("i", "j", "key")).alias("e"), (F.size("kinds") + 1).alias("n"), "w", "free").select("field", "sig", "e.*", "n", "w", "free")
+    # Longer values: runs of as many atoms as some value of the column that fills a cell, and equal to one.
+    free = edges.where((F.col("i") == 0) & (F.col("j") == F.col("n")) & (F.col("n") > NEAR_ATOMS)).select("field", "key", "n").distinct()
+    free = cut(free)
+    lengths: dict[str, list[int]] = {}
+    for r in free.select("field", "n").distinct().collect():  # a number of atoms is a row
+        lengths.setdefault(r["field"], []).append(r["n"])
+    if lengths:
+
+        def long_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for field, sig, cell, kinds, a, e, q, w in zip(b["field"], b["sig"], b["cell"], b["kinds"], b["a"], b["b"], b["free"], b["w"], strict=True):
+                    n = len(a)
+                    bars = [k for k in range(n) if q[k] == "q" or (k + 1 < n and kinds[k] == "hard")]
+                    for m in lengths.get(field, []):
+                        for i in range(n - m + 1 if m < n else 0):
+                            k = bisect.bisect_left(bars, i)
+                            if k == len(bars) or bars[k] >= i + m - (q[bars[k]] != "q"):
+                                rows.append((field, sig, i, i + m, _normal(cell[a[i] : e[i + m - 1]], patterns[field]), n, w, q))
+                yield pd.DataFrame(rows, columns=["field", "sig", "i", "j", "key", "n", "w", "free"])
+
+        long_cells = lattices.where(F.size("kinds") > NEAR_ATOMS).select("field", "sig", "cell", "kinds", "a", "b", "free", "w")
+        runs = long_cells.mapInPandas(long_edges, "field string, sig string, i int, j int, key string, n int, w long, free string")
+        edges = edges.unionByName(runs.join(free.select("field", "key"), ["field", "key"], "left_semi").select(*edges.columns))
     # First evidence: values that stand free, as a whole cell, in quotes or as a list item.
     hard = F.expr("substring(free, i + 1, 1) = 'q' and j = i + 1")
     theta = edges.where(((F.col("n") == F.col("j") - F.col("i"))) | hard).groupBy("field", "key").agg(F.sum(F.col("w") * F.pow(F.lit(0.5), F.col("j") - F.col("i") - 1)).alias("c"))

@@ -8,7 +8,7 @@ does not reach an ancestor's item says that the item is null or that its list is
 Both steps are narrow (no shuffle): a record is shredded where it is read and assembled where it was shredded.
 
 Defined results of odd input: null, empty and unreadable text gives no entries; code fences, JSON inside JSON
-strings, single-element lists and wrapper objects are looked through; an object where a list is declared counts as
+strings, single-element lists and wrapper objects are looked through, however many; an object where a list is declared counts as
 a list of one; lists in lists are flattened; a null item keeps its place; a scalar where an object is declared
 counts as a null item; numbers and booleans become their JSON text.
 """
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FENCE = re.compile(r"```[A-Za-z]*\s*(.*?)\s*```", re.S)
-_LOOK_THROUGH = 8  # wrappers nested deeper than this are taken as unreadable
 
 
 @dataclass(frozen=True)
@@ -56,7 +55,7 @@ def _readable(text: str | None):
 def unwrap(text: str | None, marks: frozenset[str]):
     """The first object that holds a key of ``marks``, looked for through strings, lists and wrapper objects."""
     front = [_readable(text)]
-    for _ in range(_LOOK_THROUGH):
+    while front:
         following = []
         for node in front:
             if isinstance(node, dict):

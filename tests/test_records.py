@@ -84,3 +84,21 @@ def test_atoms_lie_in_order_inside_the_cell(cell):
     spans, kinds = packed.atoms(cell)
     assert len(kinds) == max(0, len(spans) - 1)
     assert all(a < b for a, b, _ in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_wrappers_of_any_depth(spark):
+    node = {"Thong_Tin_Bi_Cao": [{"Ho_Ten": "deep"}]}
+    for k in range(40):
+        node = {f"w{k}": node} if k % 3 else json.dumps([node])
+    assert plain(spark, [json.dumps(node)], "bi_cao.Ho_Ten") == [(0, 1, "deep")]
+
+
+def test_values_of_any_number_of_parts(spark):
+    for parts in (4, 10, 25):
+        value = ", ".join(f"phần {chr(97 + k)}" for k in range(parts))
+        cells = [value] * 60 + ["trộm"] * 60 + [f"{value}; trộm", f"trộm, {value}, trộm"]
+        rows = spark.createDataFrame(list(enumerate(cells)), "key long, cell string")
+        got = {}
+        for r in packed.unpack(rows, "key", ["cell"]).where("id >= 120").orderBy("id", "pos").collect():
+            got.setdefault(r["id"], []).append(r["item"])
+        assert got == {120: [value, "trộm"], 121: ["trộm", value, "trộm"]}, parts
