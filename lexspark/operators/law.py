@@ -85,27 +85,35 @@ def _shown(kind: str, index: Column, text: Column) -> Column:
 
 
 def level_texts(nodes: DataFrame) -> DataFrame:
-    """(dieu, khoan, diem, text, level): the labelled text of every article, clause and point with its context.
+    """(dieu, khoan, diem, text, level, pos): the labelled text of every article, clause and point with its context.
 
-    ``nodes``: (pos, dieu, khoan, diem, level, own_text). An article shows all below it in order, a clause its
-    article's heading and its points, a point its ancestors. Of equal indexes the last one wins.
+    ``nodes``: (pos, dieu, khoan, diem, level, own_text) and, where there are several statutes, law_id, which the
+    result then has too. An article shows all below it in order, a clause its article's heading and its points, a
+    point its ancestors. Of equal indexes the last one wins.
     """
-    last = Window.partitionBy("dieu", "khoan", "diem").orderBy(F.desc("pos"))
+    if "law_id" not in nodes.columns:
+        return level_texts(nodes.withColumn("law_id", F.lit(""))).drop("law_id")
+    last = Window.partitionBy("law_id", "dieu", "khoan", "diem").orderBy(F.desc("pos"))
     n = nodes.where("dieu is not null").withColumn("n", F.row_number().over(last)).where("n = 1")
     shown = F.when(F.col("level") == "dieu", _shown("dieu", F.col("dieu"), F.col("own_text"))).when(F.col("level") == "khoan", _shown("khoan", F.col("khoan"), F.col("own_text"))).otherwise(_shown("diem", F.col("diem"), F.col("own_text")))
-    n = n.select("pos", "dieu", "khoan", "diem", "level", shown.alias("shown"))
+    n = n.select("law_id", "pos", "dieu", "khoan", "diem", "level", shown.alias("shown"))
 
     def joined(*keys: str) -> Column:
         parts = F.array_sort(F.collect_list(F.when(F.col("shown").isNotNull(), F.struct("pos", "shown"))))
         return F.array_join(F.transform(parts, lambda x: x["shown"]), "\n")
 
-    heads = n.where("level = 'dieu'").select("dieu", F.col("shown").alias("head"))
-    clause = n.where("level = 'khoan'").select("dieu", "khoan", F.col("shown").alias("clause"))
-    whole = n.groupBy("dieu").agg(joined().alias("text")).join(heads.select("dieu"), "dieu", "left_semi").select("dieu", F.lit(None).cast("string").alias("khoan"), F.lit(None).cast("string").alias("diem"), "text", F.lit("dieu").alias("level"))
-    clauses = n.where("khoan is not null").groupBy("dieu", "khoan").agg(joined().alias("body")).join(clause.select("dieu", "khoan"), ["dieu", "khoan"], "left_semi").join(heads, "dieu", "left")
-    clauses = clauses.select("dieu", "khoan", F.lit(None).cast("string").alias("diem"), F.concat_ws("\n", "head", F.nullif("body", F.lit(""))).alias("text"), F.lit("khoan").alias("level"))
-    points = n.where("level = 'diem'").join(heads, "dieu", "left").join(clause, ["dieu", "khoan"], "left")
-    points = points.select("dieu", "khoan", "diem", F.concat_ws("\n", "head", "clause", "shown").alias("text"), F.lit("diem").alias("level"))
+    def absent(name: str) -> Column:
+        return F.lit(None).cast("string").alias(name)
+
+    article, inner = ["law_id", "dieu"], ["law_id", "dieu", "khoan"]
+    heads = n.where("level = 'dieu'").select(*article, F.col("shown").alias("head"), F.col("pos").alias("head_pos"))
+    clause = n.where("level = 'khoan'").select(*inner, F.col("shown").alias("clause"), F.col("pos").alias("clause_pos"))
+    whole = n.groupBy(*article).agg(joined().alias("text")).join(heads, article)
+    whole = whole.select(*article, absent("khoan"), absent("diem"), "text", F.lit("dieu").alias("level"), F.col("head_pos").alias("pos"))
+    clauses = n.where("khoan is not null").groupBy(*inner).agg(joined().alias("body")).join(clause.drop("clause"), inner).join(heads, article, "left")
+    clauses = clauses.select(*inner, absent("diem"), F.concat_ws("\n", "head", F.nullif("body", F.lit(""))).alias("text"), F.lit("khoan").alias("level"), F.col("clause_pos").alias("pos"))
+    points = n.where("level = 'diem'").join(heads, article, "left").join(clause, inner, "left")
+    points = points.select(*inner, "diem", F.concat_ws("\n", "head", "clause", "shown").alias("text"), F.lit("diem").alias("level"), "pos")
     return whole.unionByName(clauses).unionByName(points)
 
 
@@ -113,22 +121,25 @@ def lookup(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(pos, query, normalized, found, level, reason, dieu, khoan, diem, text) of free-form citations (pos, query).
 
     ``reason`` is the first level that fails, or the parse error. Input order and repeats stay through ``pos``. The
-    three level tables are joined by equality; Spark broadcasts them where they are small.
+    three level tables are joined by equality; Spark broadcasts them where they are small. Of indexes that fold to one
+    key the last one wins. With a law_id in both, citations and texts of one statute meet.
     """
-    q = queries.select("pos", "query", parse(F.col("query").cast("string")).alias("p")).select("pos", "query", "p.*")
-    keyed = texts.select(lookup_key(F.col("dieu")).alias("kd"), lookup_key(F.col("khoan")).alias("kk"), lookup_key(F.col("diem")).alias("km"), "level", "text")
+    if "law_id" not in queries.columns:
+        return lookup(queries.withColumn("law_id", F.lit("")), texts.withColumn("law_id", F.lit(""))).drop("law_id")
+    q = queries.select("law_id", "pos", "query", parse(F.col("query").cast("string")).alias("p")).select("law_id", "pos", "query", "p.*")
+    keyed = texts.select(F.col("law_id").alias("kl"), lookup_key(F.col("dieu")).alias("kd"), lookup_key(F.col("khoan")).alias("kk"), lookup_key(F.col("diem")).alias("km"), "level", "text", F.col("pos").alias("kp"))
     by = {
-        "d": keyed.where("level = 'dieu'").groupBy("kd").agg(F.max("text").alias("td")),
-        "k": keyed.where("level = 'khoan'").groupBy("kd", "kk").agg(F.max("text").alias("tk")),
-        "m": keyed.where("level = 'diem'").groupBy("kd", "kk", "km").agg(F.max("text").alias("tm")),
+        "d": keyed.where("level = 'dieu'").groupBy("kl", "kd").agg(F.max_by("text", "kp").alias("td")),
+        "k": keyed.where("level = 'khoan'").groupBy("kl", "kd", "kk").agg(F.max_by("text", "kp").alias("tk")),
+        "m": keyed.where("level = 'diem'").groupBy("kl", "kd", "kk", "km").agg(F.max_by("text", "kp").alias("tm")),
     }
-    j = q.join(by["d"], q.dieu == by["d"].kd, "left").drop("kd")
-    j = j.join(by["k"], (j.dieu == by["k"].kd) & (j.khoan == by["k"].kk), "left").drop("kd", "kk")
-    j = j.join(by["m"], (j.dieu == by["m"].kd) & (j.khoan == by["m"].kk) & (j.diem == by["m"].km), "left").drop("kd", "kk", "km")
+    j = q.join(by["d"], (q.law_id == by["d"].kl) & (q.dieu == by["d"].kd), "left").drop("kl", "kd")
+    j = j.join(by["k"], (j.law_id == by["k"].kl) & (j.dieu == by["k"].kd) & (j.khoan == by["k"].kk), "left").drop("kl", "kd", "kk")
+    j = j.join(by["m"], (j.law_id == by["m"].kl) & (j.dieu == by["m"].kd) & (j.khoan == by["m"].kk) & (j.diem == by["m"].km), "left").drop("kl", "kd", "kk", "km")
     reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("td").isNull(), "dieu_not_found").when(F.col("khoan").isNotNull() & F.col("tk").isNull(), "khoan_not_found").when(F.col("diem").isNotNull() & F.col("tm").isNull(), "diem_not_found")
     found = reason.isNull()
     level = F.when(found, F.when(F.col("diem").isNotNull(), "diem").when(F.col("khoan").isNotNull(), "khoan").otherwise("dieu"))
-    return j.select("pos", "query", "normalized", found.alias("found"), level.alias("level"), reason.alias("reason"), "dieu", "khoan", "diem", F.when(found, F.coalesce("tm", "tk", "td")).alias("text"))
+    return j.select("law_id", "pos", "query", "normalized", found.alias("found"), level.alias("level"), reason.alias("reason"), "dieu", "khoan", "diem", F.when(found, F.coalesce("tm", "tk", "td")).alias("text"))
 
 
 # Levels of a cross-reference from the lowest to the highest, and what may stand between linked ones.

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder named by ``spark.checkpoint.dir``; a local one is made only where none is set."""
+    """Keep the folder named by ``spark.checkpoint.dir``; in local mode alone one is made where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexspark-ckpt-"))
 
 
@@ -37,29 +40,49 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition for compute-bound Python work, where partitions by size would leave cores idle."""
-    n = parallelism(df.sparkSession)
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    """Repartition by ``keys`` for compute-bound Python work, where partitions by size would leave cores idle."""
+    return df.repartition(parallelism(df.sparkSession), *keys)
 
 
 def latest_delivery(df: DataFrame, key: str, at: str = "loaded_at") -> DataFrame:
     """One row per ``key``: the delivery with the greatest ``at`` (null counts as oldest).
 
-    Re-delivered rows repeat the whole row under the same id. A partial ``max_by`` runs before the shuffle,
-    so a key that was delivered very often still moves one row per task.
+    Rows are ranked by hashes of fixed size, never compared column by column, so columns may have any type, maps too.
+    The first rank of each task is taken before the shuffle, so a key that was delivered very often moves one row per
+    task.
     """
-    others = [c for c in df.columns if c != key]
-    best = F.max(F.struct(F.col(at).alias("_at"), *[F.col(c).alias(c) for c in others if "map<" not in dict(df.dtypes)[c]]))
-    out = df.groupBy(key).agg(best.alias("_b"))
-    return out.select(key, *[F.col(f"_b.{c}").alias(c) for c in others])
+    plain = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in df.dtypes]
+    order = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), F.xxhash64(*plain))
+    return df.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == 1).drop("_place")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as compressed Parquet in the shared folder and read it back: for frames with long texts."""
+    """Write ``df`` once as compressed Parquet in the shared folder and read it back: for frames with long texts.
+
+    The folder is removed when the application ends.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,22 +3,31 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexspark.runtime import path_exists, write_text
+
 
 def write_report(summary: DataFrame, path: str) -> None:
     """A one-row summary as indented JSON text."""
     row = summary.limit(1).toJSON().collect()[0]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(json.loads(row), ensure_ascii=False, indent=2), encoding="utf-8")
+    write_text(summary.sparkSession, path, json.dumps(json.loads(row), ensure_ascii=False, indent=2))
 
 
 def write_records(records: DataFrame, path: str, by: str) -> None:
-    """JSON files in one folder per value of ``by``."""
-    records.write.partitionBy(by).mode("overwrite").json(path)
+    """One JSON file per value of ``by``, in a folder of its name: a record each where ``by`` is unique."""
+    records.repartition(F.col(by)).write.partitionBy(by).mode("overwrite").json(path)
+
+
+def new_version(table: DataFrame, path: str) -> str:
+    """Write a table as the next version under ``path`` (v1, v2, ...) beside the ones that are there; gives its path."""
+    spark, n = table.sparkSession, 1
+    while path_exists(spark, f"{path}/v{n}"):
+        n += 1
+    table.write.parquet(f"{path}/v{n}")
+    return f"{path}/v{n}"
 
 
 def not_done(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -29,7 +38,7 @@ def not_done(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def upsert(spark: SparkSession, new: DataFrame, path: str, key: str = "id") -> int:
     """Append the rows whose id the stored table lacks, one per id; gives their number."""
     fresh = new.dropDuplicates([key])
-    if Path(path).exists():
+    if path_exists(spark, path):
         fresh = not_done(fresh, spark.read.parquet(path), key)
     fresh = fresh.persist()
     n = fresh.count()
