@@ -183,14 +183,25 @@ def narrative_parts(text: Column) -> Column:
 
 
 def label_sets(items: DataFrame) -> DataFrame:
-    """(doc_id, signatures, articles, errors) of legal-basis items (doc_id, dieu, khoan, diem, source, n_verdicts, n_items).
+    """(doc_id, signatures, articles, errors) of legal-basis items (doc_id, dieu, khoan, diem, source, n_verdicts, n_items, is_item).
+
+    ``n_verdicts`` and ``n_items`` are null where what stands there is no list, ``is_item`` is false where an item is
+    no object; it may be left out.
 
     One bad item spoils its document: ``errors`` lists the distinct codes, and only documents without any keep their
     labels. Items of other sources are passed over before their article is looked at.
     """
     penal = is_penal_code(F.col("source"))
     sigs = expand(F.col("dieu"), F.col("khoan"), F.col("diem"))
-    error = F.when(F.col("n_verdicts") == 0, "verdict_empty").when(F.coalesce("n_items", F.lit(0)) == 0, "basis_empty").when(penal & (F.size(sigs) == 0), "missing_dieu")
+    is_item = F.coalesce("is_item", F.lit(False)) if "is_item" in items.columns else F.lit(True)
+    error = (
+        F.when(F.col("n_verdicts").isNull(), "verdict_invalid_type")
+        .when(F.col("n_verdicts") == 0, "verdict_empty")
+        .when(F.col("n_items").isNull(), "basis_invalid_type")
+        .when(F.col("n_items") == 0, "basis_empty")
+        .when(~is_item, "basis_item_not_object")
+        .when(penal & (F.size(sigs) == 0), "missing_dieu")
+    )
     rows = items.select("doc_id", error.alias("error"), F.when(penal & error.isNull(), sigs).otherwise(F.array().cast("array<string>")).alias("sigs"))
     grouped = rows.groupBy("doc_id").agg(F.collect_set("error").alias("errors"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sigs")))).alias("signatures"))
     errors = F.when((F.size("errors") == 0) & (F.size("signatures") == 0), F.array(F.lit("no_labels_extracted"))).otherwise(F.array_sort("errors"))

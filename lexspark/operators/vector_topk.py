@@ -1,13 +1,13 @@
 """Exact cosine search of a stated query set against all vectors.
 
-Queries are taken in blocks of bounded size; a block's matrix (``BLOCK`` x dimension floats) is broadcast, every task
-keeps its own k best per query by one matrix product, and only those rows are shuffled.
+A query set of at most ``BLOCK`` vectors is broadcast: every task keeps its own k best per query by one matrix
+product, and only those rows are shuffled.  A larger one never reaches the driver: queries and vectors meet in blocks
+of about ``BLOCK`` of each, so the work is the stated one, all queries against all vectors, and a task holds two blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,37 @@ def _matrix(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x[good] / norm[good, None], np.flatnonzero(fit)[good]
 
 
+def _nearest(q: tuple, batches: Iterator[pd.DataFrame], k: int, per_doc: bool) -> pd.DataFrame | None:
+    """The k best of all batches for each query of a block (matrix, ids, docs)."""
+    x_q, ids, docs = q
+    best: pd.DataFrame | None = None
+    for batch in batches:
+        x, at = _matrix(batch["v"])
+        if not len(x) or not len(x_q):
+            continue
+        own, doc = batch["id"].to_numpy()[at], batch["doc"].to_numpy()[at]
+        order = np.lexsort((own, pd.factorize(doc, sort=False)[0]))
+        x, own, doc = x[order], own[order], doc[order]
+        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if per_doc else np.arange(len(x))
+        d = 1.0 - x_q @ x.T
+        d[docs[:, None] == doc[None, :]] = np.inf
+        least = np.minimum.reduceat(d, starts, axis=1) if per_doc else d
+        keep = min(least.shape[1], k)
+        kth = np.partition(least, keep - 1, axis=1)[:, keep - 1]
+        r, c = np.nonzero((least <= kth[:, None]) & np.isfinite(least))  # ties of the k-th stay
+        if per_doc:  # the nearest chunk of a document, of equal ones the smallest id
+            ends = np.append(starts[1:], len(x))
+            c = np.array([starts[j] + d[i, starts[j] : ends[j]].argmin() for i, j in zip(r, c, strict=True)], dtype=np.int64)
+        rows = pd.DataFrame({"query_id": ids[r], "other_id": own[c], "doc": doc[c], "distance": d[r, c]})
+        best = _reduce(rows if best is None else pd.concat([best, rows]), k, per_doc)
+    return best
+
+
+def _block(part: pd.DataFrame) -> tuple:
+    q, at = _matrix(part["v"])
+    return q, part["id"].to_numpy()[at], part["doc"].to_numpy()[at]
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, per_doc: bool = False) -> DataFrame:
     """(query_id, other_id, doc, distance, rank): the k nearest chunks, or documents, of other documents.
 
@@ -36,48 +67,40 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, per_doc: bool = F
     over-fetching is needed: every task keeps the best chunk of each of its k best documents per query.
     """
     spark = vectors.sparkSession
-    total = queries.where("v is not null").count()
-    blocks = max(1, -(-total // BLOCK))
-    salted = queries.where("v is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    asked = queries.where("v is not null").select("id", "doc", "v")
+    known = vectors.where("v is not null").select("id", "doc", "v")
     types = {f.name: f.dataType.simpleString() for f in vectors.schema}
     schema = f"query_id {types['id']}, other_id {types['id']}, doc {types['doc']}, distance double"
-    found = []
-    for b in range(blocks):
-        part = salted.where(F.col("block") == b).select("id", "doc", "v").toPandas()
-        q, at = _matrix(part["v"])
-        shared = spark.sparkContext.broadcast((q, part["id"].to_numpy()[at], part["doc"].to_numpy()[at]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q, ids, docs = shared.value
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                x, at = _matrix(batch["v"])
-                if not len(x) or not len(q):
-                    continue
-                own, doc = batch["id"].to_numpy()[at], batch["doc"].to_numpy()[at]
-                order = np.lexsort((own, pd.factorize(doc, sort=False)[0]))
-                x, own, doc = x[order], own[order], doc[order]
-                starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if per_doc else np.arange(len(x))
-                d = 1.0 - q @ x.T
-                d[docs[:, None] == doc[None, :]] = np.inf
-                least = np.minimum.reduceat(d, starts, axis=1) if per_doc else d
-                keep = min(least.shape[1], k)
-                kth = np.partition(least, keep - 1, axis=1)[:, keep - 1]
-                r, c = np.nonzero((least <= kth[:, None]) & np.isfinite(least))  # ties of the k-th stay
-                if per_doc:  # the nearest chunk of a document, of equal ones the smallest id
-                    ends = np.append(starts[1:], len(x))
-                    c = np.array([starts[j] + d[i, starts[j] : ends[j]].argmin() for i, j in zip(r, c, strict=True)], dtype=np.int64)
-                rows = pd.DataFrame({"query_id": ids[r], "other_id": own[c], "doc": doc[c], "distance": d[r, c]})
-                best = _reduce(rows if best is None else pd.concat([best, rows]), k, per_doc)
+    first = asked.limit(BLOCK + 1).toPandas()  # the size is checked before anything is broadcast
+    if len(first) <= BLOCK:
+        shared = spark.sparkContext.broadcast(_block(first))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _nearest(shared.value, batches, k, per_doc)
             if best is not None:
                 yield best
 
-        found.append(vectors.where("v is not null").select("id", "doc", "v").mapInPandas(run, schema))
-    rows = reduce(DataFrame.unionByName, found)
+        rows = known.mapInPandas(scan, schema)
+    else:
+
+        def blocks(df: DataFrame, salt: str) -> tuple[DataFrame, int]:
+            n = -(-df.count() // BLOCK)
+            return df.withColumn(salt, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+
+        asked, n_q = blocks(asked, "qb")
+        known, n_v = blocks(known, "vb")
+        left = asked.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+        right = known.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+        def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+            best = _nearest(_block(q), iter([v]), k, per_doc) if len(q) and len(v) else None
+            return pd.DataFrame(columns=["query_id", "other_id", "doc", "distance"]) if best is None else best
+
+        rows = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy("distance", "other_id")
     if per_doc:
-        first = Window.partitionBy("query_id", "doc").orderBy("distance", "other_id")
-        rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+        by_doc = Window.partitionBy("query_id", "doc").orderBy("distance", "other_id")
+        rows = rows.withColumn("n", F.row_number().over(by_doc)).where("n = 1").drop("n")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import signatures as sg
@@ -96,16 +96,18 @@ def q_lp_cover_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_label_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict label validation per verdict row: error codes, or the number of labels."""
     rows = verdicts(spark, sf_dir, "can_cu_dieu_luat")
-    items = rows.select(F.col("mention_id").alias("doc_id"), F.lit(1).alias("n_verdicts"), F.coalesce(F.size("can_cu_dieu_luat"), F.lit(0)).alias("n0"), F.explode_outer("can_cu_dieu_luat").alias("c"))
-    items = items.select("doc_id", "n_verdicts", F.greatest("n0", F.lit(0)).alias("n_items"), "c.dieu", "c.khoan", "c.diem", F.col("c.bo_luat_va_van_ban_khac").alias("source"))
+    n = F.when(F.col("can_cu_dieu_luat").isNotNull(), F.size("can_cu_dieu_luat"))
+    items = rows.select(F.col("mention_id").alias("doc_id"), F.lit(1).alias("n_verdicts"), n.alias("n_items"), F.explode_outer("can_cu_dieu_luat").alias("c"))
+    items = items.select("doc_id", "n_verdicts", "n_items", F.col("c").isNotNull().alias("is_item"), "c.dieu", "c.khoan", "c.diem", F.col("c.bo_luat_va_van_ban_khac").alias("source"))
     out = documents.label_sets(items)
-    return out.select("doc_id", F.array_join("errors", "|").alias("errors"), F.coalesce(F.size("articles"), F.lit(0)).cast("long").alias("n_articles_raw")).select("doc_id", "errors", F.greatest("n_articles_raw", F.lit(0)).alias("n_articles"))
+    return out.select("doc_id", F.array_join("errors", "|").alias("errors"), F.coalesce(F.size("articles"), F.lit(0)).cast("long").alias("n")).select("doc_id", "errors", F.greatest("n", F.lit(0)).alias("n_articles"))
 
 
-_LABEL_ERRORS_SQL = f"""WITH i AS (SELECT mention_id AS doc_id, unnest(CASE WHEN coalesce(len(can_cu_dieu_luat), 0) = 0 THEN [NULL] ELSE can_cu_dieu_luat END) AS c, coalesce(len(can_cu_dieu_luat), 0) AS n FROM ({VERDICTS_SQL})),
-  e AS (SELECT doc_id, n, coalesce(contains(lower(strip_accents(c.bo_luat_va_van_ban_khac)), 'blhs') OR contains(lower(strip_accents(c.bo_luat_va_van_ban_khac)), 'bo luat hinh su'), false) AS penal, nullif(trim(c.dieu), '') AS dieu FROM i),
-  g AS (SELECT doc_id, max(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS empty, max(CASE WHEN n > 0 AND penal AND dieu IS NULL THEN 1 ELSE 0 END) AS missing, count(DISTINCT CASE WHEN penal THEN dieu END) AS arts FROM e GROUP BY 1)
-  SELECT doc_id, CASE WHEN empty = 1 THEN 'basis_empty' WHEN missing = 1 THEN 'missing_dieu' WHEN arts = 0 THEN 'no_labels_extracted' ELSE '' END AS errors, CASE WHEN empty = 1 OR missing = 1 THEN 0 ELSE arts END AS n_articles FROM g"""
+_LABEL_ERRORS_SQL = f"""WITH v AS ({VERDICTS_SQL}), i AS (SELECT mention_id AS doc_id, unnest(CASE WHEN coalesce(len(can_cu_dieu_luat), 0) = 0 THEN [NULL] ELSE can_cu_dieu_luat END) AS c, len(can_cu_dieu_luat) AS n FROM v),
+  e AS (SELECT doc_id, coalesce(regexp_matches(lower(strip_accents(c.bo_luat_va_van_ban_khac)), 'blhs|bo luat hinh su'), false) AS penal, nullif(trim(c.dieu), '') AS dieu, c, n FROM i),
+  k AS (SELECT doc_id, penal, dieu, CASE WHEN n IS NULL THEN 'basis_invalid_type' WHEN n = 0 THEN 'basis_empty' WHEN c IS NULL THEN 'basis_item_not_object' WHEN penal AND dieu IS NULL THEN 'missing_dieu' END AS error FROM e),
+  g AS (SELECT doc_id, string_agg(DISTINCT error, '|' ORDER BY error) AS errors, count(DISTINCT CASE WHEN penal THEN dieu END) AS arts FROM k GROUP BY 1)
+  SELECT doc_id, coalesce(errors, CASE WHEN arts = 0 THEN 'no_labels_extracted' ELSE '' END) AS errors, CASE WHEN errors IS NULL THEN arts ELSE 0 END AS n_articles FROM g"""
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +140,42 @@ _NODES_SQL = """SELECT *, row_number() OVER (ORDER BY chapter_pos, try_cast(rege
 _LAST_SQL = f"SELECT * FROM ({_NODES_SQL}) WHERE law_level IN ('dieu', 'khoan', 'diem') QUALIFY row_number() OVER (PARTITION BY dieu, khoan, diem ORDER BY pos DESC) = 1"
 
 
+def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mention_id, record_id, pos, query): every citation of every verdict in its order, multi-valued items written out."""
+    rows = verdicts(spark, sf_dir, "record_id", "can_cu_dieu_luat").select("mention_id", "record_id", F.posexplode("can_cu_dieu_luat").alias("item", "c"))
+    sigs = rows.select("mention_id", "record_id", "item", F.posexplode(sg.expand(F.col("c.dieu"), F.col("c.khoan"), F.col("c.diem"))).alias("part", "query"))
+    return sigs.select("mention_id", "record_id", (F.col("item").cast("long") * 1000 + F.col("part")).alias("pos"), "query")
+
+
+def _looked_up(cited: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every distinct citation looked up by level."""
+    return law.lookup(cited.select("query").distinct().select(F.lit(0).alias("pos"), "query"), texts).drop("pos")
+
+
 def q_hier_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct single-valued citation of the verdicts looked up by level."""
-    cited = _items(spark, sf_dir).where("trim(coalesce(dieu, '')) <> '' and coalesce(khoan, '') not rlike '[,;/ ]'").select(F.concat_ws("-", "dieu", "khoan", "diem").alias("query")).distinct()
-    found = law.lookup(cited.select(F.lit(0).alias("pos"), "query"), cut(_texts(spark, sf_dir)))
-    return found.select("query", "normalized", "found", "level", "reason")
+    """Every distinct citation of the verdicts looked up by level."""
+    return _looked_up(_citations(spark, sf_dir), cut(_texts(spark, sf_dir))).select("query", "normalized", "found", "level", "reason")
+
+
+def q_lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citations of every verdict in their order, repeats kept, each looked up once."""
+    cited = _citations(spark, sf_dir)
+    found = _looked_up(cited, cut(_texts(spark, sf_dir)))
+    place = Window.partitionBy("mention_id").orderBy("pos")
+    return cited.join(found.select("query", "found", "level"), "query").select("mention_id", F.row_number().over(place).cast("long").alias("place"), "query", "found", "level")
+
+
+def q_law_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By record: the signatures whose text was found, those that are missing, and a warning reason:signature for each."""
+    cited = _citations(spark, sf_dir).select("record_id", "query").distinct()
+    rows = cited.join(_looked_up(cited, cut(_texts(spark, sf_dir))).select("query", "found", "reason"), "query")
+
+    def joined(c: Column) -> Column:
+        return F.array_join(F.array_sort(F.collect_list(c)), "|")
+
+    missing = F.when(~F.col("found"), F.col("query"))
+    warning = F.when(~F.col("found"), F.concat_ws(":", "reason", "query"))
+    return rows.groupBy("record_id").agg(F.count_if("found").alias("n_found"), joined(F.when(F.col("found"), F.col("query"))).alias("found"), joined(missing).alias("missing"), joined(warning).alias("warnings"))
 
 
 def q_explicit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,12 +237,16 @@ def q_cooccurrence_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     held = cut(_case_articles(spark, sf_dir))
     n = held.select("record_id").distinct().count()
-    single = held.groupBy("dieu").agg(F.count("*").alias("n")).where((F.col("n") < n) & (F.col("n") >= 5))
-    kept = held.join(single, "dieu")
-    pairs = kept.alias("a").join(kept.alias("b"), (F.col("a.record_id") == F.col("b.record_id")) & (F.col("a.dieu") < F.col("b.dieu")))
-    both = pairs.groupBy(F.col("a.dieu").alias("dieu_a"), F.col("b.dieu").alias("dieu_b")).agg(F.count("*").alias("n_both"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
+    single = held.groupBy("dieu").agg(F.count("*").alias("n")).where(F.col("n") < n)
+    pairs = held.alias("a").join(held.alias("b"), (F.col("a.record_id") == F.col("b.record_id")) & (F.col("a.dieu") < F.col("b.dieu")))
+    both = pairs.groupBy(F.col("a.dieu").alias("dieu_a"), F.col("b.dieu").alias("dieu_b")).agg(F.count("*").alias("n_both"))
+    # All pairs of the statute's articles, as one sorted list of them is written out twice.
+    listed = single.agg(F.array_sort(F.collect_list(F.struct("dieu", "n"))).alias("all")).select("all", F.explode("all").alias("a"))
+    listed = listed.select("a", F.explode(F.filter("all", lambda x: x["dieu"] > F.col("a.dieu"))).alias("b"))
+    grid = listed.select(F.col("a.dieu").alias("dieu_a"), F.col("b.dieu").alias("dieu_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    rows = grid.join(both, ["dieu_a", "dieu_b"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
     r = (F.lit(float(n)) * F.col("n_both") - F.col("na") * F.col("nb")) / F.sqrt(F.col("na") * (n - F.col("na")) * F.col("nb").cast("double") * (n - F.col("nb")))
-    return both.select("dieu_a", "dieu_b", "n_both", F.round(r, 6).alias("corr"))
+    return rows.select("dieu_a", "dieu_b", "n_both", F.round(r, 6).alias("corr"))
 
 
 def q_citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +287,7 @@ def q_split_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (q_signature_expand, q_clause_signatures, q_overlap_join, q_greedy_cover, q_greedy_summary, q_lp_cover_value, q_label_errors, q_hierarchy_carry_forward, q_ancestor_text, q_hier_lookup, q_explicit_lookup, q_referential_check, q_chapter_counts, q_article_counts, q_zero_filled_hist, q_semi_chapter_filter, q_cooccurrence_corr, q_citation_counts, q_mentions, q_law_chunks, q_law_chunk_types, q_mention_signatures, q_split_propagation)
+    for f in (q_signature_expand, q_clause_signatures, q_overlap_join, q_greedy_cover, q_greedy_summary, q_lp_cover_value, q_label_errors, q_hierarchy_carry_forward, q_ancestor_text, q_hier_lookup, q_lookup_many, q_law_context, q_explicit_lookup, q_referential_check, q_chapter_counts, q_article_counts, q_zero_filled_hist, q_semi_chapter_filter, q_cooccurrence_corr, q_citation_counts, q_mentions, q_law_chunks, q_law_chunk_types, q_mention_signatures, q_split_propagation)
 }
 _ARTS_SQL = f"SELECT DISTINCT record_id, trim(dieu) AS dieu FROM ({_ITEMS_SQL}) WHERE coalesce(trim(dieu), '') <> ''"
 _MAP_SQL = "SELECT dieu, arg_max(chuong, chapter_pos) AS chuong FROM law_nodes WHERE dieu IS NOT NULL GROUP BY 1"
@@ -262,6 +299,17 @@ _LEAF_SQL = f"""WITH n AS (SELECT * FROM ({_NODES_SQL}) WHERE law_level IN ('die
   t AS (SELECT l.*, concat_ws(chr(10), '[LAW:doc_hinh_su] [Chuong ' || coalesce(l.chuong, '') || '] [Dieu ' || l.dieu || ']' || coalesce(' [Khoan ' || l.khoan || ']', '') || coalesce(' [Diem ' || l.diem || ']', ''), l.chuong_title,
       CASE WHEN l.law_level = 'dieu' THEN trim(l.own_text) ELSE trim(split_part(h.own_text, chr(10), 1)) END, CASE WHEN l.law_level = 'diem' THEN trim(k.own_text) END, CASE WHEN l.law_level <> 'dieu' THEN trim(l.own_text) END) AS text
     FROM l LEFT JOIN n h ON h.law_level = 'dieu' AND h.dieu = l.dieu LEFT JOIN n k ON k.law_level = 'khoan' AND k.dieu = l.dieu AND k.khoan = l.khoan)"""
+_LOOKED_SQL = f"""WITH v AS ({VERDICTS_SQL}), i AS (SELECT mention_id, record_id, unnest(can_cu_dieu_luat) AS c, generate_subscripts(can_cu_dieu_luat, 1) AS item FROM v),
+  s AS (SELECT mention_id, record_id, item, trim(c.dieu) AS d, list_transform(list_filter(regexp_split_to_array(coalesce(c.khoan, ''), ',|;|/| và '), lambda x: trim(x) <> ''), lambda x: replace(trim(x), ' ', '')) AS ks,
+          list_transform(list_filter(regexp_split_to_array(coalesce(c.diem, ''), ',|;|/| và '), lambda x: trim(x) <> ''), lambda x: lower(replace(trim(x), ' ', ''))) AS ms FROM i WHERE coalesce(trim(c.dieu), '') <> ''),
+  f AS (SELECT *, unnest(CASE WHEN len(ks) = 0 THEN [NULL] ELSE ks END) AS k, generate_subscripts(CASE WHEN len(ks) = 0 THEN [NULL] ELSE ks END, 1) AS ki FROM s),
+  h AS (SELECT *, unnest(CASE WHEN len(ms) = 0 THEN [NULL] ELSE ms END) AS m, generate_subscripts(CASE WHEN len(ms) = 0 THEN [NULL] ELSE ms END, 1) AS mi FROM f),
+  p AS (SELECT mention_id, record_id, item, ki, mi, concat_ws('-', d, k, m) AS query FROM h),
+  l AS ({_LAST_SQL}), y AS (SELECT DISTINCT query, string_split(lower(query), '-') AS x FROM p),
+  r AS (SELECT query, x, EXISTS (SELECT 1 FROM l WHERE law_level = 'dieu' AND lower(l.dieu) = x[1]) AS fd,
+    EXISTS (SELECT 1 FROM l WHERE law_level = 'khoan' AND lower(l.dieu) = x[1] AND lower(l.khoan) = x[2]) AS fk, EXISTS (SELECT 1 FROM l WHERE law_level = 'diem' AND lower(l.dieu) = x[1] AND lower(l.khoan) = x[2] AND lower(l.diem) = x[3]) AS fm FROM y),
+  w AS (SELECT *, CASE WHEN NOT fd THEN 'dieu_not_found' WHEN x[2] IS NOT NULL AND NOT fk THEN 'khoan_not_found' WHEN x[3] IS NOT NULL AND NOT fm THEN 'diem_not_found' END AS reason FROM r),
+  z AS (SELECT query, array_to_string(x, '-') AS normalized, reason IS NULL AS found, CASE WHEN reason IS NULL THEN CASE len(x) WHEN 3 THEN 'diem' WHEN 2 THEN 'khoan' ELSE 'dieu' END END AS level, reason FROM w)"""
 SQL = {
     "q_law_chunks": _LEAF_SQL + """ SELECT 'law::doc_hinh_su::' || law_level || '::' || concat_ws('-', dieu, khoan, diem) || '::chuong-' || coalesce(chuong, '') || '::00::' || lpad((row_number() OVER (ORDER BY pos) - 1)::VARCHAR, 6, '0') AS id, law_level, concat_ws('-', dieu, khoan, diem) AS law_signature_full, 0::BIGINT AS chunk_index, length(trim(text)) AS n FROM t""",
     "q_law_chunk_types": _LEAF_SQL + " SELECT law_level, count(*) AS n FROM t GROUP BY 1",
@@ -277,12 +325,10 @@ SQL = {
     "q_ancestor_text": _FULL_SQL + """ SELECT s.dieu, s.khoan, NULL::VARCHAR AS diem, concat_ws(chr(10), max(head), string_agg(shown, chr(10) ORDER BY pos)) AS text FROM s LEFT JOIN h USING (dieu)
         WHERE s.khoan IS NOT NULL AND (s.dieu, s.khoan) IN (SELECT (dieu, khoan) FROM n WHERE law_level = 'khoan') GROUP BY 1, 2
         UNION ALL SELECT s.dieu, s.khoan, s.diem, concat_ws(chr(10), head, clause, shown) FROM s LEFT JOIN h USING (dieu) LEFT JOIN k ON k.dieu = s.dieu AND k.khoan = s.khoan WHERE law_level = 'diem'""",
-    "q_hier_lookup": f"""WITH c AS (SELECT DISTINCT dieu, khoan, diem FROM ({_ITEMS_SQL}) WHERE coalesce(trim(dieu), '') <> '' AND NOT regexp_matches(coalesce(khoan, ''), '[,;/ ]')),
-        p AS (SELECT DISTINCT concat_ws('-', dieu, khoan, diem) AS query, string_split(lower(concat_ws('-', dieu, khoan, diem)), '-') AS x FROM c),
-        l AS ({_LAST_SQL}), r AS (SELECT query, x, EXISTS (SELECT 1 FROM l WHERE law_level = 'dieu' AND lower(l.dieu) = x[1]) AS d,
-          EXISTS (SELECT 1 FROM l WHERE law_level = 'khoan' AND lower(l.dieu) = x[1] AND lower(l.khoan) = x[2]) AS k, EXISTS (SELECT 1 FROM l WHERE law_level = 'diem' AND lower(l.dieu) = x[1] AND lower(l.khoan) = x[2] AND lower(l.diem) = x[3]) AS m FROM p),
-        z AS (SELECT *, CASE WHEN NOT d THEN 'dieu_not_found' WHEN x[2] IS NOT NULL AND NOT k THEN 'khoan_not_found' WHEN x[3] IS NOT NULL AND NOT m THEN 'diem_not_found' END AS reason FROM r)
-        SELECT query, array_to_string(x, '-') AS normalized, reason IS NULL AS found, CASE WHEN reason IS NULL THEN CASE len(x) WHEN 3 THEN 'diem' WHEN 2 THEN 'khoan' ELSE 'dieu' END END AS level, reason FROM z""",
+    "q_hier_lookup": _LOOKED_SQL + " SELECT DISTINCT query, normalized, found, level, reason FROM z",
+    "q_lookup_many": _LOOKED_SQL + " SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY item, ki, mi) AS place, query, found, level FROM p JOIN z USING (query)",
+    "q_law_context": _LOOKED_SQL + """ SELECT record_id, count(*) FILTER (found) AS n_found, coalesce(string_agg(query, '|' ORDER BY query) FILTER (found), '') AS found, coalesce(string_agg(query, '|' ORDER BY query) FILTER (NOT found), '') AS missing,
+        coalesce(string_agg(reason || ':' || query, '|' ORDER BY reason || ':' || query) FILTER (NOT found), '') AS warnings FROM (SELECT DISTINCT record_id, query FROM p) JOIN z USING (query) GROUP BY 1""",
     "q_explicit_lookup": _FULL_SQL + f""" SELECT dieu, length(string_agg(shown, chr(10) ORDER BY pos)) AS n FROM s WHERE dieu IN (SELECT split_part(dieu, '-', 1) FROM ({_ARTS_SQL})) AND dieu IN (SELECT dieu FROM n WHERE law_level = 'dieu') GROUP BY 1""",
     "q_referential_check": f"""WITH i AS (SELECT record_id, trim(dieu) AS dieu FROM ({_ITEMS_SQL}) WHERE contains(lower(coalesce(source, '')), 'bộ luật hình sự'))
         SELECT record_id, 'missing' AS problem, '' AS dieu, count(*) AS n FROM i WHERE coalesce(dieu, '') = '' GROUP BY 1 UNION ALL
@@ -292,8 +338,8 @@ SQL = {
     "q_zero_filled_hist": f"""WITH a AS (SELECT dieu, min(pos) AS pos FROM ({_NODES_SQL}) WHERE chuong = 'II' GROUP BY 1), c AS (SELECT dieu, count(*) AS n FROM ({_ARTS_SQL}) GROUP BY 1)
         SELECT row_number() OVER (ORDER BY pos) AS place, dieu, coalesce(n, 0) AS n FROM a LEFT JOIN c USING (dieu)""",
     "q_semi_chapter_filter": f"SELECT record_id, filename FROM extracted_fields WHERE record_id IN (SELECT record_id FROM ({_ARTS_SQL}) JOIN ({_MAP_SQL}) USING (dieu) WHERE chuong = 'II')",
-    "q_cooccurrence_corr": f"""WITH a AS ({_ARTS_SQL}), s AS (SELECT dieu, count(*) AS n FROM a GROUP BY 1 HAVING count(*) >= 5), r AS (SELECT DISTINCT record_id FROM a),
+    "q_cooccurrence_corr": f"""WITH a AS ({_ARTS_SQL}), s AS (SELECT dieu, count(*) AS n FROM a GROUP BY 1 HAVING count(*) < (SELECT count(DISTINCT record_id) FROM a)), r AS (SELECT DISTINCT record_id FROM a),
         m AS (SELECT r.record_id, s.dieu, CASE WHEN a.dieu IS NULL THEN 0 ELSE 1 END AS x FROM r CROSS JOIN s LEFT JOIN a ON a.record_id = r.record_id AND a.dieu = s.dieu)
-        SELECT p.dieu AS dieu_a, q.dieu AS dieu_b, CAST(sum(p.x * q.x) AS BIGINT) AS n_both, round(corr(p.x, q.x), 6) AS corr FROM m p JOIN m q ON p.record_id = q.record_id AND p.dieu < q.dieu GROUP BY 1, 2 HAVING sum(p.x * q.x) > 0""",
+        SELECT p.dieu AS dieu_a, q.dieu AS dieu_b, CAST(sum(p.x * q.x) AS BIGINT) AS n_both, round(corr(p.x, q.x), 6) AS corr FROM m p JOIN m q ON p.record_id = q.record_id AND p.dieu < q.dieu GROUP BY 1, 2""",
     "q_citation_counts": "SELECT dieu, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)điều\\s+(\\d+[a-zA-Z]*)', 1)) AS dieu FROM documents) GROUP BY 1",
 }

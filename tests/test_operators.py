@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexspark import sources
-from lexspark.operators import cover, documents, generation
+from lexspark.operators import cover, documents, generation, vector_topk
 from lexspark.operators.vector_topk import exact_topk
 from lexspark.runtime import latest_delivery
 from lexspark.sources import sinks
@@ -76,6 +76,15 @@ def test_exact_topk_against_brute_force(spark, per_doc):
         assert got[q] == want
 
 
+@pytest.mark.parametrize("per_doc", [False, True])
+def test_exact_topk_of_many_queries_in_blocks(spark, monkeypatch, per_doc):
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, f"d{i % 9}", rng.normal(size=6).tolist()) for i in range(90)], "id long, doc string, v array<double>").cache()
+    few = sorted(exact_topk(v, v, 3, per_doc).collect())
+    monkeypatch.setattr(vector_topk, "BLOCK", 13)
+    assert sorted(exact_topk(v, v, 3, per_doc).collect()) == few
+
+
 def test_latest_delivery(spark):
     rows = spark.createDataFrame([(1, "a", None, 1), (1, "b", "2020-01-01", 2), (2, None, None, 3)], "k long, v string, at string, loaded int").withColumn("at", F.to_timestamp("at"))
     assert {(r["k"], r["v"], r["loaded"]) for r in latest_delivery(rows, "k", "at").collect()} == {(1, "b", 2), (2, None, 3)}
@@ -139,6 +148,35 @@ def test_narrative_parts(spark):
     assert got == {1: ("Trước.", "Tại bản cáo trạng số 5 truy tố."), 2: ("chi co.", "Cao trang so 7 noi"), 3: ("không có", None), 4: (None, None)}
 
 
+def test_label_codes_of_wrong_types(spark):
+    rows = [(1, None, None, None, None, None, None, False), (2, None, None, None, None, 1, None, False), (3, None, None, None, None, 1, 1, False), (4, "1", None, None, "BLHS", 1, 1, True)]
+    items = spark.createDataFrame(rows, "doc_id long, dieu string, khoan string, diem string, source string, n_verdicts int, n_items int, is_item boolean")
+    got = {r["doc_id"]: r["errors"] for r in documents.label_sets(items).collect()}
+    assert got == {1: ["verdict_invalid_type"], 2: ["basis_invalid_type"], 3: ["basis_item_not_object"], 4: []}
+
+
+def test_latest_delivery_with_maps(spark):
+    rows = spark.createDataFrame([(1, 1, {"a": 1}, [{"x": 1}]), (1, 2, {"b": 2}, None), (2, None, None, [])], "k long, at long, m map<string,int>, n array<map<string,int>>")
+    assert {(r["k"], r["at"], str(r["m"])) for r in latest_delivery(rows, "k", "at").collect()} == {(1, 2, "{'b': 2}"), (2, None, "None")}
+
+
+def test_two_statutes_do_not_mix(spark):
+    from lexspark.operators import law
+
+    nodes = spark.createDataFrame([("a", 1, "5", None, None, "dieu", "A5"), ("b", 2, "5", None, None, "dieu", "B5"), ("b", 3, "5", "1", None, "khoan", "B51"), ("b", 4, "đ", None, None, "dieu", "x"), ("b", 5, "5", None, None, "dieu", "B5 last")], "law_id string, pos int, dieu string, khoan string, diem string, level string, own_text string")
+    q = spark.createDataFrame([("a", 1, "5-1"), ("b", 2, "5-1"), ("b", 3, "5"), ("a", 4, "5"), ("c", 5, "5")], "law_id string, pos int, query string")
+    got = {r["pos"]: (r["reason"], r["text"]) for r in law.lookup(q, law.level_texts(nodes)).collect()}
+    assert got[1][0] == "khoan_not_found" and got[4][1] == "[dieu 5] A5" and got[5][0] == "dieu_not_found"
+    assert got[2] == (None, "[dieu 5] B5 last\n[khoan 1] B51") and "B5 last" in got[3][1] and "A5" not in got[3][1]
+
+
+def test_new_versions(spark, tmp_path):
+    rows = spark.range(3)
+    assert [sinks.new_version(rows, str(tmp_path / "t")) for _ in range(2)] == [str(tmp_path / "t" / "v1"), str(tmp_path / "t" / "v2")]
+    sinks.write_records(rows.selectExpr("id", "id * 2 AS x"), str(tmp_path / "r"), "id")
+    assert len(list((tmp_path / "r").glob("id=*/*.json"))) == 3
+
+
 def test_labels_are_strict(spark):
     rows = [
         (1, "51", "1", "a", "BLHS", 1, 2), (1, None, None, None, "Nghị định", 1, 2), (2, None, "1", None, "BLHS", 1, 1), (3, None, None, None, None, 1, 0),
