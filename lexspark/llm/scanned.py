@@ -2,9 +2,14 @@
 
 Corpus evidence is counted over all texts, then judged in SQL:
 
-* a rare word is joined with the frequent words it may be a misreading of by anagram hash: the hash of a word is the
-  sum of its characters' hashes, so a confusion (``rn`` for ``m``) shifts it by a constant, and variants meet their
-  targets in an equi-join on hash + shift; candidates are verified by replacement and ranked by frequency;
+* the hash of a word is the sum of its characters' hashes, so a confusion (``rn`` for ``m``) shifts it by a constant.
+  Confusions are those known to occur in scans and those the collection shows: rare and frequent words are joined
+  by hash less that of one or two characters, and a difference that recurs in many words, in one direction only and as
+  the usual fate of what it replaces, is a confusion; differences of accents, case and typing slips are none;
+* a rare word is joined with the frequent words it may be a misreading of by hash + shift, for any number of
+  confusions in it; candidates are verified by replacement and ranked by frequency;
+* numbers are judged by their shape (digits as 9): a token is misread where its shape is rare and the one with letters
+  read as digits is common;
 * a line is a running header if it stands beside a page number, or if its key (letters only, confusions undone) or
   the first or last words of that are those of lines that repeat or stand next to page numbers in several texts;
 * a word cut at a line end is joined unless the hyphenated form is the usual one in the collection.
@@ -27,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.text import strip_diacritics
 from lexspark.runtime import cut
 
 # What scanners read (left) for what was printed (right).
@@ -37,12 +43,18 @@ CONFUSIONS: tuple[tuple[str, str], ...] = (
     ("§", "S"), ("§", "s"), ("$", "S"), ("(", "c"), ("€", "e"), ("€", "C"), ("£", "E"), ("¢", "c"), ("ō", "ơ"),
 )
 MARKS = "-‐‑¬­"
-MAX_WORD = 30  # longer runs of characters are not words and have no misreadings
 MIN_RATIO = 8  # a target must be so many times as frequent as its misreading
-_LEFT = re.compile("|".join(sorted({re.escape(a) for a, _ in CONFUSIONS}, key=len, reverse=True)))
+FREQUENT = 20  # words that show a confusion are misreadings of words with at least this count
+RECUR = 10  # words that must show a confusion
+SHOWS = 40  # characters of the longest words that confusions are learned from; they are applied to words of any length
+WIDE = 2  # a header is at most so many times as long as the text's usual line
+USUAL = 60  # characters of a usual line at least, for texts of few lines
+READINGS = 2048  # of one word; beyond that each further sign is read in one way only
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _CODE = re.compile(r"[A-Za-z]{1,3}\d{2,}.*|\d{1,2}[A-Z]\d.*|[\d.,:/-]+|\d+(?:kg|g|m|km|đ|m2|h|%)|\d[\d.,]*đ")
-_MISREAD_NUMBER = re.compile(r"(?=[^\s]*\d)(?=[^\s]*[OoIl])[\dOoIl]{1,3}(?:[.,][\dOoIl]{3})+|\d+[Oo]\d+|\d*[OoIl]\d{2,}(?:\.\d+)?|(?:SN|KT|MX|HV)(?=\d*[OoIl])[\dOoIl]{5}")
+_NUMBER_LIKE = re.compile(r"(?=\S*[OoIl])(?:\S*\d\S*|[OoIl.,/:-]{2,})")
+_GROUPED = re.compile(r"(?=\S*\d)[\dOoIl]{1,3}(?:[.,][\dOoIl]{3})+")  # groups of three need no evidence
+_DIGIT = re.compile(r"\d")
 _CUT = re.compile(rf"(?:^|\s)([^\s\d]*[^\W\d_])[{MARKS}]$")
 _PAGE = re.compile(r"[~\-–—\[({|\s]*(?:(?:trang|tr\.?|page|p\.)\s*(?:so\s*)?:?\s*)?(\d{1,4})\s*(?:/\s*\d{1,4})?\s*[~\-–—\])}|\s.]*", re.I)
 _SURE_PAGE = re.compile(r"(?:[~\-–—\[{(]+\s*\d{1,4}\s*[~\-–—\]})]+|\d{1,4}\s*\|| \|\s*\d{1,4}|(?:trang|tr\.|page)\s*(?:so\s*)?\d{1,4}(?:\s*/\s*\d{1,4})?)\s*", re.I)
@@ -50,7 +62,6 @@ _NUMBER = r"(?:[~\-–—\[({]*\s*(?:trang\s*(?:so\s*)?|tr\.\s*|page\s*)?\d{1,4}
 _BESIDE = re.compile(rf"(?P<left>.*\S)(?:\s{{2,}}|\t)(?P<after>{_NUMBER})|(?P<before>{_NUMBER})(?:\s{{2,}}|\t)(?P<right>\S.*)")
 _STYLED = re.compile(r"\s{2,}\S|\s\|\s")
 _ITEM = re.compile(r"\s*(?:\d{1,3}[.)]\s+\S|[-+•]\s+\S|[a-zđ]\)\s)")
-_HEADER_LENGTH = 90
 
 
 def fold(text: str) -> str:
@@ -87,6 +98,8 @@ class Page:
         self.inner = filled[1:-1]
         self.before = {k: filled[at] for at, k in enumerate(filled[1:])}
         self.after = {filled[at]: filled[at + 1] for at in range(len(filled) - 1)}
+        lengths = sorted(len(self.lines[k]) for k in filled)
+        self.widest = WIDE * max(lengths[len(lengths) // 2], USUAL) if filled else 0  # a header fits on a line of the page
         self.page: dict[int, int] = {}  # line -> page number
         self.header: dict[int, str] = {}  # line -> key
         self._pages()
@@ -100,14 +113,14 @@ class Page:
         weak = []
         for k in self.inner:
             s = self.lines[k].strip()
-            if len(s) > _HEADER_LENGTH:
+            if len(s) > self.widest:
                 continue
             f = fold(s)
             alone = _PAGE.fullmatch(f)
             if alone and not re.fullmatch(r"\d+-", f):
                 if _SURE_PAGE.fullmatch(f):
                     self.page[k] = int(alone.group(1))
-                elif int(alone.group(1)) < 1000:
+                else:
                     weak.append((k, int(alone.group(1))))
             elif (m := _BESIDE.fullmatch(f)) and not _ITEM.match(f):
                 words = m["left"] or m["right"]
@@ -120,7 +133,7 @@ class Page:
                 continue
             near = [numbers[i][1] for i in (at - 1, at + 1) if 0 <= i < len(numbers)]
             follows = any(abs(x - v) == 1 for x in near)
-            if follows or self._interrupts(k):
+            if follows or (v < 1000 and self._interrupts(k)):  # larger ones alone may be years
                 self.page[k] = v
 
     def candidates(self) -> Iterator[tuple[int, str, int]]:
@@ -134,7 +147,7 @@ class Page:
         keys = {}
         for k in self.inner:
             s = self.lines[k].strip()
-            if k in self.page or k in self.header or len(s) > _HEADER_LENGTH or _ITEM.match(s) or s[-1:] in ".;,:" or re.search(r"[.;] \D", s):
+            if k in self.page or k in self.header or len(s) > self.widest or _ITEM.match(s) or s[-1:] in ".;,:" or re.search(r"[.;] \D", s):
                 continue
             key = line_key(s)
             if len(key) >= 4:
@@ -166,8 +179,6 @@ class Page:
                     rows[at][1] = line[:-1] + head
                     rows[later][1] = rest
                     break
-                if text and len(text) > _HEADER_LENGTH:
-                    break
         return [(k, line) for k, line in rows], cuts
 
 
@@ -180,7 +191,7 @@ def affixes(key: str) -> tuple[str, str]:
 def _words(text: str) -> Iterator[str]:
     for token in unicodedata.normalize("NFC", text).split():
         t = core(token)
-        if t and len(t) <= MAX_WORD:
+        if t:
             yield t
 
 
@@ -189,13 +200,14 @@ def _is_word(t: str) -> bool:
 
 
 def evidence(texts: DataFrame) -> DataFrame:
-    """(kind, key, n, sure): counts of words over all distinct texts, and of header candidates by key over all texts.
+    """(kind, key, n, sure): counts of words and shapes of numbers over all distinct texts, and of header candidates by key over all texts.
 
     A copied text is no further evidence of a word: its misreadings would be as frequent as words.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
+        shapes: Counter = Counter()
         lines: Counter = Counter()
         certain: Counter = Counter()
         for b in batches:
@@ -209,8 +221,11 @@ def evidence(texts: DataFrame) -> DataFrame:
                     for x, level in seen.items():
                         lines[x] += copies
                         certain[x] += copies * level
+        for w, c in words.items():
+            if _DIGIT.search(w) or _NUMBER_LIKE.fullmatch(w):
+                shapes[_DIGIT.sub("9", w)] += c
         kept = [(w, c) for w, c in words.items() if _is_word(w)]
-        rows = [("word", w, c, 0) for w, c in kept] + [("line", k, c, certain[k]) for k, c in lines.items()]
+        rows = [("word", w, c, 0) for w, c in kept] + [("shape", w, c, 0) for w, c in shapes.items()] + [("line", k, c, certain[k]) for k, c in lines.items()]
         yield pd.DataFrame(rows, columns=["kind", "key", "n", "sure"])
 
     once = texts.groupBy(F.xxhash64("t").alias("h")).agg(F.any_value("t").alias("t"), F.count("*").alias("copies")).select("t", "copies")
@@ -223,35 +238,84 @@ def _anagram(word: Column) -> Column:
     return F.aggregate(chars, F.lit(0).cast("long"), lambda acc, c: acc + F.xxhash64(c).bitwiseAND(F.lit((1 << 40) - 1)))
 
 
-def corrections(words: DataFrame) -> DataFrame:
+def _plain(word: Column) -> Column:
+    return strip_diacritics(F.lower(word))
+
+
+def learn(words: DataFrame) -> list[tuple[str, str]]:
+    """Confusions (read, printed) of one or two characters that recur in the words (key, n) of a collection.
+
+    The driver gets those that recur, a few of the pairs that the alphabet allows.
+    """
+    most = words.groupBy(_plain(F.col("key")).alias("p")).agg(F.max("n").alias("most"))
+    known = words.select("key", "n", _plain(F.col("key")).alias("p")).join(most, "p")
+    known = known.select("key", "n", (F.col("most") < MIN_RATIO * F.col("n")).alias("own"))  # else a word without its accents or in other case
+
+    def parts(size: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length("key") - (size - 1), F.lit(1)))
+        cut_ = F.transform(at, lambda i: F.struct(F.substring("key", F.lit(1), i - 1).alias("before"), F.substring("key", i, F.lit(size)).alias("x"), F.expr("key").substr(i + size, F.length("key")).alias("after")))
+        return F.when(F.length("key") > size, cut_).otherwise(F.slice(cut_, 1, 0))
+
+    split = known.where(F.length("key").between(3, SHOWS)).select("key", "n", "own", F.explode(F.concat(parts(1), parts(2))).alias("c")).select("key", "n", "own", "c.*")
+    split = cut(split.where(F.length(F.concat("before", "after")) >= 2).withColumn("h", _anagram(F.col("key")) - _anagram(F.col("x"))))
+    read = split.where("own").select("h", "before", "after", F.col("key").alias("variant"), F.col("n").alias("n_variant"), F.col("x").alias("a"))
+    meant = split.where(F.col("n") >= FREQUENT).select("h", "before", "after", F.col("n").alias("n_target"), F.col("x").alias("b"))
+    met = read.join(meant, ["h", "before", "after"]).where((F.col("n_target") >= MIN_RATIO * F.col("n_variant")) & ~F.arrays_overlap(F.split(_plain(F.col("a")), ""), F.split(_plain(F.col("b")), "")))
+    shown = met.groupBy("a", "b").agg(F.count_distinct("variant").alias("n"))
+    back = shown.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("back"))
+    best = shown.groupBy("a").agg(F.max("n").alias("best"))
+    rare = split.where("own").where(F.col("n") < FREQUENT).groupBy(F.col("x").alias("a")).agg(F.count_distinct("key").alias("rare"))
+    kept = shown.where(F.col("n") >= RECUR).join(best, "a").join(back, ["a", "b"], "left").join(rare, "a", "left")
+    kept = kept.where("20 * coalesce(back, 0) <= n and 2 * n >= best and 4 * n >= coalesce(rare, 0)")
+    found = [(r["a"], r["b"]) for r in kept.orderBy(F.desc("n"), "a", "b").collect() if not set(r["a"] + r["b"]) & set(MARKS)]
+    alone = {a for a, _ in (*found, *CONFUSIONS) if len(a) == 1}
+    return [(a, b) for a, b in found if (a, b) not in CONFUSIONS and (len(a) == 1 or not set(a) & alone)]
+
+
+def _left(table: list[tuple[str, str]]) -> str:
+    return "|".join(sorted({re.escape(a) for a, _ in table}, key=len, reverse=True))
+
+
+def corrections(words: DataFrame, table: list[tuple[str, str]] | tuple[tuple[str, str], ...] = CONFUSIONS) -> DataFrame:
     """(variant, target, n_variant, n_target): the best frequent word for each misread one.
 
-    One or two confusions a word; a target must be ``MIN_RATIO`` times as frequent and hold no sign itself.
+    Any number of confusions a word, each in one place or in all; a target must be ``MIN_RATIO`` times as frequent and
+    hold no sign itself.
     """
-    spark = words.sparkSession
-    pairs = spark.createDataFrame([(a, b) for a, b in CONFUSIONS], "a string, b string").withColumn("d", _anagram(F.col("b")) - _anagram(F.col("a")))
-    pairs = F.broadcast(pairs)  # the fixed list above
-    rare = words.where(F.col("key").rlike("|".join(sorted({re.escape(a) for a, _ in CONFUSIONS})))).select(F.col("key").alias("variant"), F.col("n").alias("n_variant"))
-    one = rare.join(pairs, F.col("variant").contains(F.col("a"))).select("variant", "n_variant", F.col("d").alias("shift"), F.expr("replace(variant, a, b)").alias("w1"))
-    p2 = pairs.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("d").alias("d2"))
-    two = one.join(p2, F.col("w1").contains(F.col("a2"))).select("variant", "n_variant", (F.col("shift") + F.col("d2")).alias("shift"), F.expr("replace(w1, a2, b2)").alias("w1"))
-    tries = one.unionByName(two).withColumn("h", _anagram(F.col("variant")) + F.col("shift"))
+    rare = words.where(F.col("key").rlike(_left(table))).select(F.col("key").alias("variant"), F.col("n").alias("n_variant"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in table])
+
+    def read(readings: Column, p: Column) -> Column:
+        def all_of(w: Column) -> Column:
+            return F.replace(w, p["a"], p["b"])
+
+        def first_of(w: Column) -> Column:
+            at = F.position(p["a"], w)
+            return F.concat(F.substring(w, F.lit(1), at - 1), p["b"], w.substr(at + F.length(p["a"]), F.length(w)))
+
+        hit = F.filter(readings, lambda w: w.contains(p["a"]))
+        more = F.array_union(readings, F.array_union(F.transform(hit, all_of), F.transform(hit, first_of)))
+        return F.when(F.size(hit) == 0, readings).when(F.size(readings) > READINGS, F.transform(readings, all_of)).otherwise(more)
+
+    readings = F.aggregate(pairs, F.array("variant"), read)
+    tries = rare.select("variant", "n_variant", F.explode(readings).alias("w1")).where("w1 <> variant").withColumn("h", _anagram(F.col("w1")))
     clean = words.where(~F.col("key").rlike(r"[^\p{L}\p{M}-]|ii|rn$|^cl|lc|[ñðћƣ]")).select(F.col("key").alias("target"), F.col("n").alias("n_target")).withColumn("h", _anagram(F.col("target")))
-    met = tries.join(clean, "h").where((F.col("w1") == F.col("target")) | (F.levenshtein("variant", "target") <= 2))
-    met = met.where(F.col("n_target") >= MIN_RATIO * F.col("n_variant"))
+    met = tries.join(clean, "h").where((F.col("w1") == F.col("target")) & (F.col("n_target") >= MIN_RATIO * F.col("n_variant")))
     best = met.groupBy("variant").agg(F.max(F.struct("n_target", "target")).alias("x"), F.max("n_variant").alias("n_variant"))
     return best.select("variant", F.col("x.target").alias("target"), "n_variant", F.col("x.n_target").alias("n_target"))
 
 
-def signs(texts: DataFrame) -> DataFrame:
+def signs(texts: DataFrame, table: list[tuple[str, str]] | tuple[tuple[str, str], ...] = CONFUSIONS) -> DataFrame:
     """(id, field, kind, a, b, level): everything in a text that is or may be noise.
 
     Kinds: ``page_no``; ``line`` (a: key of a line that may be a header; level as in ``Page.candidates``); ``cut``
     (a: joined, b: hyphenated form); ``number`` and ``word`` (a: a token that may be misread, b: key of its line
     where that may be a header).
     """
+    left = _left(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        misread = re.compile(left)
         for b in batches:
             out: set[tuple] = set()
             for rid, field, text in zip(b["id"], b["field"], b["t"], strict=True):
@@ -268,9 +332,9 @@ def signs(texts: DataFrame) -> DataFrame:
                         out.add((rid, field, "cut", joined, hyphened, 0))
                 for k, line in rows:
                     for t in _words(line):
-                        if _MISREAD_NUMBER.fullmatch(t):
-                            out.add((rid, field, "number", t, maybe.get(k, ""), 0))
-                        elif _LEFT.search(t) and _is_word(t):
+                        if _NUMBER_LIKE.fullmatch(t):
+                            out.add((rid, field, "number", t, maybe.get(k, ""), int(_GROUPED.fullmatch(t) is not None)))
+                        if misread.search(t) and _is_word(t):
                             out.add((rid, field, "word", t, maybe.get(k, ""), 0))
             yield pd.DataFrame(list(out), columns=["id", "field", "kind", "a", "b", "level"])
 
@@ -299,12 +363,17 @@ def _judged(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     """Signs of all texts, their headers, and the tokens and cut words of the texts that are noise."""
     counts = cut(evidence(texts))
     words = counts.where("kind = 'word'").select("key", "n")
-    fixes = cut(corrections(words))
-    found = cut(signs(texts))
+    table = [*CONFUSIONS, *learn(words)]
+    fixes = cut(corrections(words, table))
+    found = cut(signs(texts, table))
     heads = cut(headers(found, counts.where("kind = 'line'")))
     tokens = found.where("kind in ('word', 'number')").join(heads.withColumnRenamed("key", "b"), ["id", "field", "b"], "left_anti")
+    shapes = counts.where("kind = 'shape'").select("key", "n")
     misread = tokens.where("kind = 'word'").join(fixes.select(F.col("variant").alias("a"), "target"), "a").select("id", "field", "a", "target")
-    numbers = tokens.where("kind = 'number'").select("id", "field", "a", F.translate("a", "OoIl", "0011").alias("target"))
+    numbers = tokens.where("kind = 'number'").select("id", "field", "a", "level", F.translate("a", "OoIl", "0011").alias("target"))
+    for side, n in (("a", "n_own"), ("target", "n_read")):
+        numbers = numbers.withColumn("shape", F.regexp_replace(side, "[0-9]", "9")).join(shapes.select(F.col("key").alias("shape"), F.col("n").alias(n)), "shape", "left").drop("shape")
+    numbers = numbers.where(F.expr(f"level = 1 or coalesce(n_read, 0) >= {MIN_RATIO} * greatest(coalesce(n_own, 0), 1)")).select("id", "field", "a", "target")
     cuts = found.where("kind = 'cut'").select("id", "field", "a", "b")
     usual = cuts.join(words.select(F.col("key").alias("a"), F.col("n").alias("n_joined")), "a", "left").join(words.select(F.col("key").alias("b"), F.col("n").alias("n_hyphened")), "b", "left")
     broken = usual.select("id", "field", "a", "b", F.expr("coalesce(n_hyphened, 0) < 2 or coalesce(n_joined, 0) > n_hyphened").alias("broken"))

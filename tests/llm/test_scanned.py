@@ -73,3 +73,41 @@ def test_copies_of_a_text_do_not_make_its_misreadings_words(spark):
     rows = [(i, "f", noisy) for i in range(90)] + [(100 + i, "f", f"Hồ sơ {i} ghi chiếc máy đã mất") for i in range(30)]
     df = spark.createDataFrame(rows, "id long, field string, t string").repartition(3)
     assert {r["id"] for r in s.find_noise(df).where("kind = 'char'").collect()} == set(range(90))
+
+
+def test_long_headers_and_large_page_numbers(spark):
+    header = "TÒA ÁN NHÂN DÂN TỈNH TRUNG NINH VÀ CÁC TÒA ÁN NHÂN DÂN KHU VỰC THUỘC TỈNH CÙNG VIỆN KIỂM SÁT CÙNG CẤP"
+    assert len(header) > 97
+    lines = body()
+    third = len(lines) // 3
+    book = "\n".join([*lines[:third], header, "- 1203 -", *lines[third : 2 * third], header, "- 1204 -", *lines[2 * third :]])
+    bare = "\n".join([*lines[:third], "1203", *lines[third : 2 * third], "1204", *lines[2 * third :]])
+    year = "\n".join([*lines[:third], "1999", *lines[third:]])
+    df = spark.createDataFrame([(1, "f", book), (2, "f", bare), (3, "f", year)], "id long, field string, t string")
+    got = {}
+    for r in s.find_noise(df).collect():
+        got.setdefault(r["id"], set()).add(r["kind"])
+    assert got == {1: {"header", "page_no"}, 2: {"page_no"}}
+
+
+def test_confusions_outside_the_list_are_learned(spark):
+    clean = "thông hình khách chánh nhanh phạm những hoàng thành chính khai hành thẩm".split()
+    rows = [(i, "f", f"{w} " * 30 + f"số {k} {i}") for k in range(4) for i, w in enumerate(clean, 100 * k)]
+    rows += [(1000 + i, "f", "ghi " + w.replace("h", "li", 1) + f" rồi {i}") for i, w in enumerate(clean)]
+    rows += [(2000, "f", "liên liền liệu " * 40), (2001, "f", "nnhanh thônng trogn kêt"), (2002, "f", "li liliông")]
+    df = spark.createDataFrame(rows, "id long, field string, t string").repartition(3)
+    got = {r["id"] for r in s.find_noise(df).where("kind = 'char'").collect()}
+    assert got == {1000 + i for i in range(len(clean))}
+
+
+def test_any_number_of_confusions_in_a_word(spark):
+    words = [("nghiêng", 200), ("n9ћ!ên9", 2), ("ñ9ћ!êñ9", 1), ("nguyễn", 300), ("ñguyễñ", 3), ("|!10965@†ñћƣðō§€(", 1)]
+    df = spark.createDataFrame(words, "key string, n long")
+    got = {r["variant"]: r["target"] for r in s.corrections(df).collect()}
+    assert got == {"n9ћ!ên9": "nghiêng", "ñ9ћ!êñ9": "nghiêng", "ñguyễñ": "nguyễn"}
+
+
+def test_numbers_by_shape(spark):
+    rows = [(i, "f", f"biển ZQ1234{i % 10} ngày 12/3/2015 và 40l xăng, phòng {i % 7}l") for i in range(60)] + [(100, "f", "biển ZQl2O45"), (101, "f", "ngày l2/3/2015"), (102, "f", "mua 41l xăng")]
+    df = spark.createDataFrame(rows, "id long, field string, t string").repartition(3)
+    assert {r["id"] for r in s.find_noise(df).where("kind = 'char'").collect()} == {100, 101}
