@@ -1,10 +1,12 @@
 """Filling containers of a few permitted capacities with items of varying size.
 
 Variable-capacity best fit, decreasing: items are taken from the largest to the smallest; each goes to the open
-container that it fills best, and where none has room the least-cost capacity is opened.  Which capacity is the
-least-cost one for opening depends on the whole mix of sizes, so every permitted opening rule is tried on the same
-items and the cheapest total is kept; at last each container shrinks to the smallest capacity that holds its
-contents.  The cost of a container is its capacity plus a fixed overhead.
+container that it fills best.  Where none has room a container is opened, and its capacity is the one that costs least
+for a unit of size it can come to hold: the item, and of the room beside it as much as the items still to come can
+fill.  So all permitted lengths are chosen from jointly, item by item, against the mix of sizes that is left; at last
+each container shrinks to the smallest capacity that holds its contents.  A container of n tokens costs
+``OVERHEAD + n + n * n / SQUARE``: a model's work on a sequence grows with its length and, by attention, with the
+length squared.
 
 An item is divided only if it alone exceeds the largest capacity: into full containers and one remainder.
 
@@ -18,7 +20,7 @@ part; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,17 +29,52 @@ from pyspark.sql import functions as F
 from lexspark.runtime import cut
 
 CAPACITIES = (512, 1024, 2048, 4096)
-OVERHEAD = 8
+OVERHEAD = 16
+SQUARE = 16_384  # length at which attention costs as much as everything else
 GROUP = 20_000
 
 
-def _fill(sizes: list[int], opened: list[int]) -> tuple[list[int], list[int]]:
-    """Best fit of sizes (largest first): container of each item, and contents of each container.
+def cost_of(capacity: int, overhead: float = OVERHEAD, square: float = SQUARE) -> float:
+    return overhead + capacity + capacity * capacity / square
 
-    ``opened[s]`` is the capacity that is opened for an item of size s.
+
+def _openings(sizes: list[int], caps: list[int], overhead: float, square: float) -> Callable[[int, int], int]:
+    """The capacity to open for an item of size s when items of ``left`` in all, this one included, are not placed yet.
+
+    Items no larger than the room beside it are all still to come where the room is smaller than the item.
+    """
+    upto = [0] * (caps[-1] + 2)  # total size of the items of at most that size
+    for s in sizes:
+        upto[s] += s
+    for s in range(1, len(upto)):
+        upto[s] += upto[s - 1]
+    costs = {c: cost_of(c, overhead, square) for c in caps}
+
+    def opened(s: int, left: int) -> int:
+        def each(c: int) -> float:
+            room = c - s
+            return costs[c] / (s + min(room, upto[room] if room < s else left - s))
+
+        return min((c for c in caps if c >= s), key=lambda c: (each(c), c))
+
+    return opened
+
+
+def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, square: float = SQUARE) -> tuple[list[int], list[int]]:
+    """Container of each item and capacity of each container; ``sizes`` from the largest to the smallest.
+
+    What small items are left for one container may be taken by another, so the rule is tried with each of the
+    smallest capacities left out in turn, and the cheapest result is kept.
     """
+    caps = sorted(capacities)
+    tries = (_pack(sizes, caps, least, overhead, square) for least in caps)
+    return min(tries, key=lambda x: sum(cost_of(c, overhead, square) for c in x[1]))
+
+
+def _pack(sizes: list[int], caps: list[int], least: int, overhead: float, square: float) -> tuple[list[int], list[int]]:
+    opened = _openings(sizes, [c for c in caps if c >= least], overhead, square)
     room: dict[int, list[int]] = {}
-    mask = 0
+    mask, left = 0, sum(sizes)
     where, used = [], []
     for s in sizes:
         fits = mask >> s
@@ -48,34 +85,24 @@ def _fill(sizes: list[int], opened: list[int]) -> tuple[list[int], list[int]]:
             if not stack:
                 mask ^= 1 << r
         else:
-            k, r = len(used), opened[s]
+            k, r = len(used), opened(s, left)
             used.append(0)
         used[k] += s
+        left -= s
         where.append(k)
-        left = r - s
-        if left:
-            room.setdefault(left, []).append(k)
-            mask |= 1 << left
-    return where, used
-
-
-def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int]]:
-    """Container of each item and capacity of each container; ``sizes`` from the largest to the smallest."""
-    caps = sorted(capacities)
-    smallest = [0] * (caps[-1] + 1)
-    for s in range(len(smallest)):
-        smallest[s] = next(c for c in caps if c >= s)
-    best = None
-    for least in caps:  # open at least this capacity
-        where, used = _fill(sizes, [max(c, least) for c in smallest])
-        final = [smallest[u] for u in used]
-        cost = sum(final) + overhead * len(final)
-        if best is None or cost < best[0]:
-            best = (cost, where, final)
-    return best[1], best[2]
-
-
-def pack_items(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
+        if r > s:
+            room.setdefault(r - s, []).append(k)
+            mask |= 1 << (r - s)
+    smallest = iter(caps)
+    final_of, c = [0] * (caps[-1] + 1), next(smallest)
+    for u in range(len(final_of)):
+        if u > c:
+            c = next(smallest)
+        final_of[u] = c
+    return where, [final_of[u] for u in used]
+
+
+def pack_items(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, square: float = SQUARE) -> DataFrame:
     """(id, part, size, container, capacity) of items (id, size); ``part`` counts the pieces of a divided item from 0."""
     largest = max(capacities)
     sized = items.where("size > 0")
@@ -93,7 +120,7 @@ def pack_items(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overh
 
             task = TaskContext.get().partitionId() if task is None else task
             b = b.sort_values(["size", "id", "part"], ascending=[False, True, True], kind="stable")
-            where, final = pack(b["size"].tolist(), capacities, overhead)
+            where, final = pack(b["size"].tolist(), capacities, overhead, square)
             b["container"] = [(task << 32) + k for k in where]
             b["capacity"] = [final[k] for k in where]
             yield b

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from lexspark.llm import chunking as c
 from lexspark.llm import mixing as m
 from lexspark.llm import packing as p
-from lexspark.llm import tokens
+from lexspark.llm import tokens, topics
 
 
 def check_pieces(text, limit, overlap):
@@ -62,6 +62,15 @@ def test_packing_is_valid(sizes):
     assert sum(caps) <= 2 * sum(sizes) + 16
 
 
+def test_several_capacities_are_used_and_full():
+    rng = random.Random(3)
+    sizes = sorted((min(4096, int(rng.lognormvariate(6.1, 0.7)) + 1) for _ in range(9000)), reverse=True)
+    _, caps = p.pack(sizes)
+    assert len(set(caps)) >= 3 and sum(sizes) > 0.99 * sum(caps)
+    largest_only = p.pack(sizes, (4096,))[1]
+    assert sum(map(p.cost_of, caps)) < sum(map(p.cost_of, largest_only))
+
+
 def test_pack_items_frame(spark):
     rng = random.Random(1)
     rows = [(i, rng.randint(1, 3000), "x") for i in range(3000)] + [(9000, 10_000, "x"), (9001, 0, "x"), (9002, None, "x"), (9003, 4096, "x")]
@@ -103,3 +112,14 @@ def test_token_counts():
         pytest.skip("no vocabulary file")
     assert tokens.count(None) == 0 and tokens.count("") == 0 and tokens.count("Toà án") > 1
     assert tokens.count("a b" * 1000) == len(tokens.encoder().encode_ordinary("a b" * 1000))
+
+
+def test_topics_tell_texts_apart(spark):
+    rng = random.Random(1)
+    groups = ["trộm cắp tài sản xe máy".split(), "chất cấm ma túy mua bán".split(), "giao thông tai nạn đường".split()]
+    rows = [(i, " ".join(rng.choices(groups[i % 3], k=40))) for i in range(300)] + [(900, None), (901, ""), (902, "12 34")]
+    topic = topics.fit(spark.createDataFrame(rows, "id long, t string"), "id", "t", topics=3)
+    found = [{topic(t) for i, t in rows[:300] if i % 3 == g} for g in range(3)]
+    assert all(len(x) == 1 for x in found) and len(set.union(*found)) == 3
+    assert topic(None) == topic("") == topic("12 34") == "-1"
+    assert topics.fit(spark.createDataFrame([], "id long, t string"), "id", "t")("a b") == "-1"
