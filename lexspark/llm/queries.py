@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import chunking, encoding, mixing, names, neighbours, overlap, packing, scanned, tokens
+from lexspark.llm import chunking, encoding, mixing, names, neighbours, overlap, packing, scanned, tokens, topics
 from lexspark.runtime import cut, latest_delivery, table, wide_table
 
 
@@ -137,23 +137,11 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.groupBy("capacity").agg(F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("used").alias("n_tokens"), F.round(F.sum("used") / F.sum("capacity"), 6).alias("fill"))
 
 
-# Words that give a document its topic, the first group that occurs.
-_TOPICS = (
-    ("chat_cam", ("chất cấm", "hàng cấm")),
-    ("than_the", ("thương tích", "giết người", "đánh người")),
-    ("chuc_vu", ("tham ô", "công vụ", "lạm quyền")),
-    ("tai_san", ("chiếm đoạt", "trộm", "giật đồ", "tài sản")),
-    ("giao_thong", ("điều khiển phương tiện", "đua xe")),
-)
-
-
-def _topic(text: str) -> str:
-    return next((name for name, found in _TOPICS if any(w in text for w in found)), "khac")
-
-
 def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, copies): the documents of the mix and how often each is used."""
-    sizes = tokens.token_table(wide_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), "doc_id", "text", keep=("source", "lang"), label=_topic)
+    documents = wide_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    topic = topics.fit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = tokens.token_table(documents, "doc_id", "text", keep=("source", "lang"), label=topic)
     records = sizes.select("id", "source", "lang", F.col("label").alias("topic"), F.col("n_tokens").alias("size"))
     mixed = mixing.mix(records, table(spark, sf_dir, "mix_targets"))
     return mixed.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
