@@ -136,6 +136,11 @@ def letter_case(c: Column) -> Column:
     return F.when(~any_letter, "none").when(letters == F.upper(letters), "upper").when(letters == F.lower(letters), "lower").when(title, "title").otherwise("mixed")
 
 
+def apply_case(c: Column, kind: Column) -> Column:
+    """A text brought to a letter case of ``letter_case``; mixed and none leave it as it is."""
+    return F.when(kind == "upper", F.upper(c)).when(kind == "lower", F.lower(c)).when(kind == "title", F.initcap(c)).otherwise(c)
+
+
 def accept_correction(old: Column, new: Column, limit: float = 0.4) -> Column:
     """Whether a spelling suggestion is trusted: other accents only, or at most two edits of a small part.
 

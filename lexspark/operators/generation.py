@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.runtime import cut
+
 Provider = Callable[[str], str]
 
 
@@ -62,7 +64,12 @@ def validated(responses: DataFrame, schema: str) -> DataFrame:
 
 
 def with_retry(prompts: DataFrame, providers: list[tuple[str, Provider]], empty: Column, again: Column) -> DataFrame:
-    """Call; where ``empty`` holds of the first response, call once more with the prompt ``again``."""
-    first = call(prompts, providers).join(prompts, "id")
-    retry = call(first.where(empty).select("id", again.alias("prompt")), providers).select("id", F.col("response").alias("second"))
-    return first.join(retry, "id", "left").withColumn("response", F.coalesce("second", "response")).drop("second")
+    """Call; where ``empty`` holds of the first response, call once more with the prompt ``again``.
+
+    Adds ``retried`` and ``warnings``, one for each answer that was asked for again and one if that failed too.
+    """
+    first = cut(call(prompts, providers)).join(prompts, "id").withColumn("retried", F.coalesce(empty, F.lit(False)))
+    retry = call(first.where("retried").select("id", again.alias("prompt")), providers).select("id", F.col("response").alias("second"))
+    failed = F.col("retried") & F.col("second").isNull()
+    warnings = F.array_compact(F.array(F.when(F.col("retried"), F.lit("empty answer, asked again")), F.when(failed, F.lit("no second answer"))))
+    return first.join(retry, "id", "left").withColumn("warnings", warnings).withColumn("response", F.coalesce("second", "response")).drop("second")

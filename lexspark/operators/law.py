@@ -117,6 +117,29 @@ def level_texts(nodes: DataFrame) -> DataFrame:
     return whole.unionByName(clauses).unionByName(points)
 
 
+def node_texts(nodes: DataFrame) -> DataFrame:
+    """(dieu, khoan, diem, level, pos, full_text, inherited, chosen) of nodes (pos, dieu, khoan, diem, level, own_text).
+
+    ``full_text`` is a node's own text and all below it in order, ``inherited`` its ancestors' texts and its own, both
+    made from the original texts; ``chosen`` is the full text, or the own text where that is blank.
+    """
+    own = F.nullif(F.trim("own_text"), F.lit(""))
+    n = nodes.where("dieu is not null").withColumn("own", own)
+
+    def below(*keys: str) -> Column:
+        parts = F.collect_list(F.when(F.col("own").isNotNull(), F.struct("pos", "own"))).over(Window.partitionBy(*keys))
+        return F.array_join(F.transform(F.array_sort(parts), lambda x: x["own"]), "\n")
+
+    def above(level: str, *keys: str) -> Column:
+        return F.max_by(F.when(F.col("level") == level, F.col("own")), F.when(F.col("level") == level, F.col("pos"))).over(Window.partitionBy(*keys))
+
+    full = F.when(F.col("level") == "dieu", below("dieu")).when(F.col("level") == "khoan", below("dieu", "khoan")).otherwise(F.coalesce("own", F.lit("")))
+    head = F.when(F.col("level") != "dieu", above("dieu", "dieu"))
+    clause = F.when(F.col("level") == "diem", above("khoan", "dieu", "khoan"))
+    out = n.withColumn("full_text", full).withColumn("inherited", F.concat_ws("\n", head, clause, "own"))
+    return out.select("dieu", "khoan", "diem", "level", "pos", "full_text", "inherited", F.coalesce(F.nullif("full_text", F.lit("")), F.trim("own_text")).alias("chosen"))
+
+
 def lookup(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(pos, query, normalized, found, level, reason, dieu, khoan, diem, text) of free-form citations (pos, query).
 

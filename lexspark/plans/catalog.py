@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import legal, packed_and_nested, reports, retrieval
+from lexspark.plans import fields, legal, packed_and_nested, reports, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return packed_and_nested.QUERIES | retrieval.QUERIES | legal.QUERIES | reports.QUERIES
+    return packed_and_nested.QUERIES | retrieval.QUERIES | legal.QUERIES | reports.QUERIES | fields.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.SQL | legal.SQL | reports.SQL
+    return retrieval.SQL | legal.SQL | reports.SQL | fields.SQL

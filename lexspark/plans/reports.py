@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import chunk, sentencing, text
+from lexspark.functions.signatures import article_of
 from lexspark.operators import documents, generation, law
 from lexspark.plans.legal import VERDICTS_SQL, verdicts
+from lexspark.plans.retrieval import LABELS_SQL, labels
 from lexspark.runtime import latest_delivery, table
 from lexspark.sources import first_files, select_files
 from lexspark.sources.sinks import not_done, quarantine
@@ -61,9 +63,9 @@ _PACK_SQL = """WITH RECURSIVE src AS ({src}),
 
 
 def q_incremental_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk vectors of cases whose judgment is not stored yet (stored: every third record)."""
+    """Chunk vectors of cases whose judgment no document holds yet."""
     new = table(spark, sf_dir, "chunk_vectors").where("coalesce(source_type, '') <> 'law'").select("vec_id", "doc_id")
-    done = table(spark, sf_dir, "extracted_fields").where("record_id % 3 = 0").select(F.col("record_id").cast("string").alias("doc_id"))
+    done = table(spark, sf_dir, "documents").where("record_id is not null").select(F.col("record_id").cast("string").alias("doc_id")).distinct()
     return not_done(new, done, "doc_id")
 
 
@@ -251,9 +253,20 @@ def q_rmse_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by the first reason that would skip them."""
-    e = table(spark, sf_dir, "extracted_fields")
-    reason = F.when(F.col("record_id") % 7 == 0, "already_exists").when(F.col("noi_dung_vu_an.ket_luan_cac_ben").isNull(), "missing_summary").when(F.coalesce(F.size("danh_sach_bi_cao"), F.lit(0)) <= 0, "missing_eval_doc").otherwise("processed")
-    return e.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+    e = table(spark, sf_dir, "extracted_fields").select("record_id", F.col("record_id").cast("string").alias("doc"), F.col("noi_dung_vu_an.ket_luan_cac_ben").alias("summary"), "danh_sach_bi_cao")
+    done = table(spark, sf_dir, "documents").where("record_id is not null").select("record_id", F.lit(True).alias("done")).distinct()
+    known = table(spark, sf_dir, "law_nodes").where("law_level = 'dieu'").select("dieu", F.lit(True).alias("in_law")).distinct()
+    cited = labels(spark, sf_dir).select("doc", article_of(F.col("sig")).alias("dieu")).distinct().join(known, "dieu", "left").groupBy("doc").agg(F.bool_or(F.coalesce("in_law", F.lit(False))).alias("in_law"))
+    j = e.join(done, "record_id", "left").join(cited, "doc", "left")
+    reason = (
+        F.when(F.col("done"), "already_exists")
+        .when(F.col("summary").isNull(), "missing_summary")
+        .when(F.coalesce(F.size("danh_sach_bi_cao"), F.lit(0)) <= 0, "missing_eval_doc")
+        .when(F.col("in_law").isNull(), "empty_predicted_articles")
+        .when(~F.col("in_law"), "missing_law_context")
+        .otherwise("processed")
+    )
+    return j.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 def q_size_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,8 +305,8 @@ def q_first_n_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of names with repeats and one that no file has: the files found in order, and the missing name."""
     files = table(spark, sf_dir, "extracted_fields").select("record_id", F.col("filename").alias("file"))
-    names = files.where("record_id % 11 = 0").select(F.col("record_id").alias("pos"), F.col("file").alias("name"))
-    listed = names.unionByName(names.select(F.col("pos") + 100_000, F.concat(F.lit("  "), "name").alias("name")).toDF("pos", "name")).unionByName(spark.createDataFrame([(5, "nowhere.md")], "pos long, name string"))
+    listed = table(spark, sf_dir, "documents").where("record_id is not null").select("doc_id", "record_id").join(files, "record_id").select((F.col("doc_id") * 2).alias("pos"), F.concat(F.lit("  "), "file").alias("name"))
+    listed = listed.unionByName(spark.createDataFrame([(5, "nowhere.md")], "pos long, name string"))
     found, missing = select_files(files, listed)
     return found.select("file", "pos", F.lit(True).alias("found")).unionByName(missing.select("file", "pos", F.lit(False).alias("found")))
 
@@ -319,14 +332,15 @@ def q_llm_stub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_spelling_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed names corrected word by word towards the verdict's spelling where the change is trusted."""
-    a = verdicts(spark, sf_dir, "record_id", "bi_cao").groupBy("record_id").agg(F.min("bi_cao").alias("new"))
+    """Listed names corrected word by word towards each near spelling of the judgment's verdicts where the change is trusted."""
+    a = verdicts(spark, sf_dir, "record_id", "bi_cao").select("record_id", F.col("bi_cao").alias("new")).distinct()
     b = _people(spark, sf_dir, "record_id", "ho_ten").select(F.col("mention_id").alias("id"), "record_id", F.col("ho_ten").alias("old"))
-    return documents.merge_words(b.join(a, "record_id").select("id", "old", "new"))
+    near = b.join(a, "record_id").where("old <> new").where(F.levenshtein(F.lower("old"), F.lower("new")) <= 4)
+    return documents.merge_words(near.select("id", "old", "new")).distinct()
 
 
 def q_narrative_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("source = 'cao_trang'").select("doc_id", documents.narrative_parts(F.col("text")).alias("p"))
+    d = table(spark, sf_dir, "documents").select("doc_id", documents.narrative_parts(F.col("text")).alias("p"))
     return d.select("doc_id", F.length("p.before").cast("long").alias("before"), F.length("p.after").cast("long").alias("after"))
 
 
@@ -359,10 +373,21 @@ _ALIGN_SQL = f"""SELECT coalesce(a.record_id, b.record_id) AS record_id, coalesc
 _FINDING_SQL = "regexp_matches(t, '(?i)" + "|".join(documents.FINDINGS) + "')"
 _NORM_SQL = "lower(trim(regexp_replace(regexp_replace({c}, '[\\s\\x{{a0}}]+', ' ', 'g'), '^ | $', '', 'g')))"
 
+_HEAD_SQL = "upper(replace(replace(strip_accents(trim(regexp_replace(regexp_replace(trim({c}), '^#{{1,6}}\\s*', ''), '[*\\\\]', '', 'g'))), 'đ', 'd'), 'Đ', 'D'))"
+
+
+def _case_type_sql() -> str:
+    """The header is the first line of a text; without one the first 3000 characters decide."""
+    h, n = _HEAD_SQL.format(c="h"), _HEAD_SQL.format(c="substr(text, 1, 3000)")
+    return f"""SELECT source, CASE WHEN h <> '' THEN CASE WHEN contains({h}, 'PHUC THAM') THEN 'phuc_tham' WHEN contains({h}, 'SO THAM') THEN 'so_tham' WHEN contains({h}, 'KHANG CAO') OR contains({h}, 'KHANG NGHI') THEN 'phuc_tham' ELSE 'unknown' END
+        WHEN contains({n}, 'BAN AN') AND contains({n}, 'SO THAM') THEN 'phuc_tham' ELSE 'unknown' END AS kind, count(*) AS n FROM (SELECT *, split_part(text, chr(10), 1) AS h FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2"""
+
+
 SQL = {
+    "q_detected_case_type": _case_type_sql(),
     "q_chunk_documents": _PACK_SQL.format(src="SELECT doc_id AS id, text AS t FROM documents") + " SELECT id AS doc_id, id || '__text__' || lpad((i - 1)::VARCHAR, 3, '0') AS chunk_id, length(c) AS n, md5(c) AS digest FROM (SELECT id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM c)",
     "q_chunk_stats": _PACK_SQL.format(src=f"SELECT record_id || field AS id, t FROM ({_FIELDS_SQL})") + " SELECT regexp_extract(id, '[a-z_]+$') AS field, count(*) AS n_texts, CAST(sum(len(cs)) AS BIGINT) AS n_chunks, max(len(cs)) AS most FROM c GROUP BY 1",
-    "q_incremental_antijoin": "SELECT vec_id, doc_id FROM chunk_vectors WHERE coalesce(source_type, '') <> 'law' AND doc_id NOT IN (SELECT record_id::VARCHAR FROM extracted_fields WHERE record_id % 3 = 0)",
+    "q_incremental_antijoin": "SELECT vec_id, doc_id FROM chunk_vectors WHERE coalesce(source_type, '') <> 'law' AND doc_id NOT IN (SELECT record_id::VARCHAR FROM documents WHERE record_id IS NOT NULL)",
     "q_split_train_test": """WITH f AS (SELECT record_id, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM extracted_fields), k AS (SELECT *, row_number() OVER (ORDER BY md5('42' || stem), record_id) AS r FROM f)
         SELECT record_id, stem, r <= (SELECT greatest(1, round_even(count(*) * 0.1, 0)) FROM f) AS is_test FROM k""",
     "q_field_success_rates": " UNION ALL ".join(
@@ -396,12 +421,14 @@ SQL = {
     "q_rmse_macro": f"""WITH j AS ({_ALIGN_SQL}), m AS (SELECT * FROM {_MONTHS_SQL.replace('{src}', f"SELECT phat_tu AS x FROM ({VERDICTS_SQL}) WHERE phat_tu IS NOT NULL UNION SELECT phat_tu FROM ({PROPOSALS_SQL}) WHERE phat_tu IS NOT NULL")}),
         d AS (SELECT j.record_id, (coalesce(ma.months, 0) - coalesce(mb.months, 0))::DOUBLE AS d FROM j LEFT JOIN ({PROPOSALS_SQL}) a ON a.mention_id = j.a LEFT JOIN ({VERDICTS_SQL}) b ON b.mention_id = j.b LEFT JOIN m ma ON ma.phat_tu = a.phat_tu LEFT JOIN m mb ON mb.phat_tu = b.phat_tu),
         p AS (SELECT record_id, round(sqrt(avg(d * d)), 6) AS rmse FROM d GROUP BY 1) SELECT count(*) AS n, round(avg(rmse), 4) AS macro_rmse FROM p""",
-    "q_status_tally": "SELECT CASE WHEN record_id % 7 = 0 THEN 'already_exists' WHEN noi_dung_vu_an.ket_luan_cac_ben IS NULL THEN 'missing_summary' WHEN coalesce(len(danh_sach_bi_cao), 0) = 0 THEN 'missing_eval_doc' ELSE 'processed' END AS reason, count(*) AS n FROM extracted_fields GROUP BY 1",
+    "q_status_tally": "WITH l AS (SELECT doc, max(CASE WHEN split_part(sig, '-', 1) IN (SELECT dieu FROM law_nodes WHERE law_level = 'dieu') THEN 1 ELSE 0 END) AS in_law FROM (" + LABELS_SQL + """) GROUP BY 1)
+        SELECT CASE WHEN record_id IN (SELECT record_id FROM documents WHERE record_id IS NOT NULL) THEN 'already_exists' WHEN noi_dung_vu_an.ket_luan_cac_ben IS NULL THEN 'missing_summary' WHEN coalesce(len(danh_sach_bi_cao), 0) = 0 THEN 'missing_eval_doc'
+          WHEN in_law IS NULL THEN 'empty_predicted_articles' WHEN in_law = 0 THEN 'missing_law_context' ELSE 'processed' END AS reason, count(*) AS n FROM extracted_fields LEFT JOIN l ON doc = record_id::VARCHAR GROUP BY 1""",
     "q_size_rollup": "SELECT source, lang, grouping(source)::BIGINT AS all_sources, grouping(lang)::BIGINT AS all_langs, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source, lang), (source), ())",
     "q_json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, 0::BIGINT AS n_unknown FROM events GROUP BY 1",
     "q_fold_text": f"SELECT {_FOLD_SQL.format(c='ho_ten')} AS name_key, count(*) AS n, min(lower(strip_accents(ho_ten))) AS folded FROM (SELECT DISTINCT ho_ten FROM ({PEOPLE_SQL})) GROUP BY 1",
     "q_first_n_files": "SELECT record_id, filename AS file FROM extracted_fields ORDER BY filename LIMIT 25",
-    "q_selected_files": "SELECT filename AS file, record_id AS pos, true AS found FROM extracted_fields WHERE record_id % 11 = 0 UNION ALL SELECT 'nowhere.md', 5, false",
+    "q_selected_files": "SELECT filename AS file, min(doc_id * 2) AS pos, true AS found FROM documents JOIN extracted_fields USING (record_id) GROUP BY 1 UNION ALL SELECT 'nowhere.md', 5, false",
     "q_query_text": """WITH e AS (SELECT record_id, trim(noi_dung_vu_an.ket_luan_cac_ben) AS a, trim(nguoi_tham_gia) AS b FROM extracted_fields)
         SELECT record_id, md5(concat_ws(chr(10) || chr(10), nullif(a, ''), nullif(b, ''))) AS plain, md5(concat_ws(chr(10) || chr(10), CASE WHEN a <> '' THEN '[ket_luan]' || chr(10) || a END, CASE WHEN b <> '' THEN '[nguoi_tham_gia]' || chr(10) || b END)) AS named,
           concat_ws('|', CASE WHEN coalesce(a, '') = '' THEN 'ket_luan' END, CASE WHEN coalesce(b, '') = '' THEN 'nguoi_tham_gia' END) AS missing FROM e""",

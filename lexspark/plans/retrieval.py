@@ -165,7 +165,7 @@ def q_embed_stub_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(docs, docs.where(F.col("id") % 20 == 0), 3).select("query_id", "other_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-_SETS_SQL = """,
+SETS_SQL = """,
   lab AS (SELECT DISTINCT doc, split_part(sig, '-', 1) AS dieu FROM (""" + LABELS_SQL + """)),
   truth AS (SELECT q.id AS query_id, list(DISTINCT lab.dieu) AS truth FROM q JOIN lab ON lab.doc = q.doc GROUP BY 1),
   g AS (SELECT DISTINCT query_id, lab.dieu FROM (SELECT DISTINCT query_id, doc FROM r WHERE rank <= {k}) JOIN lab USING (doc) {more}),
@@ -177,7 +177,7 @@ _SETS_SQL = """,
 
 
 def _sets_sql(k: int = K, more: str = "", pairs: str = PAIRS_SQL) -> str:
-    return pairs + _SETS_SQL.format(k=k, more=more)
+    return pairs + SETS_SQL.format(k=k, more=more)
 
 
 _LAW_MORE = """UNION SELECT query_id, split_part(law_signature_full, '-', 1) FROM (

@@ -35,6 +35,12 @@ def test_query_equals_its_sql(spark, sf, name):
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(list(want.columns), want.fetchall())
 
 
+MAY_BE_EMPTY = {"q_levenshtein_fix"}  # at the smallest scale
+
+
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
-def test_query_runs(spark, sf, name):
-    assert entry.queries()[name](spark, sf).count() >= 0
+def test_query_without_sql(spark, sf, name):
+    """Rows, none twice, and the same rows when the query runs again."""
+    found = [tuple(map(str, r)) for r in entry.queries()[name](spark, sf).collect()]
+    assert len(set(found)) == len(found) and (found or name in MAY_BE_EMPTY)
+    assert sorted(found) == sorted(tuple(map(str, r)) for r in entry.queries()[name](spark, sf).collect())

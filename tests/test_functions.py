@@ -105,3 +105,27 @@ def test_correction_rule(spark):
 def test_letter_case(spark):
     got = [one(spark, text.letter_case(F.lit(s))) for s in ("ABC", "abc", "Abc Def", "aBc", "12")]
     assert got == ["upper", "lower", "title", "mixed", "none"]
+
+
+def test_json_paths_and_flat_text(spark):
+    from lexspark.functions import jsonpath
+
+    rows = [(1, '{"a": {"b": "x"}, "n": 5}'), (2, '{"n": [1, {"z": " y "}], "o": null}'), (3, "broken"), (4, None), (5, '"plain"'), (6, '["", " ", [["q"], {"r": ["s", 2.5, true]}]]')]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r["id"]: (r["p"], r["f"]) for r in df.select("id", jsonpath.project(F.col("t"), "$.a.b", "$.n").alias("p"), jsonpath.flat_text(F.col("t")).alias("f")).collect()}
+    assert got == {1: ("x", "x\n\n5"), 2: ('[1,{"z":" y "}]', "1\n\ny"), 3: (None, ""), 4: (None, ""), 5: (None, "plain"), 6: (None, "q\n\ns\n\n2.5\n\ntrue")}
+
+
+def test_sweep_ends_at_the_target():
+    from lexspark.operators.sweep import exit_code, sweep
+
+    ran = []
+    trials = sweep([(k,) for k in range(9)], lambda t: ran.append(t) or t[0] / 10, target=0.3)
+    assert ran == [(0,), (1,), (2,), (3,)] and trials[-1] == ((3,), 0.3, True) and exit_code(trials) == 0
+    short = sweep([(k,) for k in range(9)], lambda t: 0.0, target=0.3, max_trials=2)
+    assert len(short) == 2 and exit_code(short) == 2 and exit_code(short, strict=False) == 0
+
+
+def test_case_is_applied(spark):
+    df = spark.createDataFrame([("ăn cơm", "upper"), ("ĂN", "lower"), ("ăn cơm", "title"), ("aB", "mixed"), (None, "upper")], "t string, k string")
+    assert [r[0] for r in df.select(text.apply_case(F.col("t"), F.col("k"))).collect()] == ["ĂN CƠM", "ăn", "Ăn Cơm", "aB", None]

@@ -283,3 +283,26 @@ def test_small_functions(spark):
     assert got == [("yes", "HTTP 200"), ("no", "HTTP 401 (auth failed)"), ("no", "HTTP 500: a b"), ("no", "HTTP 500")]
     one = spark.range(1).select(text.map_text(F.create_map(F.lit("b"), F.lit(" y "), F.lit("a"), F.lit("x"), F.lit("c"), F.lit(" "))).alias("m"), text.exact_round(F.lit(0.03125), 4).alias("r")).first()
     assert (one["m"], one["r"]) == ("x\n\ny", 0.0312)
+
+
+def test_stream_runs_on_and_stops_at_a_target(spark, tmp_path):
+    from lexspark.sources.sinks import path_exists
+    from lexspark.streaming import stop_when
+
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).write.mode("append").parquet(str(tmp_path / "in"))
+    target = str(tmp_path / "out")
+    q = ingest(spark, str(tmp_path / "in"), "id long", target, str(tmp_path / "c"), files_per_batch=1, every=0.2)
+    assert stop_when(q, lambda: path_exists(spark, target) and spark.read.parquet(target).count() >= 10, 0.2)
+    assert not q.isActive and spark.read.parquet(target).count() >= 10
+
+
+def test_retry_with_warnings(spark):
+    def shy(prompt):
+        if "again" in prompt:
+            raise ValueError("no")
+        return "" if "empty" in prompt else "answer"
+
+    rows = spark.createDataFrame([(1, "fine"), (2, "empty"), (3, None)], "id long, prompt string")
+    got = {r["id"]: (r["response"], r["retried"], r["warnings"]) for r in generation.with_retry(rows, [("p", shy)], F.col("response") == "", F.lit("again")).collect()}
+    assert got == {1: ("answer", False, []), 2: ("", True, ["empty answer, asked again", "no second answer"]), 3: (None, False, [])}
