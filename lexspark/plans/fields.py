@@ -128,7 +128,7 @@ def q_field_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         guess = ranked[train, asked].where(F.col("rank") <= k).join(own, "doc").groupBy("query_id").agg(F.array_sort(F.collect_set("dieu")).alias("guess"))
         q = queries.where("v is not null and exists(v, x -> x <> 0)").select(F.col("id").alias("query_id"), "doc").join(sets, "doc").join(guess, "query_id", "left")
         _, r, _ = prf(F.col("truth"), F.coalesce("guess", F.array().cast("array<string>")))
-        return q.agg(F.round(F.avg(F.round(r, 4)), 4)).first()[0] or 0.0
+        return q.agg(F.round(F.avg(F.round(r, 4)), 3)).first()[0] or 0.0
 
     trials = sweep(_GRID, recall, TARGET, max_trials=10)
     rows = [(i, *t, score, reached) for i, (t, score, reached) in enumerate(trials)]
@@ -147,7 +147,7 @@ def _trial_sql(i: int, train: str, asked: str, k: int) -> str:
 
     pairs = PAIRS_SQL.replace("WHERE coalesce(source_type, '') <> 'law' AND embedding", f"WHERE field IN ({listed(train)}) AND coalesce(source_type, '') <> 'law' AND embedding", 1)
     pairs = pairs.replace("AND vec_id % 20 = 0", f"AND field IN ({listed(asked)}) AND vec_id % 20 = 0")
-    return f"SELECT {i} AS trial, '{train}' AS train, '{asked}' AS asked, {k}::BIGINT AS k, * FROM (" + pairs + SETS_SQL.format(k=k, more="") + " SELECT round(avg(r), 4) AS recall FROM e)"
+    return f"SELECT {i} AS trial, '{train}' AS train, '{asked}' AS asked, {k}::BIGINT AS k, * FROM (" + pairs + SETS_SQL.format(k=k, more="") + " SELECT round(avg(r), 3) AS recall FROM e)"
 
 
 _BLANK = "[\\s\\x{85}\\x{a0}]+"
