@@ -2,15 +2,16 @@
 
 Vectors are routed to shards by a coarse quantiser (centroids fitted on a bounded sample, every vector indexed), so a
 vector's neighbours are nearly all in its own shard or in those whose centroids are about as near.  In a shard a
-hierarchical navigable small-world graph is built in bulk, level by level, with diversified neighbour lists kept as
-flat arrays, and searched for all vectors routed there at once: greedy descent through the upper levels, then a beam
-at the lowest.  A vector's results from all its shards are merged by exact cosine.
+hierarchical navigable small-world graph is built by insertion, level by level, with diversified neighbour lists kept
+as flat arrays, and searched for all vectors routed there at once, its own as well: greedy descent through the upper
+levels, then a beam at the lowest.  A vector's results from all its shards are merged by exact cosine.
 
 Scale: each vector is shuffled once as a member of its shard and once per further shard it asks, which are all those
 that are about as near: in a dense region that is split over many shards, each of its vectors asks all of them, and
-the work grows with the region's size times its shards; results are ids and cosines.  Centroids start from rows of the sample, so a dense region gets many, and shards hold about ``SHARD``
-vectors up to ``SHARD * CENTROIDS`` vectors (raise CENTROIDS and SAMPLE beyond that); one that is larger than
-``MOST`` is divided at random and asked in all its parts, and one that very many ask is searched in several tasks.  Of vectors with one direction (copies) only the
+the work grows with the region's size times its shards; results are ids and cosines.  The number of centroids follows
+from the number of vectors; they start from rows of the sample, so a dense region gets many, and shards hold about
+``SHARD`` vectors up to ``SHARD * CENTROIDS``, 67 million, vectors (raise CENTROIDS beyond that); one that is larger
+than ``MOST`` is divided at random and asked in all its parts, and one that very many ask is searched in several tasks.  Of vectors with one direction (copies) only the
 ``K + 1`` smallest ids are indexed: they are the nearest of all further copies, which need no search.
 
 Defined results of odd input: null, empty and all-zero vectors, vectors with a value that is not a number and vectors
@@ -34,11 +35,13 @@ K = 5
 SHARD = 2048  # vectors a centroid is meant for
 MOST = 6144  # vectors in one graph
 SAMPLE = 65_536  # vectors that the centroids are fitted on, about
-CENTROIDS = 4096  # at most
+CENTROIDS = 32_768  # at most; every one is fitted on eight vectors of the sample at least, so many of them take a larger one
 NEAR = 0.18  # a further shard is asked if its centroid's cosine is so close to the best, however many are
 LINKS = 12  # neighbours chosen for a vector on each level; with the reverse links twice as many
-BEAM = 14
+BEAM = 24  # of a vector in its own shard
+VISIT = 14  # of a vector in another shard
 EXPAND = 2
+BATCH = 256  # nodes inserted at once
 TASK = 16_384  # vectors that a task searches for, about
 ASKERS = 16_384  # vectors of other shards that one task searches for
 _BROADCAST_ROWS = 200_000  # codes of 8 bytes; beyond that they are joined by shuffle
@@ -73,74 +76,85 @@ def _levels(ids: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """A navigable graph over unit vectors ``x``: ``links[l]`` is the flat neighbour array of level l, -1 where empty."""
+    """A navigable graph over unit vectors ``x``: ``links[l]`` is the flat neighbour array of level l, -1 where empty.
+
+    Levels are built from the top; on each, the nodes of the level above come first and the others are inserted in
+    batches of ``BATCH``: a batch is searched for in the graph so far, its nodes are compared with each other, and the
+    nearest of both, diversified, become neighbours, so construction costs n log n and a batch product per node.
+    """
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x = x
         level = _levels(ids)
-        self.nodes: list[np.ndarray] = []
-        self.links: list[np.ndarray] = []
         top = 0
-        while top == 0 or (level >= top).sum() > 2 * LINKS:
-            nodes = np.flatnonzero(level >= top)
-            self.nodes.append(nodes)
-            self.links.append(self._level(nodes))
+        while (level > top).sum() > 2 * LINKS:
             top += 1
-        above = np.flatnonzero(level >= top)
-        self.entries = above if len(above) else self.nodes[-1][: 2 * LINKS]
-
-    def _level(self, nodes: np.ndarray) -> np.ndarray:
-        """Neighbour lists of one level: nearest candidates, diversified, with reverse links as far as there is room."""
-        n, m = len(nodes), LINKS
-        xs = self.x[nodes]
-        g = xs @ xs.T
+        above = np.flatnonzero(level > top)
+        self.entries = above if len(above) else np.flatnonzero(level >= top)[: 2 * LINKS]
+        self.links: list[np.ndarray] = []  # the lowest level last, until all are built
+        for at in range(top, -1, -1):
+            nodes = np.flatnonzero(level >= at)
+            first = self.entries if at == top else np.flatnonzero(level > at)
+            self.links.append(np.full((len(x), 2 * LINKS), -1, np.int32))
+            self._insert(first, first[:0])
+            rest = np.setdiff1d(nodes, first, assume_unique=True)
+            for a in range(0, len(rest), BATCH):
+                self._insert(rest[a : a + BATCH], first)
+        self.links.reverse()
+
+    def _insert(self, batch: np.ndarray, inside: np.ndarray) -> None:
+        """Link the nodes of a batch with each other and, where nodes are ``inside`` already, with the graph so far."""
+        links, m = self.links[-1], LINKS
+        n = len(batch)
+        q = self.x[batch]
+        g = q @ q.T
         np.fill_diagonal(g, -2.0)
         kc = min(2 * m, n - 1)
-        if kc <= 0:
-            return np.full((len(self.x), 2 * m), -1, np.int32)
-        cand = np.argpartition(-g, kc - 1, axis=1)[:, :kc]
-        sim = np.take_along_axis(g, cand, 1)
-        order = np.argsort(-sim, axis=1, kind="stable")
+        near = np.argpartition(-g, kc - 1, axis=1)[:, :kc] if kc > 0 else np.zeros((n, 0), np.int64)
+        cand, sim = batch[near], np.take_along_axis(g, near, 1)
+        if len(inside):
+            nodes, s = self._beam(q, *self._descend(q, self.links[:-1]), links, 2 * m, 4)
+            cand, sim = np.concatenate([cand, nodes], 1), np.concatenate([sim, s], 1)
+        order = np.argsort(-sim, axis=1, kind="stable")[:, : 2 * m]
         cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
-        chosen = np.full((n, m), -1, np.int64)
-        size = np.zeros(n, np.int64)
-        taken = np.zeros((n, kc), bool)
-        rows = np.arange(n)
-        for j in range(kc):  # a candidate nearer to a chosen neighbour than to the vector adds no direction
-            c = cand[:, j]
-            near = np.where(chosen >= 0, g[c[:, None], chosen], -2.0).max(1)
-            ok = (sim[:, j] > near) & (size < m)
-            chosen[rows[ok], size[ok]] = c[ok]
-            size += ok
-            taken[:, j] = ok
-        for j in range(kc):  # the rest of the list: the nearest that were passed over
-            ok = ~taken[:, j] & (size < m)
-            chosen[rows[ok], size[ok]] = cand[ok, j]
-            size += ok
-        out = np.full((n, 2 * m), -1, np.int64)
-        out[:, :m] = chosen
-        src, dst = np.repeat(rows, m), chosen.ravel()
-        keep = dst >= 0
-        src, dst = src[keep], dst[keep]
-        fresh = ~(chosen[dst] == src[:, None]).any(1)
-        src, dst = src[fresh], dst[fresh]
-        order = np.lexsort((-g[src, dst], dst))
-        src, dst = src[order], dst[order]
-        place = np.arange(len(dst)) - np.searchsorted(dst, dst)
-        slot = size[dst] + place
-        fits = slot < 2 * m
-        out[dst[fits], slot[fits]] = src[fits]
-        full = np.full((len(self.x), 2 * m), -1, np.int32)
-        full[nodes] = np.where(out >= 0, nodes[out], -1)
-        return full
-
-    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, cosines) of the k best for each query; ``own`` is the query's own node, or -1, and is left out."""
-        nq, n = len(q), len(self.x)
+        cand = np.where(sim > -1.5, cand, -1)
+        width = cand.shape[1]
+        if width == 0:
+            return
+        between = np.einsum("nid,njd->nij", self.x[cand], self.x[cand])
+        chosen = np.zeros((n, width), bool)
+        for j in range(width):  # a candidate nearer to a chosen neighbour than to the node adds no direction
+            shadow = np.where(chosen, between[:, j, :], -2.0).max(1)
+            chosen[:, j] = (sim[:, j] > shadow) & (cand[:, j] >= 0) & (chosen.sum(1) < m)
+        spare = (cand >= 0) & ~chosen  # the rest of the list: the nearest that were passed over
+        chosen |= spare & (np.cumsum(spare, 1) <= m - chosen.sum(1, keepdims=True))
+        place = np.cumsum(chosen, 1) - 1
+        r, c = np.nonzero(chosen)
+        links[batch[r], place[r, c]] = cand[r, c]
+        src, dst, s = batch[r], cand[r, c], sim[r, c]
+        fresh = ~(links[dst] == src[:, None]).any(1)
+        src, dst, s = src[fresh], dst[fresh], s[fresh]
+        order = np.lexsort((-s, dst))
+        src, dst, s = src[order], dst[order], s[order]
+        nth = np.arange(len(dst)) - np.searchsorted(dst, dst)
+        keep = nth < m
+        src, dst, s, nth = src[keep], dst[keep], s[keep], nth[keep]
+        whom, at = np.unique(dst, return_inverse=True)
+        old = links[whom, m:]
+        olds = np.where(old >= 0, np.einsum("nd,nmd->nm", self.x[whom], self.x[old]), -2.0)
+        new, news = np.full((len(whom), m), -1, np.int32), np.full((len(whom), m), -2.0, np.float32)
+        new[at, nth], news[at, nth] = src, s
+        # A node keeps the neighbours it chose, which lead away from it too; of its reverse links the nearest stay.
+        both, sims = np.concatenate([old, new], 1), np.concatenate([olds, news], 1)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :m]
+        links[whom, m:] = np.take_along_axis(both, order, 1)
+
+    def _descend(self, q: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Node and cosine where greedy descent through ``levels``, from the top, ends for each query."""
         s = q @ self.x[self.entries].T
         at, best = self.entries[s.argmax(1)], s.max(1)
-        for links in self.links[:0:-1]:
-            active = np.flatnonzero(own < 0)
+        for links in levels:
+            active = np.arange(len(q))
             while len(active):
                 nb = links[at[active]]
                 sims = np.where(nb >= 0, np.einsum("qd,qmd->qm", q[active], self.x[nb]), -2.0)
@@ -149,10 +163,19 @@ class Graph:
                 better = s1 > best[active]
                 active, j, s1, nb = active[better], j[better], s1[better], nb[better]
                 at[active], best[active] = nb[np.arange(len(active)), j], s1
-        mine = own >= 0
-        at = np.where(mine, own, at)
-        best = np.where(mine, 2.0, best)  # the own node stays ahead of the beam and is taken out at last
-        width = BEAM + 1
+        return at, best
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, cosines) of the k best for each query; ``own`` is the query's own node, or -1, and is left out."""
+        beam, sims = self._beam(q, *self._descend(q, self.links[:0:-1]), self.links[0], width + 1, EXPAND)
+        sims[(beam == own[:, None]) & (own >= 0)[:, None]] = -3.0
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        r = np.arange(len(q))[:, None]
+        return np.where(sims[r, top] > -2.5, beam[r, top], -1), sims[r, top]
+
+    def _beam(self, q: np.ndarray, at: np.ndarray, best: np.ndarray, links: np.ndarray, width: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, cosines) of a beam search from node ``at`` of each query; -1 and -3 where it found fewer."""
+        nq, n = len(q), len(self.x)
         beam = np.full((nq, width), -1, np.int64)
         sims = np.full((nq, width), -3.0, np.float32)
         beam[:, 0], sims[:, 0] = at, best
@@ -161,10 +184,9 @@ class Graph:
         seen = np.zeros((nq, n), bool)
         seen[np.arange(nq), at] = True
         active = np.arange(nq)
-        links = self.links[0]
         while len(active):
             b, sm, dn = beam[active], sims[active], done[active]
-            pick = np.argsort(np.where(dn, 9.0, -sm), axis=1, kind="stable")[:, :EXPAND]
+            pick = np.argsort(np.where(dn, 9.0, -sm), axis=1, kind="stable")[:, :expand]
             r = np.arange(len(active))[:, None]
             open_ = ~dn[r, pick]
             dn[r, pick] = True
@@ -189,11 +211,7 @@ class Graph:
             top = np.argpartition(-alls, width - 1, axis=1)[:, :width]
             beam[active], sims[active], done[active] = alln[r, top], alls[r, top], alld[r, top]
             active = active[(~done[active]).any(1)]
-        hide = (beam == own[:, None]) & mine[:, None]
-        sims[hide] = -3.0
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        r = np.arange(nq)[:, None]
-        return np.where(sims[r, top] > -2.5, beam[r, top], -1), sims[r, top]
+        return beam, sims
 
 
 def _units(raw: np.ndarray) -> np.ndarray:
@@ -218,14 +236,15 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
     if not lengths:
         return spark.createDataFrame([], schema)
     dim, total = lengths[0]["d"], lengths[0]["count"]
-    share = min(1.0, SAMPLE / total)  # a sample of about SAMPLE vectors, whatever the total
+    cells = int(min(max(1, total // SHARD), CENTROIDS))
+    share = min(1.0, max(SAMPLE, 8 * cells) / total)  # a sample of about SAMPLE vectors, eight times CENTROIDS at most
     rows = usable.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))).select("id", "v").toPandas().sort_values("id")
     raw, _ = _stack(rows["v"], dim)
     if not len(raw):
         return spark.createDataFrame([], schema)
     del rows
     raw /= np.linalg.norm(raw, axis=1, keepdims=True)
-    cells = int(min(max(1, total // SHARD), CENTROIDS, max(1, len(raw) // 8)))
+    cells = min(cells, max(1, len(raw) // 8))
     centroids = spark.sparkContext.broadcast(fit_centroids(raw, cells))
     del raw
 
@@ -295,9 +314,11 @@ def _search(routed: DataFrame, dim: int, k: int, total: int) -> DataFrame:
         own[where] = np.arange(len(where))
         asking = np.arange(len(ids)) if frame["turn"].iloc[0] == 0 else np.flatnonzero(~inside)
         out = []
-        for a in range(0, len(asking), 4096):
-            q = asking[a : a + 4096]
-            nodes, _ = graph.search(x[q], own[q], k + 3)
+        asking = asking[np.argsort(own[asking] < 0, kind="stable")]
+        split = int((own[asking] >= 0).sum())
+        for a, e in [(a, min(a + 4096, end)) for begin, end in ((0, split), (split, len(asking))) for a in range(begin, end, 4096)]:
+            q = asking[a:e]
+            nodes, _ = graph.search(x[q], own[q], k + 3, BEAM if a < split else max(VISIT, k + 3))
             r, c = np.nonzero(nodes >= 0)
             other = where[nodes[r, c]]
             cosine = np.einsum("ij,ij->i", exact[q[r]], exact[other])
