@@ -42,6 +42,7 @@ BEAM = 24  # of a vector in its own shard
 VISIT = 14  # of a vector in another shard
 EXPAND = 2
 BATCH = 256  # nodes inserted at once
+TOGETHER = 512  # queries searched for at once: what they have seen fits in the processor's cache
 TASK = 16_384  # vectors that a task searches for, about
 ASKERS = 16_384  # vectors of other shards that one task searches for
 _BROADCAST_ROWS = 200_000  # codes of 8 bytes; beyond that they are joined by shuffle
@@ -181,8 +182,8 @@ class Graph:
         beam[:, 0], sims[:, 0] = at, best
         done = np.ones((nq, width), bool)
         done[:, 0] = False
-        seen = np.zeros((nq, n), bool)
-        seen[np.arange(nq), at] = True
+        known = np.zeros(nq * n, bool)
+        known[np.arange(nq) * n + at] = True
         active = np.arange(nq)
         while len(active):
             b, sm, dn = beam[active], sims[active], done[active]
@@ -190,19 +191,17 @@ class Graph:
             r = np.arange(len(active))[:, None]
             open_ = ~dn[r, pick]
             dn[r, pick] = True
-            nb = np.where(open_[:, :, None], links[b[r, pick]], -1).reshape(len(active), -1).astype(np.int64)
-            ok = nb >= 0
-            ok &= ~seen[active[:, None], nb]
-            rr, cc = np.nonzero(ok)
+            nb = np.where(open_[:, :, None], links[b[r, pick]], -1).reshape(len(active), -1)
+            flat = active[:, None] * n + nb
+            rr, cc = np.nonzero((nb >= 0) & ~known[flat])
+            flat = flat[rr, cc]
+            known[flat] = True
+            if expand > 1:  # a node may come from several expanded neighbours
+                order = np.argsort(flat, kind="stable")
+                keep = np.ones(len(flat), bool)
+                keep[order[1:]] = flat[order[1:]] != flat[order[:-1]]
+                rr, cc = rr[keep], cc[keep]
             node = nb[rr, cc]
-            fresh = ~seen[active[rr], node]
-            seen[active[rr], node] = True
-            flat = rr * n + node  # a node may come from both expanded neighbours
-            _, first = np.unique(flat, return_index=True)
-            keep = np.zeros(len(flat), bool)
-            keep[first] = True
-            keep &= fresh
-            rr, cc, node = rr[keep], cc[keep], node[keep]
             new = np.full(nb.shape, -3.0, np.float32)
             new[rr, cc] = np.einsum("ij,ij->i", q[active[rr]], self.x[node])
             alls = np.concatenate([sm, new], 1)
@@ -316,7 +315,7 @@ def _search(routed: DataFrame, dim: int, k: int, total: int) -> DataFrame:
         out = []
         asking = asking[np.argsort(own[asking] < 0, kind="stable")]
         split = int((own[asking] >= 0).sum())
-        for a, e in [(a, min(a + 4096, end)) for begin, end in ((0, split), (split, len(asking))) for a in range(begin, end, 4096)]:
+        for a, e in [(a, min(a + TOGETHER, end)) for begin, end in ((0, split), (split, len(asking))) for a in range(begin, end, TOGETHER)]:
             q = asking[a:e]
             nodes, _ = graph.search(x[q], own[q], k + 3, BEAM if a < split else max(VISIT, k + 3))
             r, c = np.nonzero(nodes >= 0)
