@@ -10,7 +10,7 @@ reference list are the centres, every other name joins its most similar centre.
 Accents of the given name decide between centres: a name equal to a centre with accents belongs to that one, and a
 name that fits two centres equally well to neither, unless the other centre already has its own name in that list.
 
-Scale: vertices are the distinct written names of a block, so a name that is repeated a million times is one vertex;
+Scale: keys of blocks of very many names are split into parts; vertices are the distinct written names of a block, so a name that is repeated a million times is one vertex;
 where a block has centres, other names are linked to these only.  Names that no centre takes are compared with all
 names they share a key with, so the pairs of a block of very many distinct names grow with the square of the names
 under one key.  All steps are equi-joins and windows over a name's candidates.
@@ -191,7 +191,7 @@ def similarity(x: Name, y: Name) -> float:
 
 
 def _keys(vertices: DataFrame) -> DataFrame:
-    """(key, vid, centre, length): every band and short form of every vertex, mixed with its block into one number."""
+    """(key, vid, centre, length, parts): every band and short form of every vertex, mixed with its block into one number."""
     n = bands()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,47 +209,69 @@ def _keys(vertices: DataFrame) -> DataFrame:
             if at:
                 with np.errstate(over="ignore"):
                     mixed = np.array(keys, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                vid, centre, length = (b[c].to_numpy()[at] for c in ("vid", "centre", "length"))
-                yield pd.DataFrame({"key": mixed.view(np.int64), "vid": vid, "centre": centre, "length": length})
+                columns = {c: b[c].to_numpy()[at] for c in ("vid", "centre", "length", "parts")}
+                yield pd.DataFrame({"key": mixed.view(np.int64), **columns})
 
-    return vertices.select("vid", "block", "name", "centre", "length").mapInPandas(run, "key long, vid long, centre boolean, length int")
+    return vertices.select("vid", "block", "name", "centre", "length", "parts").mapInPandas(run, "key long, vid long, centre boolean, length int, parts int")
 
 
-_PAIRS = 2_000_000  # pairs made at once
+HOT = 50_000  # names of a block that one part of its keys is meant for
+_PAIRS = 1_000_000  # pairs made at once
+
+
+def _sized(vertices: DataFrame) -> DataFrame:
+    """Vertices with ``parts``, more than one in blocks of very many names."""
+    hot = vertices.groupBy("block").agg((F.count("*") / HOT).cast("int").alias("more")).where("more > 0")
+    return vertices.join(hot, "block", "left").withColumn("parts", F.coalesce("more", F.lit(0)) + 1).drop("more")
 
 
 def _meet(keys: DataFrame, leads: bool) -> DataFrame:
     """(vid, other): vertices that share a key, the second a centre, or with ``leads`` any longer name of the key.
 
-    One exchange brings a key's entries together; pairs are made by sorting and run lengths, a bounded number at a
-    time, so one key never becomes one big group in memory.
+    In every part of a key stand all possible partners and a share of those that ask.  One exchange and a sort in the
+    JVM bring them together; a task reads its rows as a stream and holds the partners of one key, as numbers, and a
+    bounded number of pairs.
     """
+    if "parts" not in keys.columns:
+        keys = keys.withColumn("parts", F.lit(1))
+    asking = F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    if leads:
+        rows = keys.select("key", "vid", F.col("length"), F.explode(everywhere).alias("part"), (asking == F.col("part")).alias("asks"), F.lit(True).alias("partner"))
+        order = ["key", "part", F.desc("length"), "vid"]
+    else:
+        rows = keys.select("key", "vid", F.col("length"), F.explode(F.when(F.col("centre"), everywhere).otherwise(F.array(asking))).alias("part"), (~F.col("centre")).alias("asks"), F.col("centre").alias("partner"))
+        order = ["key", "part", "asks", "vid"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True)
-        second = -rows["length"].to_numpy() if leads else 1 - rows["centre"].to_numpy(bool)
-        order = np.lexsort((rows["vid"].to_numpy(), second, rows["key"].to_numpy()))
-        key, vid = rows["key"].to_numpy()[order], rows["vid"].to_numpy()[order]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-        if leads:  # all that come before it in the key
-            before = np.arange(len(key)) - starts[run_of]
-            asking = np.flatnonzero(before)
-        else:  # the centres of the key, which stand first
-            target = rows["centre"].to_numpy(bool)[order]
-            before = np.add.reduceat(target.astype(np.int64), starts)[run_of]
-            asking = np.flatnonzero(~target & (before > 0))
-        many = before[asking]
-        for part in np.split(asking, np.searchsorted(np.cumsum(many), np.arange(_PAIRS, many.sum(), _PAIRS))):
-            if len(part):
-                m = before[part]
-                right = np.repeat(starts[run_of[part]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                yield pd.DataFrame({"vid": np.repeat(vid[part], m), "other": vid[right]}).drop_duplicates()
-
-    return keys.repartition("key").mapInPandas(run, "vid long, other long").distinct()
+        last, held = None, np.zeros(0, np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            group = b["key"].to_numpy() * 31 + b["part"].to_numpy()
+            vid, asks, partner = b["vid"].to_numpy(), b["asks"].to_numpy(bool), b["partner"].to_numpy(bool)
+            if last is None or group[0] != last:
+                held = held[:0]
+            # The partners of a key that is open from the batch before stand in front.
+            pool = np.concatenate([held, vid[partner]])
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(group))))
+            seen = np.cumsum(partner) - partner  # partners before a row, in the batch
+            begin = (seen[starts] + len(held))[run_of]
+            begin[run_of == 0] = 0
+            end = seen + len(held)
+            rows_ = np.flatnonzero(asks & (end > begin))
+            many = (end - begin)[rows_]
+            for part in np.split(rows_, np.searchsorted(np.cumsum(many), np.arange(_PAIRS, many.sum(), _PAIRS))):
+                if len(part):
+                    m = (end - begin)[part]
+                    right = np.repeat(begin[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    yield pd.DataFrame({"vid": np.repeat(vid[part], m), "other": pool[right]}).drop_duplicates()
+            tail = partner & (run_of == run_of[-1])
+            held = np.concatenate([held, vid[tail]]) if len(starts) == 1 else vid[tail]
+            last = group[-1]
+
+    return rows.repartition("key", "part").sortWithinPartitions(*order).select("key", "part", "vid", "asks", "partner").mapInPandas(run, "vid long, other long").distinct()
 
 
 def _named(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -279,7 +301,7 @@ def stars(names: DataFrame) -> DataFrame:
     with and follow the most similar ones to a star of their own.
     """
     vertices = names.where(F.trim("name") != "").groupBy("block", "name").agg(F.max("centre").alias("centre"))
-    vertices = cut(vertices.select(F.xxhash64("block", "name").alias("vid"), "block", "name", "centre", F.length("name").alias("length")))
+    vertices = cut(_sized(vertices.select(F.xxhash64("block", "name").alias("vid"), "block", "name", "centre", F.length("name").alias("length"))))
     centred = vertices.where("centre").select("block").distinct()
     pairs = _meet(_keys(vertices.join(centred, "block", "left_semi")), leads=False)
     edges = cut(_scored(_named(pairs, vertices)).where(F.col("s") >= ACCEPT))

@@ -70,3 +70,20 @@ def test_all_names_of_a_key_meet(spark):
     met = {(r["vid"], r["other"]) for r in n._meet(keys, leads=True).collect()}
     assert met == {(2, 1), (3, 1), (4, 1), (3, 2), (4, 2), (4, 3), (5, 4)}
     assert n._meet(keys, leads=False).count() == 0
+
+
+def test_parts_of_hot_blocks_and_small_batches_change_nothing(spark, monkeypatch):
+    first, last = ["Nguyễn Văn", "Trần Thị", "Lê Hữu", "Phạm Minh"], ["Hùng", "Hưng", "Lan", "Lân", "Tuấn", "Tuân", "Hạnh"]
+    people = [f"{a} {b}" for a in first for b in last]
+    rows = [(i, "hot", x, False, "a") for i, x in enumerate(people)] + [(100 + i, "hot", x.replace("n", "nn", 1), False, "b") for i, x in enumerate(people)]
+    rows += [(300 + i, "r", x, i % 4 == 0, "c") for i, x in enumerate(people)] + [(400 + i, "r", x.upper(), False, "d") for i, x in enumerate(people)]
+    df = spark.createDataFrame(rows, "id long, block string, name string, centre boolean, list string").repartition(3).cache()
+    want = sorted(n.same_person(df).collect())
+    assert len(want) > 40
+    monkeypatch.setattr(n, "HOT", 5)
+    monkeypatch.setattr(n, "_PAIRS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        assert sorted(n.same_person(df).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
