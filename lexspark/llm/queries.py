@@ -62,11 +62,27 @@ def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("record_id").alias("id"), "split_name", "source", number.alias("number"))
 
 
+def _narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_table(spark, sf_dir, "extracted_fields", "record_id", "noi_dung_vu_an").select(F.col("record_id").alias("id"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra").alias("t"))
+
+
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, text_class, in_train, n_links): the class of equal texts of every record of a split, and how many
+    classes of the other side are near it; copies are not written out as pairs."""
+    judgments = cut(_judgments(spark, sf_dir)).withColumn("side", F.col("split_name") == "train")
+    near, members = overlap.near_pairs(_narratives(spark, sf_dir), judgments.select("id", "side"))
+    near = cut(near)
+    links = near.groupBy(F.col("text_a").alias("doc")).agg(F.count("*").alias("n")).withColumn("side", F.lit(True))
+    links = links.unionByName(near.groupBy(F.col("text_b").alias("doc")).agg(F.count("*").alias("n")).withColumn("side", F.lit(False)))
+    both = members.select("doc", "side").distinct().groupBy("doc").agg((F.count("*") - 1).alias("same"))  # an equal text on the other side
+    rows = members.join(links, ["doc", "side"], "left").join(both, "doc")
+    return rows.select(F.col("id").alias("record_id"), F.col("doc").alias("text_class"), F.col("side").alias("in_train"), (F.coalesce("n", F.lit(0)) + F.col("same")).alias("n_links"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id_a, record_id_b): judgments of validation and test that stand also in train."""
     judgments = cut(_judgments(spark, sf_dir)).withColumn("side", F.col("split_name") == "train")
-    narratives = wide_table(spark, sf_dir, "extracted_fields", "record_id", "noi_dung_vu_an").select(F.col("record_id").alias("id"), F.col("noi_dung_vu_an.qua_trinh_dieu_tra").alias("t"))
-    pairs = overlap.cross_split_pairs(narratives, judgments.select("id", "side", "number"))
+    pairs = overlap.cross_split_pairs(_narratives(spark, sf_dir), judgments.select("id", "side", "number"))
     return pairs.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
 
 
@@ -152,7 +168,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mixed(spark, sf_dir).withColumnRenamed("n_tokens", "size"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p7_found, p7_counts, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p7_found, p7_classes, p7_counts, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_restored)}
 ORACLE_SQL: dict[str, str] = {
     "p4_found": """SELECT record_id, 'noi_dung_vu_an' AS field, 'qua_trinh_dieu_tra' AS part_key FROM extracted_fields WHERE length(noi_dung_vu_an.qua_trinh_dieu_tra) > 1500
         UNION ALL SELECT record_id, 'noi_dung_vu_an', 'ket_luan_cac_ben' FROM extracted_fields WHERE length(noi_dung_vu_an.ket_luan_cac_ben) > 1500
