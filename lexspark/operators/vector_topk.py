@@ -2,7 +2,8 @@
 
 A query set of at most ``BLOCK`` vectors is broadcast: every task keeps its own k best per query by one matrix
 product, and only those rows are shuffled.  A larger one never reaches the driver: queries and vectors meet in blocks
-of about ``BLOCK`` of each, so the work is the stated one, all queries against all vectors, and a task holds two blocks.
+of about ``BLOCK`` of each, so the work is the stated one, all queries against all vectors, and a task holds two blocks
+and the distances of ``STRIP`` queries.  Both sides are computed once before, as vectors may come from an encoder.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.runtime import cut
+
 BLOCK = 4096
+STRIP = 512  # queries compared with a batch of vectors at once
 
 
 def _matrix(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -40,17 +44,19 @@ def _nearest(q: tuple, batches: Iterator[pd.DataFrame], k: int, per_doc: bool) -
         order = np.lexsort((own, pd.factorize(doc, sort=False)[0]))
         x, own, doc = x[order], own[order], doc[order]
         starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if per_doc else np.arange(len(x))
-        d = 1.0 - x_q @ x.T
-        d[docs[:, None] == doc[None, :]] = np.inf
-        least = np.minimum.reduceat(d, starts, axis=1) if per_doc else d
-        keep = min(least.shape[1], k)
-        kth = np.partition(least, keep - 1, axis=1)[:, keep - 1]
-        r, c = np.nonzero((least <= kth[:, None]) & np.isfinite(least))  # ties of the k-th stay
-        if per_doc:  # the nearest chunk of a document, of equal ones the smallest id
-            ends = np.append(starts[1:], len(x))
-            c = np.array([starts[j] + d[i, starts[j] : ends[j]].argmin() for i, j in zip(r, c, strict=True)], dtype=np.int64)
-        rows = pd.DataFrame({"query_id": ids[r], "other_id": own[c], "doc": doc[c], "distance": d[r, c]})
-        best = _reduce(rows if best is None else pd.concat([best, rows]), k, per_doc)
+        found = [] if best is None else [best]
+        for s in range(0, len(x_q), STRIP):
+            d = 1.0 - x_q[s : s + STRIP] @ x.T
+            d[docs[s : s + STRIP, None] == doc[None, :]] = np.inf
+            least = np.minimum.reduceat(d, starts, axis=1) if per_doc else d
+            keep = min(least.shape[1], k)
+            kth = np.partition(least, keep - 1, axis=1)[:, keep - 1]
+            r, c = np.nonzero((least <= kth[:, None]) & np.isfinite(least))  # ties of the k-th stay
+            if per_doc:  # the nearest chunk of a document, of equal ones the smallest id
+                ends = np.append(starts[1:], len(x))
+                c = np.array([starts[j] + d[i, starts[j] : ends[j]].argmin() for i, j in zip(r, c, strict=True)], dtype=np.int64)
+            found.append(_reduce(pd.DataFrame({"query_id": ids[s + r], "other_id": own[c], "doc": doc[c], "distance": d[r, c]}), k, per_doc))
+        best = _reduce(pd.concat(found), k, per_doc)
     return best
 
 
@@ -87,13 +93,15 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, per_doc: bool = F
             n = -(-df.count() // BLOCK)
             return df.withColumn(salt, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
-        asked, n_q = blocks(asked, "qb")
-        known, n_v = blocks(known, "vb")
+        asked, n_q = blocks(cut(asked), "qb")
+        # Names of their own: Spark mixes up the columns of two sides that come from one table.
+        known, n_v = blocks(cut(known), "vb")
+        known = known.select(*[F.col(c).alias(f"known_{c}") for c in ("id", "doc", "v")], "vb")
         left = asked.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
         right = known.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
         def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            best = _nearest(_block(q), iter([v]), k, per_doc) if len(q) and len(v) else None
+            best = _nearest(_block(q), iter([v.rename(columns=lambda c: c.removeprefix("known_"))]), k, per_doc) if len(q) and len(v) else None
             return pd.DataFrame(columns=["query_id", "other_id", "doc", "distance"]) if best is None else best
 
         rows = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, schema)

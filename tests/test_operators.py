@@ -85,6 +85,16 @@ def test_exact_topk_of_many_queries_in_blocks(spark, monkeypatch, per_doc):
     assert sorted(exact_topk(v, v, 3, per_doc).collect()) == few
 
 
+def test_exact_topk_of_many_encoded_queries(spark, tmp_path, monkeypatch):
+    """The vectors come from an encoder and the queries are rows of the same table."""
+    spark.createDataFrame([(i, f"từ{i % 7} w{i % 5} x{i}" if i % 11 else None) for i in range(90)], "doc_id long, t string").write.parquet(str(tmp_path / "d"))
+    v = spark.read.parquet(str(tmp_path / "d")).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc"), vector_topk.hashed_embedding(F.col("t")).alias("v"))
+    q = v.where(F.col("id") % 2 == 0)
+    few = sorted(exact_topk(v, q, 3).select("query_id", "other_id", "rank").collect())
+    monkeypatch.setattr(vector_topk, "BLOCK", 13)
+    assert sorted(exact_topk(v, q, 3).select("query_id", "other_id", "rank").collect()) == few and len(few) == 3 * sum(i % 2 == 0 and i % 11 > 0 for i in range(90))
+
+
 def test_latest_delivery(spark):
     rows = spark.createDataFrame([(1, "a", None, 1), (1, "b", "2020-01-01", 2), (2, None, None, 3)], "k long, v string, at string, loaded int").withColumn("at", F.to_timestamp("at"))
     assert {(r["k"], r["v"], r["loaded"]) for r in latest_delivery(rows, "k", "at").collect()} == {(1, "b", 2), (2, None, 3)}
