@@ -5,10 +5,11 @@ A pair's state emits what the clean state would emit after the pair's inverse tr
 that the wrong decoding made of a true one are emitted together, with the clean language model's probability of that
 true character after the one before it.  The state may change between any two characters, so a clean word joined to a
 garbled one keeps its own state.  The clean model is a character-bigram model, counted over all documents that hold
-no doubtful character.  Transitions start from a prior and are trained on the Viterbi labels of a bounded sample.
+no doubtful character.  Transitions start from a prior and are trained on the Viterbi labels of all texts.
 Viterbi labels the characters of every text; each labelled span gets its state's inverse transform.
 
-Scale: two scans of the text and one of the sample.  The bigram counts are summed per task and reach the driver as at
+Scale: two scans of the text.  The second counts the transitions under the prior and writes down the texts of which
+some token might be garbled under any transitions, as all others are clean; only those are labelled again.  The bigram counts are summed per task and reach the driver as at
 most K*K numbers (K = ``len(_SYMBOLS)`` + 1, about 270, fixed); so do the counts of transitions.  The paths through a
 token (a run without blanks) are summed up in a small matrix that is worked out once per task and distinct token, over
 the states that explain some token of the text better than the clean one; a text without such a token is clean.  No shuffle but that of the counts.
@@ -32,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.runtime import stored
+
 _BASE = "aăâeêioôơuưy"
 _MARKS = "̣̀́̃̉"
 VIET = "".join(sorted({c for b in _BASE for m in ("", *_MARKS) for c in (unicodedata.normalize("NFC", b + m), unicodedata.normalize("NFC", b + m).upper())} - set("aeiouyAEIOUY") | set("đĐ")))
@@ -271,7 +274,6 @@ _TWO = {k for k, n in enumerate(_NAMES) if n.startswith(("vni", "cp1258"))}  # p
 #: any text (one odd word is no evidence), back to clean, from one pair to another.
 _ENTER, _ENTER_LETTERS, _LEAVE, _SWAP = -9.0, -20.0, -4.0, -12.0
 _PRIOR = 20_000.0  # tokens that the prior counts for when transitions are trained
-TRAINING = 5_000  # texts that transitions are trained on, about
 _UNSEEN = -15.0  # of a character outside the model's symbols, in the clean state
 SLACK = 3.0  # that the first reading of a token's characters may be less likely than the best one
 _LOST_SCORE = -3.0  # of a lost character in its state
@@ -296,12 +298,20 @@ def trained(counts: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         change = np.log((seen + _PRIOR * base) / total)
     np.fill_diagonal(change, 0.0)
-    change = np.maximum(change, prior() - 3.0)  # a sample without a pair does not rule it out
+    change = np.maximum(change, prior() - 3.0)  # texts without a pair do not rule it out
     letters = [k for k, n in enumerate(_NAMES) if k and k < _N - 1 and not n.startswith("utf8")]
     change[:, letters] = np.minimum(change[:, letters], prior()[:, letters])  # nor do many texts make one odd word evidence
     return change
 
 
+def _open() -> list[float]:
+    """By state, the most that the log-probability of entering it from the clean one can come to by training."""
+    free = np.zeros(_N)
+    letters = [k for k, n in enumerate(_NAMES) if k and k < _N - 1 and not n.startswith("utf8")]
+    free[letters] = prior()[0, letters]
+    return free.tolist()
+
+
 def count_bigrams(df: DataFrame, text_col: str) -> np.ndarray:
     """K x K counts of neighbouring symbols in all texts that hold no sign of a wrong decoding."""
 
@@ -335,7 +345,7 @@ class Model:
         self.log = np.log(smooth).tolist()
         self.change = prior() if change is None else change
         self.steps = self.change.tolist()
-        self.least = -float(self.change[0, 1:].max())  # no state is entered for less
+        self.open = _open()
         self.known: dict[tuple[str, tuple[int, ...]], tuple[list[int], list[list[float]]] | None] = {}
         self.chunks: dict[str, dict[int, dict[int, list[tuple[int, str]]]]] = {}
         self.traces: dict[tuple[str, tuple[int, ...], int, int], list[tuple[int, int, int, str]]] = {}
@@ -473,12 +483,11 @@ class Model:
             out = np.where(odd[:, None] | odd[None, :], np.minimum(out, 0.0), out)
         return states, out.tolist()
 
-    def label(self, text: str) -> list[tuple[int, int, int, str]]:
-        """Spans (start, end, state, true text) of the characters that are not clean, in order."""
-        gains: dict[int, float] = {}  # of a state over the best run of tokens that it can emit
+    def gains(self, words: list[str]) -> dict[int, float]:
+        """How much better a state explains the best run of words that it can emit than the clean one, at most, if at all."""
+        gains: dict[int, float] = {}
         runs: dict[int, float] = {}
         hopes = self.hopes
-        words = [t for t in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if not t.isascii()]
         for token in words:
             own = hopes.get(token)
             if own is None:
@@ -491,10 +500,21 @@ class Model:
                     if k in before and before[k] > 0.0:
                         g += before[k]
                     runs[k] = g
-                    if g > self.least and g > gains.get(k, 0.0):
+                    if g > 0.0 and g > gains.get(k, 0.0):
                         gains[k] = g
             elif runs:
                 runs = {}
+        return gains
+
+    def label(self, text: str) -> list[tuple[int, int, int, str]]:
+        """Spans (start, end, state, true text) of the characters that are not clean, in order.
+
+        ``suspect`` tells afterwards whether there might be any under other transitions.
+        """
+        words = [t for t in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if not t.isascii()]
+        gains = self.gains(words)
+        self.suspect = any(g + self.open[k] > 0 for k, g in gains.items())
+        hopes = self.hopes
         # A state that gains less than it costs to enter is on no best path, nor one that another explains every token
         # of the text at least as well as.
         able = sorted((k for k, g in gains.items() if g + self.steps[0][k] > 0), key=lambda k: (-gains[k], k))
@@ -590,30 +610,34 @@ _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*")
 _BLANKS = re.compile(r"[ \t\r\n]+")
 
 
-def train(df: DataFrame, text_col: str, bigrams: np.ndarray) -> np.ndarray:
-    """Changes of state from the labels that the prior gives to a sample of ``TRAINING`` texts, about, by the hash of the text."""
-    total = df.count()
-    part = min(1.0, TRAINING / max(total, 1))
+def train(df: DataFrame, id_col: str, text_col: str, bigrams: np.ndarray) -> tuple[np.ndarray, DataFrame]:
+    """Changes of state from the labels that the prior gives to all texts, and (id, t) of the texts that may be garbled."""
     shared = df.sparkSession.sparkContext.broadcast(bigrams)
+    names = ["id", "t", "a", "b", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(shared.value)
+        model = shared_model(shared.value, prior())
         counts = np.zeros((_N, _N))
         for b in batches:
+            kept = []
             for text in b["t"]:
                 if model.label(text):
                     for (a, b_), n in model.changes.items():
                         counts[a, b_] += n
                 else:
                     counts[0, 0] += text.count(" ") + 1
+                kept.append(model.suspect)
+            yield b[np.array(kept, bool)].assign(a=None, b=None, n=None)[names]
         rows, columns = np.nonzero(counts)
-        yield pd.DataFrame({"a": rows, "b": columns, "n": counts[rows, columns]})
+        yield pd.DataFrame({"id": None, "t": None, "a": rows, "b": columns, "n": counts[rows, columns]})[names]
 
-    sample = df.select(F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int(part * (1 << 40))))
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") > 0)
+    out = stored(texts.mapInPandas(run, f"id {kind}, t string, a int, b int, n double"))
     counts = np.zeros((_N, _N))
-    for r in sample.mapInPandas(run, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+    for r in out.where("n is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # whole numbers: any order gives the same sum
         counts[r["a"], r["b"]] = r["n"]
-    return trained(counts)
+    return trained(counts), out.where("t is not null").select("id", "t")
 
 
 def find_garbled(df: DataFrame, id_col: str, text_col: str, bigrams: np.ndarray | None = None) -> DataFrame:
@@ -623,7 +647,8 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, bigrams: np.ndarray
     """
     if bigrams is None:
         bigrams = count_bigrams(df, text_col)
-    shared = df.sparkSession.sparkContext.broadcast((bigrams, train(df, text_col, bigrams)))  # K * K numbers and fewer
+    change, texts = train(df, id_col, text_col, bigrams)
+    shared = df.sparkSession.sparkContext.broadcast((bigrams, change))  # K * K numbers and fewer
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared_model(*shared.value)
@@ -641,5 +666,4 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, bigrams: np.ndarray
             yield pd.DataFrame(out, columns=["id", "states", "n_tokens", "restored"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") > 0)
     return texts.mapInPandas(run, f"id {kind}, states array<string>, n_tokens int, restored string")

@@ -69,6 +69,23 @@ def test_transitions_follow_the_counts():
     assert e.prior()[0, 1] < change[0, 1] < -4 and change[0, 9] >= e.prior()[0, 9] - 3 and not change.diagonal().any()
 
 
+def test_transitions_come_from_all_texts(spark):
+    """Each of 6,000 texts counts, and only texts with a doubtful token are labelled twice."""
+    rows = [(i, GARBLED["utf8 as cp1251"] if i % 50 == 0 else f"{CLEAN[i % 4]} {i}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    bigrams = e.count_bigrams(df, "t")
+    change, texts = e.train(df, "id", "t", bigrams)
+    counts, model = e.np.zeros((e._N, e._N)), e.Model(bigrams)
+    for _, t in rows:
+        if model.label(t):
+            for pair, n in model.changes.items():
+                counts[pair] += n
+        else:
+            counts[0, 0] += t.count(" ") + 1
+    assert (change == e.trained(counts)).all() and (counts.sum(1) > 0).sum() > 1
+    assert {r["id"] for r in texts.collect()} == set(range(0, 6000, 50))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, t string")
     assert e.find_garbled(df, "id", "t").count() == 0
