@@ -1,8 +1,11 @@
-"""Topics of texts: spherical k-means over hashed words, fitted on a bounded sample, applied to every text.
+"""Topics of texts: spherical k-means over hashed words, fitted on all texts and applied to every text.
 
-The sample are about ``SAMPLE`` texts, by the hashes of their ids; it decides only what the topics are, and reaches
-the driver as one vector of ``WIDTH`` numbers a text.  A text's vector holds the roots of its word and word-pair
-counts, weighed by their rarity in the sample.
+A text's vector holds the roots of its word and word-pair counts, weighed by their rarity in all texts.  The clusters
+start as one and those of the largest distortion are split in two, off their mean by the spread of all texts, with
+rounds of k-means over all texts after each split.
+
+Scale: the counts are written once, compressed; each round is a narrow pass over them, and ``WIDTH`` sums a cluster
+reach the driver.  Sums are of whole numbers, so the order of the tasks changes nothing.
 
 Defined results of odd input: null texts and texts without words have topic -1; an empty table fits no topics and all
 its texts would have topic -1.
@@ -19,41 +22,98 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.neighbours import fit_centroids
+from lexspark.runtime import stored
 
 TOPICS = 8
-SAMPLE = 4096
 WIDTH = 1024
+ROUNDS = 4  # after a split, at most; twice as many after the last
+_BLOCK = 1024  # texts whose vectors are held at once
+_ONE = 1 << 30  # the whole number that stands for 1 in sums
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 def _counts(text: str | None) -> np.ndarray:
     ws = _WORD.findall((text or "").lower())
     at = [zlib.crc32(w.encode()) % WIDTH for w in ws] + [zlib.crc32(f"{a} {b}".encode()) % WIDTH for a, b in zip(ws, ws[1:], strict=False)]
-    return np.sqrt(np.bincount(at, minlength=WIDTH)) if at else np.zeros(WIDTH)
+    return np.bincount(np.array(at, np.int64), minlength=WIDTH)
+
+
+def _sums(counts: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all texts of what ``of`` makes of the counts of some texts: an array of whole numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            for s in range(0, len(b), _BLOCK):
+                got = of(np.stack([np.frombuffer(v, np.uint32) for v in b["v"].iloc[s : s + _BLOCK]]))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(len(total)), "n": total})
+
+    rows = counts.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")
+    return rows["n"].to_numpy(np.int64)
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, topics: int = TOPICS, sample: int = SAMPLE) -> Callable[[str | None], str]:
+def fit(df: DataFrame, id_col: str, text_col: str, topics: int = TOPICS) -> Callable[[str | None], str]:
     """A function that gives the topic of a text as a number in text form."""
-    part = min(1.0, sample / max(df.count(), 1))
-    chosen = df.where((F.length(text_col) > 0) & (F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int(part * (1 << 40))))
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"h": b["h"], "v": [_counts(t).astype(np.float32).tobytes() for t in b["t"]]})
+            for s in range(0, len(b), _BLOCK):
+                x = [_counts(t) for t in b["t"].iloc[s : s + _BLOCK]]
+                yield pd.DataFrame({"v": [v.astype(np.uint32).tobytes() for v in x if v.any()]})
 
-    rows = chosen.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).mapInPandas(vectors, "h long, v binary").toPandas().sort_values(["h", "v"])
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows["v"]]) if len(rows) else np.zeros((0, WIDTH), np.float32)
-    x = x[x.any(1)]
-    if not len(x):
+    counts = stored(df.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).mapInPandas(count, "v binary"))
+    seen = _sums(counts, lambda c: np.append((c > 0).sum(0), len(c)))
+    if not len(seen):
         return lambda text: "-1"
-    rarity = np.log1p(len(x) / (1 + (x > 0).sum(0))).astype(np.float32)
-    x = (x * rarity).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centres = (fit_centroids(x, min(topics, len(x))) * rarity).T
+    rarity = np.log1p(seen[-1] / (1 + seen[:-1]))
+
+    def unit(c: np.ndarray) -> np.ndarray:
+        x = np.sqrt(c) * rarity
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return np.rint(x * _ONE).astype(np.int64).ravel()
+
+    def moments(c: np.ndarray) -> np.ndarray:
+        x = unit(c)
+        return np.append(whole(x).reshape(x.shape).sum(0), whole(x * x).reshape(x.shape).sum(0))
+
+    first, second = _sums(counts, moments).reshape(2, WIDTH) / _ONE
+    spread = np.sqrt(np.maximum(second / seen[-1] - (first / seen[-1]) ** 2, 0.0))
+    signs = np.random.default_rng(0).choice([-1.0, 1.0], (topics, WIDTH))
+    sums, sizes = first[None, :], seen[-1:].astype(float)
+    while len(sums) < topics:
+        before = len(sums)
+        # 1 - cosine, summed over a cluster, is its size less the length of its sum.
+        loose = np.argsort(np.linalg.norm(sums, axis=1) - sizes, kind="stable")[: topics - len(sums)]
+        means = sums / np.maximum(sizes, 1)[:, None]
+        means[loose] += 0.5 * spread * signs[: len(loose)]
+        centres = np.concatenate([means, means[loose] - spread * signs[: len(loose)]])
+        for _ in range(ROUNDS if len(centres) < topics else 2 * ROUNDS):
+            centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+            def assigned(c: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
+                x = unit(c)
+                at = np.round(x @ centres.T, 9).argmax(1)
+                member = at[:, None] == np.arange(len(centres))
+                return np.append(np.stack([whole(x[m]).reshape(-1, WIDTH).sum(0) for m in member.T]).ravel(), member.sum(0))
+
+            got = _sums(counts, assigned)
+            now = got[: -len(centres)].reshape(-1, WIDTH) / _ONE
+            same = now.shape == sums.shape and (now == sums).all()
+            sums, sizes = now, got[-len(centres) :].astype(float)
+            centres = np.where(sizes[:, None] > 0, sums, centres)
+            if same:
+                break
+        sums, sizes = sums[sizes > 0], sizes[sizes > 0]
+        if len(sums) == before:  # fewer different texts than topics
+            break
+    centres = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12) * rarity).T
 
     def topic(text: str | None) -> str:
         v = _counts(text)
-        return str(int((v @ centres).argmax())) if v.any() else "-1"
+        return str(int((np.sqrt(v) @ centres).argmax())) if v.any() else "-1"
 
     return topic

@@ -123,3 +123,18 @@ def test_topics_tell_texts_apart(spark):
     assert all(len(x) == 1 for x in found) and len(set.union(*found)) == 3
     assert topic(None) == topic("") == topic("12 34") == "-1"
     assert topics.fit(spark.createDataFrame([], "id long, t string"), "id", "t")("a b") == "-1"
+
+
+def test_topics_come_from_all_texts(spark):
+    """A text more changes the topics, however many there are, and parts and order do not."""
+    rng = random.Random(2)
+    groups = ["trộm cắp tài sản xe máy".split(), "giao thông tai nạn đường".split()]
+    rows = [(i, " ".join(rng.choices(groups[i % 2], k=12))) for i in range(5000)]
+
+    def centres(rows, parts):
+        topic = topics.fit(spark.createDataFrame(rows, "id long, t string").repartition(parts), "id", "t", topics=2)
+        return topic.__closure__[topic.__code__.co_freevars.index("centres")].cell_contents
+
+    one = centres(rows, 2)
+    assert (one == centres(rows[::-1], 5)).all()
+    assert all((centres([*rows, (5000 + k, "chất cấm ma túy mua bán")], 2) != one).any() for k in range(2))
