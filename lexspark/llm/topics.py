@@ -38,6 +38,14 @@ def _counts(text: str | None) -> np.ndarray:
     return np.bincount(np.array(at, np.int64), minlength=WIDTH)
 
 
+def _unpacked(at: pd.Series, n: pd.Series) -> np.ndarray:
+    """Counts of texts, a row each, from their columns that are not zero and the counts there."""
+    row = np.repeat(np.arange(len(at)), [len(a) // 2 for a in at])
+    out = np.zeros((len(at), WIDTH))
+    out[row, np.frombuffer(b"".join(at), np.uint16)] = np.frombuffer(b"".join(n), np.uint32)
+    return out
+
+
 def _sums(counts: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum over all texts of what ``of`` makes of the counts of some texts: an array of whole numbers."""
 
@@ -45,7 +53,7 @@ def _sums(counts: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarr
         total = None
         for b in batches:
             for s in range(0, len(b), _BLOCK):
-                got = of(np.stack([np.frombuffer(v, np.uint32) for v in b["v"].iloc[s : s + _BLOCK]]))
+                got = of(_unpacked(b["at"].iloc[s : s + _BLOCK], b["n"].iloc[s : s + _BLOCK]))
                 total = got if total is None else total + got
         if total is not None:
             yield pd.DataFrame({"at": np.arange(len(total)), "n": total})
@@ -60,25 +68,26 @@ def fit(df: DataFrame, id_col: str, text_col: str, topics: int = TOPICS) -> Call
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), _BLOCK):
-                x = [_counts(t) for t in b["t"].iloc[s : s + _BLOCK]]
-                yield pd.DataFrame({"v": [v.astype(np.uint32).tobytes() for v in x if v.any()]})
+                x = [v for t in b["t"].iloc[s : s + _BLOCK] if (v := _counts(t)).any()]
+                at = [np.flatnonzero(v) for v in x]
+                yield pd.DataFrame({"at": [a.astype(np.uint16).tobytes() for a in at], "n": [v[a].astype(np.uint32).tobytes() for v, a in zip(x, at, strict=True)]})
 
-    counts = stored(df.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).mapInPandas(count, "v binary"))
+    counts = stored(df.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).mapInPandas(count, "at binary, n binary"))
     seen = _sums(counts, lambda c: np.append((c > 0).sum(0), len(c)))
     if not len(seen):
         return lambda text: "-1"
     rarity = np.log1p(seen[-1] / (1 + seen[:-1]))
 
     def unit(c: np.ndarray) -> np.ndarray:
-        x = np.sqrt(c) * rarity
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def whole(x: np.ndarray) -> np.ndarray:
-        return np.rint(x * _ONE).astype(np.int64).ravel()
+        """Unit vectors in whole numbers; sums of a block of them are exact in double precision."""
+        x = np.sqrt(c)
+        x *= rarity
+        x *= _ONE / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        return np.rint(x, out=x)
 
     def moments(c: np.ndarray) -> np.ndarray:
         x = unit(c)
-        return np.append(whole(x).reshape(x.shape).sum(0), whole(x * x).reshape(x.shape).sum(0))
+        return np.append(x.sum(0), np.rint(x * x / _ONE).sum(0)).astype(np.int64)
 
     first, second = _sums(counts, moments).reshape(2, WIDTH) / _ONE
     spread = np.sqrt(np.maximum(second / seen[-1] - (first / seen[-1]) ** 2, 0.0))
@@ -96,9 +105,9 @@ def fit(df: DataFrame, id_col: str, text_col: str, topics: int = TOPICS) -> Call
 
             def assigned(c: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
                 x = unit(c)
-                at = np.round(x @ centres.T, 9).argmax(1)
-                member = at[:, None] == np.arange(len(centres))
-                return np.append(np.stack([whole(x[m]).reshape(-1, WIDTH).sum(0) for m in member.T]).ravel(), member.sum(0))
+                at = np.round(x @ centres.T).argmax(1)
+                member = (at[:, None] == np.arange(len(centres))).astype(float)
+                return np.append((member.T @ x).ravel(), member.sum(0)).astype(np.int64)
 
             got = _sums(counts, assigned)
             now = got[: -len(centres)].reshape(-1, WIDTH) / _ONE
