@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import math
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,9 +27,51 @@ def encoder(path: str = RANKS):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Ends of stretches that are counted by themselves: the pattern begins a piece at every blank between two characters
+#: that are no white space, and a token never crosses pieces.
+_ENDS = re.compile(r"(?<=\S)(?= \S)")
+
+
+class _Sizes(dict):
+    """Tokens of each stretch: what a worker has counted serves for the texts to come."""
+
+    def __init__(self, path: str, lead: str):
+        super().__init__()
+        self.encode, self.lead = encoder(path).encode_ordinary, lead
+
+    def __missing__(self, part: str) -> float:
+        if not part or part[0].isspace() or part[-1].isspace():
+            return math.nan  # no end of a stretch
+        n = len(self.encode(self.lead + part))
+        if len(part) <= 64:
+            if len(self) >= 300_000:
+                self.clear()
+            self[part] = n
+        return n
+
+
+@lru_cache(maxsize=4)
+def _sizes(path: str) -> tuple[_Sizes, _Sizes]:
+    """Of stretches at the start of a text and of those after a blank, without it."""
+    return _Sizes(path, ""), _Sizes(path, " ")
+
+
 def count(text: str | None, path: str = RANKS) -> int:
     """Tokens of a text; null and empty texts have none."""
-    return len(encoder(path).encode_ordinary(text)) if text else 0
+    if not text:
+        return 0
+    first, after = _sizes(path)
+    head, *rest = text.split(" ")
+    n = first[head] + sum(map(after.__getitem__, rest))
+    if n == n:
+        return n
+    encode = encoder(path).encode_ordinary  # some blanks stand beside white space
+    n = 0
+    for part in _ENDS.split(text):
+        lead, own = (after, part[1:]) if part[0] == " " and len(part) > 1 else (first, part)
+        got = lead[own]
+        n += got if got == got else len(encode(part))
+    return n
 
 
 def token_table(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), label: Callable[[str], str] | None = None, path: str = RANKS) -> DataFrame:

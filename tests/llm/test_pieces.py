@@ -138,3 +138,43 @@ def test_topics_come_from_all_texts(spark):
     one = centres(rows, 2)
     assert (one == centres(rows[::-1], 5)).all()
     assert all((centres([*rows, (5000 + k, "chất cấm ma túy mua bán")], 2) != one).any() for k in range(2))
+
+
+def test_counts_of_stretches_are_those_of_the_text():
+    if not __import__("os").path.exists(tokens.RANKS):
+        pytest.skip("no vocabulary file")
+    rng = random.Random(6)
+    parts = ["a", "Toà", "án", "'s", "12", ".", "_", "😀", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "　"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    assert [tokens.count(t) for t in texts] == [len(tokens.encoder().encode_ordinary(t)) for t in texts]
+
+
+def test_words_are_counted_as_one_by_one():
+    def alone(text):
+        ws = topics._WORD.findall((text or "").lower())
+        at = [topics.zlib.crc32(w.encode()) % topics.WIDTH for w in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))]]
+        return topics.np.bincount(topics.np.array(at, int), minlength=topics.WIDTH)
+
+    rng = random.Random(7)
+    parts = ["toà", "Án", "b", "-", "_", "12", "ΑΣ", ",", " ", " ", " ", "\n", "\x1c", "　"]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500))]
+    assert (topics._hashed(texts) == topics.np.array([alone(t) for t in texts])).all()
+
+
+def test_mix_reads_and_splits_each_text_once(spark, tmp_path, monkeypatch):
+    """The topics and the sizes come from one pass over the texts; the labels are those that ``fit`` gives."""
+    from lexspark.llm import mixing, queries
+
+    rng = random.Random(8)
+    groups = ["trộm cắp tài sản xe máy".split(), "chất cấm ma túy mua bán".split(), "giao thông tai nạn đường".split()]
+    rows = [(i, " ".join(rng.choices(groups[i % 3], k=30)), "a" if i % 2 else "b", "vi") for i in range(300)] + [(900, None, "a", None), (901, "", "b", "vi"), (902, "12 34", "a", "vi")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats long").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    read, mixed_of, seen = [], mixing.mix, []
+    monkeypatch.setattr(queries, "wide_table", lambda *a: read.append(a[2]) or df)
+    monkeypatch.setattr(queries, "table", lambda s, d, name: read.append(name) or s.read.parquet(f"{d}/{name}.parquet"))
+    monkeypatch.setattr(mixing, "mix", lambda records, targets: seen.append(records.collect()) or mixed_of(records, targets))
+    assert queries.p9_mixed(spark, str(tmp_path)).count() > 0 and sorted(read) == ["documents", "mix_targets"]
+    topic = topics.fit(df, "doc_id", "text")
+    assert {r["id"]: (r["topic"], r["size"]) for r in seen[0]} == {i: (topic(t), tokens.count(t)) for i, t, _, _ in rows}
