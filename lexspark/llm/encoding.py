@@ -9,8 +9,8 @@ no doubtful character.  Transitions start from a prior and are trained on the Vi
 Viterbi labels the characters of every text; each labelled span gets its state's inverse transform.
 
 Scale: two scans of the text.  The second counts the transitions under the prior and writes down the texts of which
-some token might be garbled under any transitions, as all others are clean; only those are labelled again.  The bigram counts are summed per task and reach the driver as at
-most K*K numbers (K = ``len(_SYMBOLS)`` + 1, about 270, fixed); so do the counts of transitions.  The paths through a
+some token might be garbled under any transitions, as all others are clean; only those are labelled again, by a model
+that keeps what a worker knows of the tokens.  The bigram counts are summed per task and reach the driver as at most K*K numbers (K = ``len(_SYMBOLS)`` + 1, about 270, fixed); so do the counts of transitions.  The paths through a
 token (a run without blanks) are summed up in a small matrix that is worked out once per task and distinct token, over
 the states that explain some token of the text better than the clean one; a text without such a token is clean.  No shuffle but that of the counts.
 
@@ -21,11 +21,15 @@ and restored as far as its bytes are left.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from copy import copy
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -270,6 +274,26 @@ PAIRS: tuple[tuple[str, Chunks], ...] = (
 _NAMES = ("clean", *(n for n, _ in PAIRS), "lost")
 _N = len(_NAMES)
 _TWO = {k for k, n in enumerate(_NAMES) if n.startswith(("vni", "cp1258"))}  # pairs of which a character may begin with an ASCII letter
+
+
+@lru_cache(maxsize=100_000)
+def _states_from(c: str) -> tuple[int, ...]:
+    """The pairs of which a chunk may begin with a character."""
+    return tuple(k for k, first in enumerate(_FIRST, 1) if first(c))
+
+
+def _lead(codec: str) -> Callable[[str], bool]:
+    table = _bytes_of(codec)
+    return lambda c: 0xC2 <= table.get(c, 0) <= 0xF4
+
+
+#: By pair, whether a chunk may begin with a character.
+_FIRST: tuple[Callable[[str], bool], ...] = (
+    *(_lead(c) for c in ("cp1252", "cp1250", "cp1251", "cp1258", "mac_roman", "cp1252")),
+    *[lambda c: c > "\u2e00"] * 2,
+    *(frozenset(x[0] for x in table).__contains__ for table in (_TCVN3.values(), _vni(), _VISCII)),
+    _BYTES_1252.__contains__,
+)
 #: Prior probabilities of the changes of state, as logs: into a pair of UTF-8, into a pair whose inverse accepts nearly
 #: any text (one odd word is no evidence), back to clean, from one pair to another.
 _ENTER, _ENTER_LETTERS, _LEAVE, _SWAP = -9.0, -20.0, -4.0, -12.0
@@ -277,6 +301,12 @@ _PRIOR = 20_000.0  # tokens that the prior counts for when transitions are train
 _UNSEEN = -15.0  # of a character outside the model's symbols, in the clean state
 SLACK = 3.0  # that the first reading of a token's characters may be less likely than the best one
 _LOST_SCORE = -3.0  # of a lost character in its state
+_FOREIGN_LETTER = 4.0  # by which a letter outside the model's symbols is likelier than a stray sign inside a word
+_KEPT = 100_000  # characters, times states, of which the paths are kept to trace them
+
+
+def _foreign(c: str) -> bool:
+    return unicodedata.category(c)[0] == "L" and c not in "ªºƒ"
 
 
 def prior() -> np.ndarray:
@@ -345,11 +375,25 @@ class Model:
         self.log = np.log(smooth).tolist()
         self.change = prior() if change is None else change
         self.steps = self.change.tolist()
+        self.into = self.change.T.tolist()
         self.open = _open()
-        self.known: dict[tuple[str, tuple[int, ...]], tuple[list[int], list[list[float]]] | None] = {}
-        self.chunks: dict[str, dict[int, dict[int, list[tuple[int, str]]]]] = {}
+        self.known: dict[tuple[str, tuple[int, ...]], tuple[tuple[int, ...], list[list[float]]]] = {}
+        self.tables: dict[tuple[int, ...], dict[str, tuple[tuple[int, ...], list[list[float]]] | None]] = {}  # by hopeful states
+        self.n_tables = 0
+        self.tracing = True
+        self.cells: dict[tuple[str, tuple[int, ...], int], list[dict[tuple[int, int], tuple]]] = {}  # of the text at hand
+        self.n_cells = 0
         self.traces: dict[tuple[str, tuple[int, ...], int, int], list[tuple[int, int, int, str]]] = {}
+        self.chunks: dict[str, dict[int, dict[int, list[tuple[int, str]]]]] = {}
         self.hopes: dict[str, tuple[tuple[int, float], ...]] = {}
+        self.plain: set[str] = set()
+
+    def with_change(self, change: np.ndarray) -> Model:
+        """The same clean model under other transitions; what does not depend on them is not worked out again."""
+        other = copy(self)
+        other.change, other.steps, other.into = change, change.tolist(), change.T.tolist()
+        other.known, other.tables, other.n_tables, other.cells, other.n_cells, other.traces = {}, {}, 0, {}, 0, {}
+        return other
 
     def _emit(self, before: int, text: str) -> tuple[float, int]:
         """Log-probability of true characters after a symbol, and the last symbol."""
@@ -357,8 +401,8 @@ class Model:
         for c in text:
             k = _INDEX.get(c, _OTHER)
             total += self.log[before][k]
-            if k == _OTHER and unicodedata.category(c)[0] == "L" and c not in "ªºƒ":
-                total += 4.0  # a foreign letter is likelier than a stray sign inside a word
+            if k == _OTHER and _foreign(c):
+                total += _FOREIGN_LETTER
             before = k
         return total, before
 
@@ -406,8 +450,8 @@ class Model:
             found = self.chunks[token] = {}
             odd = [k for k, c in enumerate(token) if c > "\x7f"]
             near = sorted({j for k in odd for j in (k - 1, k) if j >= 0})
-            for state, (_, chunks) in enumerate(PAIRS, 1):
-                own = {k: c for k in (near if state in _TWO else odd) if (c := chunks(token, k))}
+            for state in sorted(set().union(*(_states_from(token[k]) for k in near))):
+                own = {k: c for k in (near if state in _TWO else odd) if (c := PAIRS[state - 1][1](token, k))}
                 if own:
                     found[state] = own
             if _LOST in token:
@@ -418,44 +462,67 @@ class Model:
         score, last = self._emit(0, token)
         return score + self.log[last][0]
 
-    def _paths(self, token: str, options: dict[int, dict[int, list[tuple[int, str]]]], start: int) -> list[dict[tuple[int, int], tuple]]:
+    def _moves(self, token: str, options: dict[int, dict[int, list[tuple[int, str]]]]) -> list[list[tuple]]:
+        """By place, what each state can emit there: (state, length, true text, its state and symbol, extra score).
+
+        The state and symbol are None where the true text is not one character.
+        """
+        out = []
+        for at, c in enumerate(token):
+            plain, letter = c <= "\x7f", c.isalpha()
+            symbol = _INDEX.get(c, _OTHER)
+            extra = _FOREIGN_LETTER if symbol == _OTHER and _foreign(c) else 0.0
+            here = [(0, 1, c, (0, symbol), extra)]
+            for state, own in options.items():
+                if state != _N - 1 and (plain or (not letter and at not in own)):
+                    here.append((state, 1, c, (state, symbol), extra))
+                for n, x in own.get(at, ()):
+                    if len(x) != 1:
+                        here.append((state, n, x, None, 0.0))
+                        continue
+                    to = _INDEX.get(x, _OTHER)
+                    here.append((state, n, x, (state, to), _FOREIGN_LETTER if to == _OTHER and _foreign(x) else 0.0))
+            out.append(here)
+        return out
+
+    def _paths(self, moves: list[list[tuple]], start: int) -> list[dict[tuple[int, int], tuple]]:
         """Viterbi over the characters of a token from a state: by place, by state and last true symbol, the best
         (score, place before, key before, true text)."""
-        states = [0, *options]
-        cells: list[dict[tuple[int, int], tuple]] = [{} for _ in range(len(token) + 1)]
+        steps, log = self.steps, self.log
+        cells: list[dict[tuple[int, int], tuple]] = [{} for _ in range(len(moves) + 1)]
         cells[0][start, 0] = (0.0, -1, None, "")
-        for at in range(len(token)):
-            here = cells[at]
-            c = token[at]
-            for state in states if here else ():
+        for at, own in enumerate(moves):
+            here = [(key, v[0], steps[key[0]], log[key[1]]) for key, v in cells[at].items()]
+            if not here:
+                continue
+            for state, n, x, to, extra in own:
+                after = cells[at + n]
+                if to is None:
+                    for key, before, step, _ in here:
+                        gain, last = self._emit(key[1], x)
+                        score = before + step[state] + gain
+                        old = after.get((state, last))
+                        if old is None or score > old[0]:
+                            after[state, last] = (score, at, key, x)
+                    continue
+                best, came, symbol = -math.inf, None, to[1]
                 if state == _N - 1:
-                    moves = options[state].get(at, ())
-                elif state == 0:
-                    moves = [(1, c)]
-                elif c <= "\x7f" or (not c.isalpha() and at not in options[state]):
-                    moves = [(1, c), *options[state].get(at, ())]
+                    for key, before, step, _ in here:
+                        score = before + step[state] + _LOST_SCORE
+                        if score > best:
+                            best, came = score, key
                 else:
-                    moves = options[state].get(at, ())
-                if not moves:
-                    continue
-                for n, x in moves:
-                    after, symbol = cells[at + n], _INDEX.get(x)
-                    for key, (score, *_) in here.items():
-                        score += self.steps[key[0]][state]
-                        if symbol is not None:
-                            score, to = score + self.log[key[1]][symbol], (state, symbol)
-                        elif state == _N - 1:
-                            score, to = score + _LOST_SCORE, (state, _OTHER)
-                        else:
-                            gain, last = self._emit(key[1], x)
-                            score, to = score + gain, (state, last)
-                        old = after.get(to)
-                        if old is None or score > old[0]:
-                            after[to] = (score, at, key, x)
+                    for key, before, step, symbols in here:
+                        score = before + step[state] + (symbols[symbol] + extra)
+                        if score > best:
+                            best, came = score, key
+                old = after.get(to)
+                if old is None or best > old[0]:
+                    after[to] = (best, at, came, x)
         return cells
 
-    def look_up(self, token: str, hopeful: tuple[int, ...]) -> tuple[list[int], list[list[float]]] | None:
-        """The states that matter in a token and the scores (from, to) of its best paths, relative to the clean one.
+    def look_up(self, token: str, hopeful: tuple[int, ...]) -> tuple[tuple[int, ...], list[list[float]]] | None:
+        """The states that matter in a token and the scores (to, from) of its best paths, relative to the clean one.
 
         None where of the clean and the hopeful states only the clean one can emit the token.
         """
@@ -470,30 +537,50 @@ class Model:
             self.known[key] = self._summary(token, {s: found[s] for s in able})
         return self.known[key]
 
-    def _summary(self, token: str, options: dict[int, dict[int, list[tuple[int, str]]]]) -> tuple[list[int], list[list[float]]] | None:
+    def _summary(self, token: str, options: dict[int, dict[int, list[tuple[int, str]]]]) -> tuple[tuple[int, ...], list[list[float]]]:
         base = self._whole(token)
-        states = [0, *options]
-        out = np.full((len(states), len(states)), -np.inf)
+        states = (0, *options)
+        place = {s: k for k, s in enumerate(states)}
+        out = [[-math.inf] * len(states) for _ in states]
+        moves = self._moves(token, options)
+        kept = self.tracing and self.n_cells < _KEPT and len(token) * len(states) ** 2 < _KEPT
         for i, start in enumerate(states):
-            for (state, symbol), v in self._paths(token, options, start)[-1].items():
-                j = states.index(state)
-                out[i, j] = max(out[i, j], v[0] + self.log[symbol][0] - base)
+            cells = self._paths(moves, start)
+            if kept:
+                self.cells[token, states, start] = cells
+                self.n_cells += len(token) * len(states)
+            for (state, symbol), v in cells[-1].items():
+                own = out[place[state]]
+                own[i] = max(own[i], v[0] + self.log[symbol][0] - base)
         if not any(map(str.isalpha, token.translate(_NO_SIGNS))):  # a sign that stands alone is no evidence, but for UTF-8
-            odd = np.array([bool(s) and s < _N - 1 and not _NAMES[s].startswith("utf8") for s in states])
-            out = np.where(odd[:, None] | odd[None, :], np.minimum(out, 0.0), out)
-        return states, out.tolist()
+            odd = [bool(s) and s < _N - 1 and not _NAMES[s].startswith("utf8") for s in states]
+            out = [[min(v, 0.0) if a or b else v for b, v in zip(odd, own, strict=True)] for a, own in zip(odd, out, strict=True)]
+        return states, out
+
+    def hopeful(self, words: set[str]) -> dict[str, tuple[tuple[int, float], ...]]:
+        """What ``hope`` gives for those of the words for which it gives any."""
+        out = {}
+        for token in words - self.plain:
+            own = self.hopes.get(token)
+            if own is None:
+                own = () if token.isascii() else self.hope(token)
+                if len(self.plain) + len(self.hopes) > 300_000:
+                    self.plain.clear()
+                    self.hopes.clear()
+                if own:
+                    self.hopes[token] = own
+                elif len(token) <= 64:
+                    self.plain.add(token)
+            if own:
+                out[token] = own
+        return out
 
-    def gains(self, words: list[str]) -> dict[int, float]:
+    def gains(self, words: list[str], hopes: dict[str, tuple[tuple[int, float], ...]]) -> dict[int, float]:
         """How much better a state explains the best run of words that it can emit than the clean one, at most, if at all."""
         gains: dict[int, float] = {}
         runs: dict[int, float] = {}
-        hopes = self.hopes
         for token in words:
             own = hopes.get(token)
-            if own is None:
-                if len(hopes) > 300_000:
-                    hopes.clear()
-                own = hopes[token] = self.hope(token)
             if own:
                 before, runs = runs, {}
                 for k, g in own:
@@ -502,84 +589,129 @@ class Model:
                     runs[k] = g
                     if g > 0.0 and g > gains.get(k, 0.0):
                         gains[k] = g
-            elif runs:
+            elif runs and not token.isascii():
                 runs = {}
         return gains
 
-    def label(self, text: str) -> list[tuple[int, int, int, str]]:
+    def label(self, text: str, tracing: bool = True) -> list[tuple[int, int, int, str]]:
         """Spans (start, end, state, true text) of the characters that are not clean, in order.
 
-        ``suspect`` tells afterwards whether there might be any under other transitions.
+        Without ``tracing`` only those of one token, if any. ``suspect`` tells afterwards whether there might be any
+        under other transitions, and ``changes``, if there are spans, how often a state followed another.
         """
-        words = [t for t in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if not t.isascii()]
-        gains = self.gains(words)
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        hopes = self.hopeful(set(words))
+        gains = self.gains(words, hopes) if hopes else {}
         self.suspect = any(g + self.open[k] > 0 for k, g in gains.items())
-        hopes = self.hopes
         # A state that gains less than it costs to enter is on no best path, nor one that another explains every token
         # of the text at least as well as.
         able = sorted((k for k, g in gains.items() if g + self.steps[0][k] > 0), key=lambda k: (-gains[k], k))
         if not able:
             return []
         if len(able) > 1:
-            by_token = [dict(hopes.get(t) or self.hope(t)) for t in set(words)]
+            by_token = [dict(g) for g in hopes.values()]
             kept: list[int] = []
             for k in able:
                 if not any(self.steps[0][j] >= self.steps[0][k] - 5.0 and all(g.get(j, -math.inf) >= g[k] - 1e-9 for g in by_token if k in g) for j in kept):
                     kept.append(k)
             able = kept
         states_here = tuple(sorted(able))
+        if self.n_tables > 300_000:
+            self.tables.clear()
+            self.n_tables = 0
+        table = self.tables.setdefault(states_here, {})
+        self.tracing, self.n_cells = tracing, 0
+        self.cells.clear()
         found = [(m.start(), m.group()) for m in _TOKEN.finditer(text)]
-        steps = self.steps
-        best: dict[int, float] = {0: 0.0}
+        into = self.into
+        best: list[tuple[int, float]] = [(0, 0.0)]
         back = []
         for _, token in found:
-            known = self.look_up(token, states_here)
+            if token in table:
+                known = table[token]
+            else:
+                known = table[token] = self.look_up(token, states_here)
+                self.n_tables += 1
             if known is None:
-                came = 0 if len(best) == 1 and 0 in best else max(best, key=lambda s: best[s] + steps[s][0])
-                best = {0: best[came] + steps[came][0]}
+                if len(best) == 1 and best[0][0] == 0:
+                    back.append((0, None, None))
+                    continue
+                top, came = -math.inf, 0
+                for k, v in best:
+                    v += into[0][k]
+                    if v > top:
+                        top, came = v, k
+                best = [(0, top)]
                 back.append((came, None, None))
                 continue
             states, out = known
+            if len(states) == 2 and len(best) == 2:  # as below, for the case that is by far the most frequent
+                (k0, v0), (k1, v1) = best
+                step = into[0]
+                a, b = v0 + step[k0], v1 + step[k1]
+                came0, in0 = (k1, b) if b > a else (k0, a)
+                step = into[states[1]]
+                a, b = v0 + step[k0], v1 + step[k1]
+                came1, in1 = (k1, b) if b > a else (k0, a)
+                best, pick = [], {}
+                for to, gain in zip(states, out, strict=True):
+                    a, b = in0 + gain[0], in1 + gain[1]
+                    at, top = (1, b) if b > a else (0, a)
+                    if top > -math.inf:
+                        best.append((to, top))
+                        pick[to] = at
+                back.append(((came0, came1), states, pick))
+                continue
             came, entered = [], []
             for to in states:
-                top, at = -math.inf, 0
-                for k, v in best.items():
-                    if v + steps[k][to] > top:
-                        top, at = v + steps[k][to], k
+                top, at, step = -math.inf, 0, into[to]
+                for k, v in best:
+                    v += step[k]
+                    if v > top:
+                        top, at = v, k
                 came.append(at)
                 entered.append(top)
-            best, pick = {}, {}
-            for j, to in enumerate(states):
-                top, at = -math.inf, 0
-                for i, v in enumerate(entered):
-                    if v + out[i][j] > top:
-                        top, at = v + out[i][j], i
+            best, pick = [], {}
+            for to, gain in zip(states, out, strict=True):
+                top, at, i = -math.inf, 0, 0
+                for v in entered:
+                    v += gain[i]
+                    if v > top:
+                        top, at = v, i
+                    i += 1
                 if top > -math.inf:
-                    best[to], pick[to] = top, at
+                    best.append((to, top))
+                    pick[to] = at
             back.append((came, states, pick))
-        state, spans = max(best, key=best.get), []
-        self.changes = Counter()
+        state, spans = max(best, key=lambda b: b[1])[0], []
+        changes = []
         for (begin, token), (came, states, pick) in zip(reversed(found), reversed(back), strict=True):
             if states is None:
-                self.changes[came, 0] += 1
+                changes.append((came, 0))
                 state = came
                 continue
             i = pick[state]
             start = states[i]
-            key = (token, tuple(states), start, state)
-            if key not in self.traces:
-                if len(self.traces) > 300_000:
-                    self.traces.clear()
-                self.traces[key] = self._trace(token, {s: c for s, c in self.options(token).items() if s in states}, start, state)
-            if self.traces[key]:
-                spans.append([(begin + a, begin + e, s, x) for a, e, s, x in self.traces[key]])
-            self.changes[came[i], start] += 1
+            if tracing or not spans:
+                key = (token, states, start, state)
+                trace = self.traces.get(key)
+                if trace is None:
+                    if len(self.traces) > 300_000:
+                        self.traces.clear()
+                    trace = self.traces[key] = self._trace(token, states, start, state)
+                if trace:
+                    spans.append([(begin + a, begin + e, s, x) for a, e, s, x in trace])
+            changes.append((came[i], start))
             state = came[i]
+        self.changes = Counter(changes)
         return [x for part in reversed(spans) for x in part]
 
-    def _trace(self, token: str, options: dict[int, dict[int, list[tuple[int, str]]]], start: int, end: int) -> list[tuple[int, int, int, str]]:
+    def _trace(self, token: str, states: tuple[int, ...], start: int, end: int) -> list[tuple[int, int, int, str]]:
         """Stretches (start, end, state, true text) of one state other than clean on the best path through a token."""
-        cells = self._paths(token, options, start)
+        cells = self.cells.get((token, states, start))
+        if cells is None:
+            options = self.options(token)
+            cells = self._paths(self._moves(token, {s: options[s] for s in states if s}), start)
         at, out = len(token), []
         key = max((k for k in cells[at] if k[0] == end), key=lambda k: cells[at][k][0] + self.log[k[1]][0])
         while at > 0:
@@ -595,17 +727,31 @@ class Model:
         return [t for t in reversed(out) if t[3] != token[t[0] : t[1]] or t[2] == _N - 1]
 
 
-_model: list[tuple[bytes, Model]] = []
+_model: list[tuple[bytes, Model]] = []  # with its bigram counts
 
 
 def shared_model(bigrams: np.ndarray, change: np.ndarray) -> Model:
     """The model of this Python worker: what it worked out for the tokens of one task serves the next."""
-    key = bigrams.tobytes() + change.tobytes()
-    if not _model or _model[0][0] != key:
-        _model[:] = [(key, Model(bigrams, change))]
+    clean = bigrams.tobytes()
+    if not _model or _model[0][0] != clean:
+        _model[:] = [(clean, Model(bigrams, change))]
+    elif (_model[0][1].change != change).any():
+        _model[:] = [(clean, _model[0][1].with_change(change))]
     return _model[0][1]
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the search for cycles of objects: a model makes very many objects and none of them in cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*")
 _BLANKS = re.compile(r"[ \t\r\n]+")
 
@@ -620,13 +766,14 @@ def train(df: DataFrame, id_col: str, text_col: str, bigrams: np.ndarray) -> tup
         counts = np.zeros((_N, _N))
         for b in batches:
             kept = []
-            for text in b["t"]:
-                if model.label(text):
-                    for (a, b_), n in model.changes.items():
-                        counts[a, b_] += n
-                else:
-                    counts[0, 0] += text.count(" ") + 1
-                kept.append(model.suspect)
+            with _no_cycles():
+                for text in b["t"]:
+                    if model.label(text, tracing=False):
+                        for (a, b_), n in model.changes.items():
+                            counts[a, b_] += n
+                    else:
+                        counts[0, 0] += text.count(" ") + 1
+                    kept.append(model.suspect)
             yield b[np.array(kept, bool)].assign(a=None, b=None, n=None)[names]
         rows, columns = np.nonzero(counts)
         yield pd.DataFrame({"id": None, "t": None, "a": rows, "b": columns, "n": counts[rows, columns]})[names]
@@ -655,7 +802,8 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, bigrams: np.ndarray
         for b in batches:
             out = []
             for rid, text in zip(b["id"], b["t"], strict=True):
-                spans = model.label(text)
+                with _no_cycles():
+                    spans = model.label(text)
                 if spans:
                     parts, at, words, end = [], 0, 0, -1
                     for a, e, _, x in spans:

@@ -102,3 +102,33 @@ def test_inverse_undoes_the_wrong_decoding(text):
                 n, x = (e._utf8_as(codec)(wrong, at) or [(1, wrong[at])])[0]
                 at, out = at + n, out + x
             assert out == token
+
+
+def test_what_the_transitions_leave_alone_is_worked_out_once(spark, monkeypatch):
+    """A token's hope is worked out once a worker, for both labellings, and counting traces no more than one token."""
+    rows = [(i, t) for i, t in enumerate([*CLEAN, *GARBLED.values(), TEXT + " nhà/" + garble("Hường", "cp1252") + "/Đức"] * 4)]
+    bigrams = e.count_bigrams(spark.createDataFrame(rows, "id long, t string"), "t")
+    asked, hope = e.Counter(), e.Model.hope
+    monkeypatch.setattr(e.Model, "hope", lambda self, token: asked.update([token]) or hope(self, token))
+    first = e.shared_model(bigrams, e.prior())
+    counts = e.np.zeros((e._N, e._N))
+    for _, t in rows:
+        whole = e.Model(bigrams)
+        with monkeypatch.context() as own:
+            own.setattr(e.Model, "hope", hope)
+            spans = whole.label(t)
+        assert bool(first.label(t, tracing=False)) == bool(spans) and (not spans or first.changes == whole.changes)
+        for pair, n in whole.changes.items() if spans else ():
+            counts[pair] += n
+    second, alone = e.shared_model(bigrams, e.trained(counts)), e.Model(bigrams, e.trained(counts))
+    labels = [second.label(t) for _, t in rows]
+    assert max(asked.values()) == 1
+    monkeypatch.setattr(e.Model, "hope", hope)
+    assert labels == [alone.label(t) for _, t in rows] and any(labels)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=e.VIET + "".join(e._TCVN3.values()) + "Ã¡ºâ€™»Рђ鄧�abo", min_size=1, max_size=8))
+def test_pairs_are_asked_wherever_they_can_begin(token):
+    asked = [s for s, (_, chunks) in enumerate(e.PAIRS, 1) if any(chunks(token, k) for k in range(len(token)) if token[k] > "\x7f" or (s in e._TWO and token[k + 1 : k + 2] > "\x7f"))]
+    assert [s for s in e.Model(e.np.ones((e._K, e._K))).options(token) if s < e._N - 1] == asked
